@@ -304,7 +304,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     load = members.groupBy("component").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias("blocks"))
     members = members.join(load, "component").select(F.col("rep").alias("id"), "node", F.col("component").alias("grp"), "weight", "blocks", "k1", "k2")
     one = base.join(members, "id").select("node", "__text", "grp", "weight", "blocks", "k1", "k2")
-    sets = one.mapInArrow(_tokens(width), "id long, tokens binary, grp long, weight long, blocks long").dropDuplicates(["id"])
+    sets = one.mapInArrow(_tokens(width), "id long, tokens binary, grp long, weight long, blocks long")
+    if base.groupBy("id").count().where("count > 1 and id is not null").limit(1).count():
+        sets = sets.dropDuplicates(["id"])
     blocked = _blocked(sets, "grp", F.col("blocks")).select("grp", "bi", "bj", "id", "block", "weight", "tokens")
     found = materialize(_dealt(blocked, "grp", "bi", "bj").mapInArrow(_verify(width, threshold), "a long, b long, links long"), "links")
     linked = components(found.select("a", "b"), "linked").distinct().join(classes.select("node", "rep"), "node")

@@ -118,3 +118,27 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Ite
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(texts)]):
         yield batch.slice(a, b - a)
+
+
+def joined(words: Words, keep: np.ndarray) -> list[bytes]:
+    """For each text its kept words, joined by one space."""
+    kept = np.flatnonzero(keep)
+    starts, lengths = words.starts[kept], words.ends[kept] - words.starts[kept] + 1
+    begin = np.cumsum(lengths) - lengths
+    total = int(lengths.sum())
+    source = np.arange(total) - np.repeat(begin, lengths) + np.repeat(starts, lengths)
+    out = words.data[np.minimum(source, max(0, len(words.data) - 1))] if total else np.zeros(0, dtype=np.uint8)
+    out[begin + lengths - 1] = 0x20
+    at = np.searchsorted(kept, words.first)
+    edge = np.append(begin, total)
+    return [out[edge[a] : edge[b] - 1].tobytes() if b > a else b"" for a, b in zip(at[:-1], at[1:])]
+
+
+def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over values[i:i+width] for every full stretch."""
+    have, out = 1, values
+    while 2 * have <= width:
+        out = pick(out[:-have], out[have:])
+        have *= 2
+    rest = width - have
+    return pick(out[: len(out) - rest], out[rest:]) if rest else out

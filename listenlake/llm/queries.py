@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, packing, url_filter
+from . import embedding_dedup, fingerprints, jaccard_join, mixing, packing, substring_dedup, url_filter
 
 #: (verdict, host, path); fixed values of the query's contract.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -23,6 +23,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.metric_join(table(spark, sf_dir, "embeddings"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -45,6 +53,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_url_filter": op3_url_filter,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pack": op7_pack,
     "op9_mix_sources": op9_mix_sources,
     "op10_jaccard_join": op10_jaccard_join,
