@@ -93,20 +93,25 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     one whose text hashes least counts. The text crosses one exchange, by id, which both joins use; what a document needs of
     the next, a quarter text and the leaves, crosses a second.
     """
-    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).repartition("__id")
-    asked = next_ids(docs, id_col).select(F.col("__id").alias("__asker"), "__next")
-    need = docs.groupBy(F.col(id_col).alias("__of")).agg(F.max(F.floor(F.length(F.coalesce(F.col(text_col), F.lit(""))) / 4)).cast("int").alias("__k"))
-    asked = asked.join(need, F.col("__asker").eqNullSafe(F.col("__of"))).drop("__of")
-    first = Window.partitionBy("__id").orderBy(F.xxhash64("__text"))
+    kind = docs.schema[id_col].dataType
+    # ids as two columns without nulls: plain equality keeps the partitioning that a null-safe join would redo
+    key = lambda c, there, value: {there: F.col(c).isNotNull(), value: F.coalesce(F.col(c), F.lit(0).cast(kind))}
+    own, following = ["__a", "__b"], ["__c", "__d"]
+    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumns(key("__id", *own)).select(*own, "__text").repartition(*own)
+    asked = next_ids(docs, id_col).withColumns(key("__id", *own) | key("__next", *following)).select(*own, *following)
+    need = docs.withColumns(key(id_col, *own)).groupBy(*own).agg(F.max(F.floor(F.length(F.coalesce(F.col(text_col), F.lit(""))) / 4)).cast("int").alias("__k"))
+    asked = asked.join(need, own).withColumnsRenamed({"__a": "__asker_a", "__b": "__asker_b", "__c": "__a", "__d": "__b"})
+    first = Window.partitionBy(*own).orderBy(F.xxhash64("__text"))
     given = base.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
-    given = given.join(asked, F.col("__id").eqNullSafe(F.col("__next"))).select(
-        F.col("__asker"),
+    given = given.join(asked, own).select(
+        F.col("__asker_a").alias("__a"),
+        F.col("__asker_b").alias("__b"),
         F.substring(F.col("__text"), F.lit(1), F.col("__k")).alias("__head"),
         leaf_set(tree(F.col("__text"))).alias("__next_leaves"),
     )
     n = F.length("__text")
-    out = base.join(given, F.col("__id").eqNullSafe(F.col("__asker"))).select(
-        F.col("__id").alias(id_col),
+    out = base.join(given, own).select(
+        F.when(F.col("__a"), F.col("__b")).alias(id_col),
         n.cast("long").alias("n_chars"),
         "__text",
         F.concat(F.substring("__text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("__head", F.lit(1), F.floor(n / 4).cast("int"))).alias("__edited"),
