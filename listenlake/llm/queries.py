@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, jaccard_join, mixing, packing, substring_dedup, url_filter
+from . import embedding_dedup, fingerprints, jaccard_join, license_scan, line_dedup, mixing, packing, quality, substring_dedup, url_filter
 
 #: (verdict, host, path); fixed values of the query's contract.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "kept_sha256")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.metric_join(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +49,10 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep={"ids_crc32": F.crc32("ids")})
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "weak", "quality", "keep")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), columns=("doc_id",))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -51,11 +63,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_fingerprints": op2_fingerprints,
     "op3_url_filter": op3_url_filter,
+    "op4_line_dedup": op4_line_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_pack": op7_pack,
+    "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_jaccard_join": op10_jaccard_join,
 }
