@@ -158,9 +158,10 @@ def _sweep_ranges(pages: DataFrame, rows: DataFrame, id_col: str, url_col: str,
     probes = rowed.select("__row", "__url").mapInArrow(probe, "row long, host string, path string, key string, range int")
     load = probes.groupBy("range").agg((F.floor(F.count(F.lit(1)) / RANGE_KEYS) + 1).cast("int").alias("salts"))
     load = F.broadcast(load)  # one row a range: at most ``ranges`` + 1
-    salted = probes.join(load, "range").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
-    held = rows.mapInArrow(spread, "key string, host string, path string, verdict string, range int").join(load, "range")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salted = probes.join(load, "range").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).select("range", "salt", "row", "key")
+    held = rows.mapInArrow(spread, "key string, host string, path string, verdict string, range int")
+    held = held.join(load.select(F.col("range").alias("at"), F.col("salts").alias("copies")), F.col("range") == F.col("at"))
+    held = held.select("range", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "key", "host", "path", "verdict")
 
     def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("key", kind="stable")
@@ -169,7 +170,7 @@ def _sweep_ranges(pages: DataFrame, rows: DataFrame, id_col: str, url_col: str,
         got = [(row, *hit) for row, hit in zip(left["row"], hits) if hit is not None]
         return pd.DataFrame(got, columns=["row", "rule_host", "rule_path", "verdict"])
 
-    hits = salted.groupBy("range", "salt").cogroup(held.groupBy("range", "salt")).applyInPandas(merge, "row long, rule_host string, rule_path string, verdict string")
+    hits = salted.groupBy("range", "salt").cogroup(held.toDF("at", "part", "key", "host", "path", "verdict").groupBy("at", "part")).applyInPandas(merge, "row long, rule_host string, rule_path string, verdict string")
     n = F.length("rule_host") + F.length("rule_path")
     best = hits.groupBy("row").agg(F.max(F.struct(n.alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("best"))
 
