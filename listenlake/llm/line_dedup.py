@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_BASE, SECOND_BASE, mix, powers, slices, text_buffer
@@ -207,15 +207,16 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     variants = near.select("node", "line", "id", "pos").mapInArrow(_variants, "v1 long, v2 long, place int, node long, id long, pos int")
     where = F.struct(F.col("id").isNotNull().alias("there"), "id", "pos", "node")
-    by_place = variants.groupBy("v1", "v2", "place").agg(F.min(where).alias("least"), F.count(F.lit(1)).alias("n"))
-    shared = by_place.where("n > 1 and place >= 0").select("v1", "v2", "place", "least")
-    below = by_place.where("place >= 0").groupBy("v1", "v2").agg(F.min("least").alias("least"))
-    wholes = variants.where("place = -1").select("v1", "v2", where.alias("least"))
-    shorter = wholes.join(below.withColumnRenamed("least", "other"), ["v1", "v2"])
+    variant = F.when(F.col("place") >= 0, F.col("where"))
+    # lines that share a variant at a place differ in one code point, so groups are no larger than the alphabet times the line
+    keyed = variants.select("v1", "v2", "place", "node", where.alias("where")).repartition("v1", "v2")
     found = (
-        variants.where("place >= 0").join(shared, ["v1", "v2", "place"]).select(F.col("node"), "least")
-        .unionByName(variants.where("place >= 0").join(wholes, ["v1", "v2"]).select("node", "least"))
-        .unionByName(shorter.select(F.col("least.node").alias("node"), F.col("other").alias("least")))
+        keyed.withColumn("at_place", F.min(variant).over(Window.partitionBy("v1", "v2", "place")))
+        .withColumn("whole", F.min(F.when(F.col("place") < 0, F.col("where"))).over(Window.partitionBy("v1", "v2")))
+        .withColumn("any", F.min(variant).over(Window.partitionBy("v1", "v2")))
+        .select("node", "where", F.when(F.col("place") < 0, F.col("any")).otherwise(F.least("at_place", "whole")).alias("least"))
+        .where(F.col("least") < F.col("where"))
+        .select("node", "least")
     )
     found = found.where("node <> least.node").groupBy("node").agg(F.min("least").alias("least"))
     mine = near.select("node", "line", F.struct(F.col("id").isNotNull().alias("there"), "id", "pos").alias("own"))
