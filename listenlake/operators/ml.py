@@ -55,9 +55,8 @@ def rules_of(tree: DecisionTreeClassificationModel, features: Sequence[str]) ->
     out: list[str] = []
     path: list[str] = []
     for line in tree.toDebugString.split("\n")[1:]:
-        depth = (len(line) - len(line.lstrip())) // 1
         text = line.strip()
-        level = max(0, depth - 2)
+        level = max(0, len(line) - len(line.lstrip()) - 2)
         if m := re.match(r"(?:If|Else) \(feature (\d+) (<=|>) ([^)]+)\)", text):
             path = path[:level] + [f"{features[int(m[1])]} {m[2]} {float(m[3]):g}"]
         elif text.startswith("Predict: 1"):

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from listenlake.functions import text
-from listenlake.operators import canon, counts, integrity, joins, normalize, quality, similarity, stats, temporal
+from listenlake.operators import canon, counts, integrity, joins, ml, normalize, quality, similarity, stats, temporal
 from listenlake.plans import pipeline
 from listenlake.sources import readers, sinks
 from listenlake.streaming import incremental
@@ -214,3 +214,34 @@ def test_stream_ignores_what_it_has(spark, tmp_path):
     put("2.json", ("a", "s", "z", "1"), ("b", "s", "z", "2"))
     incremental.load_plays(incremental.play_stream(spark, f"file://{tmp_path}/in", schema), target, mark).awaitTermination(60)
     assert sorted(values(spark.read.parquet(target), "artist_name")) == ["a", "b"]
+
+
+def test_link_model_is_saved_whole_and_trees_become_rules(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(i / 40, (i * 7 % 40) / 40, int(i >= 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, y double, label int")
+    model = ml.train_link_model(df, ["x", "y"], rounds=5)
+    model.write().overwrite().save(f"file://{tmp_path}/model")
+    scored = ml.score_links(PipelineModel.load(f"file://{tmp_path}/model"), df)
+    assert ml.area_under_curve(scored) > 0.99
+    assert ml.importances(model, ["x", "y"], 1)[0][0] == "x"
+    flat = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df)
+    tree = DecisionTreeClassifier(maxDepth=2).fit(flat)
+    assert all(r.startswith("x > ") for r in ml.rules_of(tree, ["x", "y"])) and ml.rules_of(tree, ["x", "y"])
+
+
+def test_gold_pairs_carry_scores_and_lengths(spark):
+    got = ml.gold_pairs(spark.createDataFrame([("b a{a b{ab", True)], "variants string, to_link boolean")).collect()
+    assert {(r.variant_a, r.variant_b): r.token_sort_ratio for r in got}[("a b", "b a")] == 1.0
+    assert all(r.n_variants == 3 for r in got)
+
+
+def test_upsert_cache_meets_by_id_then_name(spark):
+    schema = "artist_name string, mbid string, disambiguation_comment string, aliases string, country string"
+    old = spark.createDataFrame([("a", "1", "x", "p", "HU"), ("b", None, None, None, None), ("c", "3", "z", "q", "DE")], schema)
+    new = spark.createDataFrame([("renamed", "1", "n", None, "FR"), ("b", "2", "m", "r", "AT"), ("d", "4", None, "s", None)], schema)
+    got = {r.artist_name: (r.mbid, r.disambiguation_comment, r.aliases, r.country) for r in integrity.upsert_cache(old, new).collect()}
+    assert got == {"a": ("1", "n", None, "FR"), "b": ("2", "m", "r", "AT"), "c": ("3", "z", "q", "DE"), "d": ("4", None, "s", None)}
