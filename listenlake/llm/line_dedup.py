@@ -191,7 +191,8 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def met(rows: DataFrame) -> DataFrame:
-        crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        # written, so that the join is of two plain exchanges and a crowded key can be split
+        crowded = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
         return rows.join(crowded, "key").select("node").distinct()
 
     survivors = met(classes.select("node", F.explode(F.array(*keys)).alias("key")))
