@@ -202,7 +202,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = materialize(texts.select("node", "__text", "weight", "hits"), "candidates")
 
     windows = texts.mapInArrow(_windows(width), "node long, pos int, w1 long, w2 long, weight long")
-    counts = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times > 1")
+    # written, so that the join below is of two plain exchanges and a window that many texts share can be split
+    counts = materialize(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times > 1"), "repeated")
     marks = windows.join(counts, ["w1", "w2"]).groupBy("node").agg(F.collect_list("pos").alias("marks"))
     fields = "node long, gone long, kept_sha256 string" + (", kept string" if with_text else "")
     # a class of several texts is covered whole and needs no marks
