@@ -7,6 +7,7 @@ are kept as intervals of numbers that share a residual vector. Items find their
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections import defaultdict
@@ -18,20 +19,62 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import slices
+from .kernels import slices, text_buffer
 from .store import materialize
 
-_CHUNK = re.compile(r"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+")
+# a run of white space with a word of Latin letters that ends before punctuation, a space or the end; else with all up to the next space
+_CHUNK = re.compile(r"[\x09-\x0d\x20]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?![^.,!?;:\x09-\x0d\x20])|[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+")
 #: Characters that some pre-tokenizer may treat as white space or that begin a special token's string: such texts are encoded whole.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
-CACHED_CHUNKS = 300_000
+#: Words, and chunks of words, that each generation of a cache holds.
+CACHED_WORDS, CACHED_CHUNKS = 700_000, 100_000
+
+
+class Cache:
+    """Ids by string in two generations: entries in use move to the younger, the older goes as a whole."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def absent(self, needed: set[str]) -> list[str]:
+        """Those of ``needed`` that must be made and put into ``young``; the others are there afterwards."""
+        if len(self.young) + len(needed) > self.size:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for c in needed.difference(young):
+            ids = old.get(c)
+            if ids is None:
+                out.append(c)
+            else:
+                young[c] = ids
+        return out
+
+
+#: Bytes of characters that need a closer look: controls, and lead bytes of the blocks with rare spaces and marks.
+_LOOK = np.zeros(256, dtype=bool)
+_LOOK[[*range(0x09), *range(0x0E, 0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts in which every space follows a word directly and no rare character or special token can be."""
+    flag = _LOOK[data]
+    after = np.zeros(len(data), dtype=np.int64)
+    if len(data):
+        flag[1:] |= ((data[1:] == 0x20) & _WHITE[data[:-1]]) | ((data[1:] == ord("|")) & (data[:-1] == ord("<")))
+        flag[offsets[:-1][offsets[:-1] < len(data)]] |= _WHITE[data[offsets[:-1][offsets[:-1] < len(data)]]]
+        after = np.cumsum(flag)
+    total = np.concatenate([[0], after])
+    return total[offsets[1:]] == total[offsets[:-1]]
 
 
 class ChunkEncoder:
     """Ids of texts, as little-endian uint32 bytes, by a byte-level BPE whose pre-tokens never run from a non-space into a space.
 
-    Such a tokenizer can be applied to each run of white space plus following word by itself; a bounded cache of these
-    saves most of the work. Texts with rare kinds of white space or special tokens go through the tokenizer whole.
+    Such a tokenizer can be applied to each run of white space plus following word by itself, and no pre-token holds both a
+    letter and punctuation after it. Bounded caches of words (of plain texts) and of these chunks save most of the work. Texts
+    with rare kinds of white space or special tokens go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -39,23 +82,51 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.words, self.chunks = Cache(CACHED_WORDS), Cache(CACHED_CHUNKS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        missing = {c for chunks in chunked if chunks for c in chunks}.difference(self.cache)
-        if len(self.cache) + len(missing) > CACHED_CHUNKS:
-            self.cache.clear()
-            missing = {c for chunks in chunked if chunks for c in chunks}
-        if missing:
-            new = list(missing)
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.cache.__getitem__
-        return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, chunked)]
+    def _made(self, cache: Cache, missing: list[str], strings: list[str]) -> None:
+        """Put the ids of ``strings`` into the cache under ``missing``, many a call; word numbers tell whose ids are whose."""
+        for i in range(0, len(missing), 4096):
+            part = strings[i : i + 4096]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            at = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
+            ids, at = np.array(e.ids, dtype="<u4").tobytes(), at.tolist()
+            cache.young.update(zip(missing[i : i + 4096], map(ids.__getitem__, map(slice, at[:-1], at[1:]))))
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
+        lists = [_CHUNK.findall(t) for t in texts]
+        missing = self.chunks.absent({c for chunks in lists for c in chunks})
+        self._made(self.chunks, missing, missing)
+        get = self.chunks.young.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in lists]
+
+    def encode(self, texts: list[str], is_plain: np.ndarray) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        easy = [i for i, t in enumerate(texts) if is_plain[i] and t]
+        lists = [texts[i].split(" ") for i in easy]
+        # texts are plain, so a word after a space may hold other white space inside, but its start is the start of a pre-token
+        missing = self.words.absent({w for words in lists for w in words[1:]})
+        self._made(self.words, missing, [" " + w for w in missing])
+        get = self.words.young.__getitem__
+        for i, first, words in zip(easy, self._chunked([words[0] for words in lists]), lists):
+            out[i] = first + b"".join(map(get, words[1:]))
+        hard = [i for i, t in enumerate(texts) if t and not is_plain[i]]
+        odd = [i for i in hard if _ODD.search(texts[i])]
+        for i in odd:
+            out[i] = self.whole(texts[i])
+        rest = sorted(set(hard).difference(odd))
+        for i, ids in zip(rest, self._chunked([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+
+@functools.cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """The encoder of this worker process, which serves task after task."""
+    return ChunkEncoder(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -165,12 +236,12 @@ def pack_documents(
     keep = {"ids": F.col("ids")} if keep is None else dict(keep)
 
     def tokenize(batches):
-        encoder, ranks, part = ChunkEncoder(tokenizer_path), defaultdict(int), TaskContext.get().partitionId()
+        encoder, ranks, part = encoder_of(tokenizer_path), defaultdict(int), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for b in slices(batch, "__text"):
                 cols: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids", "part", "rank")}
-                for row, ids in enumerate(encoder.encode([t or "" for t in b.column(1).to_pylist()])):
+                for row, ids in enumerate(encoder.encode([t or "" for t in b.column(1).to_pylist()], plain(*text_buffer(b.column(1))))):
                     ids += end
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         for name, v in (("row", row), ("piece", piece), ("start", start), ("length", length), ("ids", ids[4 * start : 4 * (start + length)]), ("part", part), ("rank", ranks[length])):

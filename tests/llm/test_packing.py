@@ -5,10 +5,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from listenlake.llm import packing
+from listenlake.llm.kernels import text_buffer
 from listenlake.llm.queries import op7_pack, tokenizer_path
 
 
@@ -21,7 +23,8 @@ def tokenizer():
 
 def test_chunks_encode_like_whole_texts(tokenizer):
     texts = ["", " ", "\n\n", "a  b", "a \n b\t\tc  ", "it's we'll  don't", "x  y", "x y 　z", "tail   ", "<|endoftext|> a", "a<|endoftext|>", "é ü 42 4 2!?", "\x1cq \x85 z", "a\r\n b"]
-    got = packing.ChunkEncoder(tokenizer_path()).encode(texts)
+    texts += ["a b\u00a0 c", "a b <|x", " a b", "a. b, (c), d's", "x\u00b2 y3 \u00bd4", "na\u00efve \u0430\u0431\u0432.", "a\n b", "n\u0303. m"]
+    got = packing.ChunkEncoder(tokenizer_path()).encode(texts, packing.plain(*text_buffer(pa.array(texts))))
     for t, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
