@@ -20,7 +20,8 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
     seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join is of two plain exchanges and a node with very many links can be split
+        low, aside = _write(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
@@ -28,6 +29,7 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
         following, new = _write(spark, small, name)
         state = tuple(following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         remove(spark, path)
+        remove(spark, aside)
         edges, path = following, new
         if state == seen:
             break
