@@ -29,7 +29,7 @@ SLACK = 0.2
 SMALL = 256
 DEPTH = 3
 #: Sets a block holds in sketch comparison, and tokens in verification; a group is split into pairs of blocks.
-BLOCK_SETS = 512
+BLOCK_SETS = 2048
 BLOCK_TOKENS = 1_500_000
 
 
@@ -284,8 +284,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = sketches.mapInArrow(_roots(runs_needed(threshold, recall)), "path long, id long")
     for depth in range(1, DEPTH + 1):
         rows = materialize(rows, f"paths{depth}")
-        # written, so that the join is of two plain exchanges and a crowded path can be split
-        sizes = materialize(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes{depth}")
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = rows.join(sizes, "path")
         if depth == DEPTH:
             leaves.append(rows)
