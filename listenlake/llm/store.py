@@ -41,6 +41,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _at(spark, path)
+    return fs.exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, target = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Put an empty file there."""
+    fs, target = _at(spark, path)
+    fs.create(target, True).close()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this process: for the end of a job, when its results are written."""
     while _MADE:

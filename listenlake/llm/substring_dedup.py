@@ -17,36 +17,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import SECOND_BASE, Words, joined, slices, sliding, text_buffer, window_hashes
-from .store import materialize, new_path, remove
+from .store import children, exists, mark, materialize, new_path, remove
 
 #: Runs that the index holds before it compacts them into one.
 MOST_RUNS = 4
 
 
 class FingerprintIndex:
-    """Runs of (h, n): fingerprints seen so far and how often, each run sorted by h within its partitions and never changed."""
+    """Runs of (h, n): fingerprints seen so far and how often, each run sorted by h within its partitions and never changed.
+
+    A run's name has the numbers of the first and the last batch in it. With a ``path`` the index outlives the session: it keeps the texts of
+    each call as well, against which later calls count their windows, and a new index on the path goes on with what is there.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS):
-        self.spark, self.path, self.most_runs = spark, path or new_path(spark, "index"), most_runs
+        self.spark, self.path, self.most_runs = spark, (path or new_path(spark, "index")).rstrip("/"), most_runs
+        self.lasting = path is not None
         self.runs: list[str] = []
+        self.texts: list[str] = []
         self.made = 0
-
-    def _write(self, counts: DataFrame) -> str:
-        path = f"{self.path}/run{self.made}"
-        self.made += 1
-        counts.select("h", "n").repartition("h").sortWithinPartitions("h").write.parquet(path)
+        if self.lasting:
+            self._reopen()
+
+    def _reopen(self) -> None:
+        """Whole runs, but for those that a compacted one holds, and the texts of calls that went through."""
+        names = children(self.spark, self.path)
+        spans = {n: tuple(map(int, n[3:].split("-"))) for n in names if n.startswith("run") and exists(self.spark, f"{self.path}/{n}/_SUCCESS")}
+        for n, (first, last) in sorted(spans.items(), key=lambda x: x[1]):
+            if any(m != n and x <= first and last <= y for m, (x, y) in spans.items()):
+                remove(self.spark, f"{self.path}/{n}")
+            else:
+                self.runs.append(f"{self.path}/{n}")
+                self.made = max(self.made, last + 1)
+        numbers = sorted(int(n[5:]) for n in names if n.startswith("texts") and exists(self.spark, f"{self.path}/{n}/_ADDED"))
+        self.texts = [f"{self.path}/texts{k}" for k in numbers]
+
+    def _write(self, counts: DataFrame, first: int, last: int) -> str:
+        path = f"{self.path}/run{first}-{last}"
+        counts.select("h", "n").sortWithinPartitions("h").write.mode("overwrite").parquet(path)
         return path
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h long, n long").parquet(path)
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema("h long, n long").parquet(*paths)
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
         """Add a batch (h: one row an occurrence); returns the h that are in it twice or in it and in an older run."""
-        run = self._write(fingerprints.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-        new = self._read(run)
+        run = self._write(fingerprints.groupBy("h").agg(F.count(F.lit(1)).alias("n")), self.made, self.made)
+        self.made += 1
+        new = self._read([run])
         hits = new.where("n > 1").select("h")
-        for old in self.runs:
-            hits = hits.unionByName(new.select("h").hint("merge").join(self._read(old).select("h"), "h"))
+        if self.runs:
+            hits = hits.unionByName(new.select("h").hint("merge").join(self._read(self.runs).select("h"), "h"))
         hits = materialize(hits.distinct(), "hits")
         self.runs.append(run)
         if len(self.runs) > self.most_runs:
@@ -58,13 +79,29 @@ class FingerprintIndex:
         if len(self.runs) < 2:
             return
         old = self.runs
-        both = self._read(old[0])
-        for path in old[1:]:
-            both = both.unionByName(self._read(path))
-        self.runs = [self._write(both.groupBy("h").agg(F.sum("n").alias("n")))]
+        first = int(old[0].rsplit("run", 1)[1].split("-")[0])
+        self.runs = [self._write(self._read(old).groupBy("h").agg(F.sum("n").alias("n")), first, self.made - 1)]
         for path in old:
             remove(self.spark, path)
 
+    def keep(self, profile: DataFrame) -> DataFrame:
+        """Write a call's texts and their fingerprints; they count as history once ``added``."""
+        number = 1 + max([-1, *(int(p.rsplit("texts", 1)[1]) for p in self.texts)])
+        path = f"{self.path}/texts{number}"
+        profile.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self._open = path
+        return self.spark.read.schema(profile.schema).parquet(path)
+
+    def added(self) -> None:
+        mark(self.spark, f"{self._open}/_ADDED")
+        self.texts.append(self._open)
+
+    def history(self) -> DataFrame | None:
+        """(k1, k2, prints, __text) of the texts of earlier calls."""
+        if not self.texts:
+            return None
+        return self.spark.read.schema("k1 long, k2 long, prints array<long>, __text string").parquet(*self.texts)
+
 
 def sequence_key(h: np.ndarray) -> tuple[int, int]:
     """128 bits of a sequence of word hashes."""
@@ -85,8 +122,8 @@ def _minima(words: Words, h: np.ndarray, width: int) -> tuple[np.ndarray, np.nda
     return runs, least, np.arange(n) + width <= owner_end[:n]
 
 
-def _profile(width: int):
-    """Per text: words, 128-bit key of its word sequence, digest of its joined words, and its fingerprints, one an occurrence."""
+def _profile(width: int, with_text: bool = False):
+    """Per text: words, 128-bit key of its word sequence, digest of its joined words, and its fingerprints, one an occurrence; last the text itself if asked for."""
     span = width - width // 2
 
     def run(batches):
@@ -104,9 +141,10 @@ def _profile(width: int):
                 keys = [sequence_key(h[x:y]) for x, y in zip(words.first[:-1], words.first[1:])]
                 prints = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(runs[chosen].view(np.int64), pa.int64()))
                 digests = [hashlib.sha256(t).hexdigest() for t in joined(words, np.ones(len(h), dtype=bool))]
+                text = [b.column(1)] if with_text else []
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(words.counts(), pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(digests), prints],
-                    names=["id", "n", "k1", "k2", "digest", "prints"],
+                    [b.column(0), pa.array(words.counts(), pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(digests), prints, *text],
+                    names=["id", "n", "k1", "k2", "digest", "prints"] + ["__text"] * with_text,
                 )
 
     return run
@@ -165,19 +203,26 @@ def _remove(width: int, with_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35, batches: int = 2, index: FingerprintIndex | None = None, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 35, batches: int = MOST_RUNS + 2, index: FingerprintIndex | None = None, with_text: bool = False) -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256), one row per row of ``docs``, ids being whole numbers; ``with_text`` adds
     ``kept``, the words left joined by one space.
 
     A word goes if a window that covers it has the same words as a window that starts anywhere else, in the same text or another; all
-    windows are judged on the input. ``docs`` enters ``index`` in ``batches`` parts (by hash of the id). Texts with equal words are
+    windows are judged on the input. ``docs`` enters ``index`` in ``batches`` parts (by hash of the words). With an index on a path of
+    its own the input of all earlier calls (of the same ``width``) counts as other texts, but gives no rows. Texts with equal words are
     one class: with ``width`` words or more each of them is covered whole, and one stands for all in the search. Null text has no words.
     Rows that repeat an id, or have none, are documents of their own. Extra columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    profile = materialize(base.mapInArrow(_profile(width), "id long, n long, k1 long, k2 long, digest string, prints array<long>"), "profile")
     index = index or FingerprintIndex(spark)
+    fields = "id long, n long, k1 long, k2 long, digest string, prints array<long>"
+    if index.lasting:
+        history = index.history()
+        profile = index.keep(base.mapInArrow(_profile(width, True), f"{fields}, __text string")).drop("__text")
+    else:
+        history = None
+        profile = materialize(base.mapInArrow(_profile(width), fields), "profile")
     hits = None
     for k in range(batches):
         part = profile.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k).select(F.explode("prints").alias("h"))
@@ -200,10 +245,19 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if repeated_ids:
         texts = texts.dropDuplicates(["node"])
     texts = materialize(texts.select("node", "__text", "weight", "hits"), "candidates")
+    counted = texts
+    if history is not None:
+        # texts of earlier calls that share a fingerprint; once each, as a window of theirs needs but one of ours to repeat
+        met = history.select("k1", "k2", F.explode(F.array_distinct("prints")).alias("h")).join(hits, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hits"))
+        old = history.select("k1", "k2", "__text").join(met, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        counted = texts.unionByName(materialize(old.select(F.lit(-1).cast("long").alias("node"), "__text", F.lit(1).cast("long").alias("weight"), "hits"), "earlier"))
+    if index.lasting:
+        index.added()
 
     windows = texts.mapInArrow(_windows(width), "node long, pos int, w1 long, w2 long, weight long")
     # written, so that the join below is of two plain exchanges and a window that many texts share can be split
-    counts = materialize(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times > 1"), "repeated")
+    every = counted.mapInArrow(_windows(width), "node long, pos int, w1 long, w2 long, weight long")
+    counts = materialize(every.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).where("times > 1"), "repeated")
     marks = windows.join(counts, ["w1", "w2"]).groupBy("node").agg(F.collect_list("pos").alias("marks"))
     fields = "node long, gone long, kept_sha256 string" + (", kept string" if with_text else "")
     # a class of several texts is covered whole and needs no marks

@@ -23,6 +23,12 @@ def brute(rows, width):
     return sorted(out, key=str)
 
 
+def with_history(earlier, rows, width):
+    """What brute force gives ``rows`` after ``earlier``: ids are told apart by the call."""
+    tagged = [((0, d), t) for d, t in earlier] + [((1, d), t) for d, t in rows]
+    return [(d, *rest) for (call, d), *rest in brute(tagged, width) if call]
+
+
 def passages(seed=2):
     rng = random.Random(seed)
     fresh = lambda n: [f"é{rng.randrange(10**6)}" for _ in range(n)]
@@ -63,6 +69,28 @@ def test_index_is_incremental_and_compacts(spark):
     assert {r.h for r in index.add(batch(4, 9)).collect()} == {4}
 
 
+def test_calls_with_one_index_count_history(spark, tmp_path):
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(9)
+    copy = " ".join(fresh(12))
+    calls = [
+        [(1, " ".join(fresh(5) + passage + fresh(4))), (2, copy), (3, None), (4, "a b")],
+        [(1, " ".join(fresh(3) + passage + fresh(8))), (5, copy), (6, " ".join(fresh(20)))],
+        [(7, " ".join(fresh(9))), (8, copy + " tail"), (9, copy + " tail"), (None, " ".join(passage[1:8]))],
+    ]
+    earlier: list = []
+    for rows in calls:
+        # an index of its own a call, as another session has it; three batches each, so that runs are compacted
+        index = FingerprintIndex(spark, f"file://{tmp_path}/index", most_runs=2)
+        assert bool(index.runs) == bool(earlier)
+        got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), width=6, batches=3, index=index, with_text=True).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(with_history(earlier, rows, 6), key=str)
+        earlier += rows
+        assert len(index.runs) <= 2
+    assert len(index.texts) == 3
+
+
 def test_query_against_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op6_substring_dedup(spark, sf).collect()), key=str) == sorted((x[:4] for x in brute(rows, 35)), key=str)
