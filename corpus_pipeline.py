@@ -27,12 +27,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
-    groups = jaccard_join.jaccard_join(docs)
-    kept = groups.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id").distinct()
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    if docs.where("doc_id is null").limit(1).count():
-        return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs, kind = line_dedup.numbered(docs.select(*COLUMNS), "doc_id")
+    if kind == "long":
+        kept = jaccard_join.jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+        return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    # rows without an id or with a repeated one are told apart by row; the least of a group is by id, nulls first, then row
+    docs = docs.withColumn("__key", F.col("__id.row"))
+    groups = jaccard_join.jaccard_join(docs, id_col="__key").select("__key", "component_id")
+    kept = groups.join(docs.select("__key", "__id"), "__key").groupBy("component_id").agg(F.min("__id").alias("least")).select(F.col("least.row").alias("__key"))
+    return docs.join(kept, "__key", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

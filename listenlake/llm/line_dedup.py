@@ -65,6 +65,11 @@ class Lines:
     def whole(self, base: int) -> np.ndarray:
         return self.without(self.at, self.at, self.at, self.at + self.n, base)
 
+    def solid(self) -> np.ndarray:
+        """Lines that hold anything but ASCII white space."""
+        dark = np.concatenate([[0], np.cumsum(~np.isin(self.data, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]))])
+        return dark[self.ends] > dark[self.starts]
+
     def coarse(self, parts: int) -> np.ndarray:
         """(line, key): the line without each of ``parts`` stretches. A line of n code points meets those of n - 1 and of n + 1.
 
@@ -82,12 +87,15 @@ class Lines:
         return np.stack(keys, axis=1)
 
 
-def _classes(least: int):
+def _classes(least: int, exact: int | None = None):
+    """Lines that are compared; ``near`` is false for those of ``exact`` to ``least`` code points, which only equal lines meet."""
+
     def run(batches):
         for batch in batches:
             for b in slices(batch, "__text"):
                 x = Lines(*text_buffer(b.column(1)))
-                keep = np.flatnonzero(x.n >= least)
+                near = x.n >= least
+                keep = np.flatnonzero(near if exact is None else near | ((x.n >= exact) & x.solid()))
                 coarse = x.coarse(2)[keep].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -96,8 +104,9 @@ def _classes(least: int):
                         pa.array(x.whole(BYTE_BASE)[keep].view(np.int64)),
                         pa.array(x.whole(SECOND_BASE)[keep].view(np.int64)),
                         *[pa.array(np.ascontiguousarray(coarse[:, k])) for k in range(4)],
+                        pa.array(near[keep]),
                     ],
-                    names=["id", "pos", "h1", "h2", "c0", "c1", "c2", "c3"],
+                    names=["id", "pos", "h1", "h2", "c0", "c1", "c2", "c3", "near"],
                 )
 
     return run
@@ -108,6 +117,7 @@ def _texts(batches):
     for batch in batches:
         for b in slices(batch, "__text"):
             x = Lines(*text_buffer(b.column(1)))
+            kind = b.schema.field(0).type
             h1, h2 = x.whole(BYTE_BASE).view(np.int64), x.whole(SECOND_BASE).view(np.int64)
             out: dict[str, list] = {"node": [], "line": [], "id": [], "pos": []}
             for row, (doc, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
@@ -117,7 +127,7 @@ def _texts(batches):
                         for name, v in (("node", a["node"]), ("line", x.data[x.starts[k] : x.ends[k]].tobytes()), ("id", doc), ("pos", a["pos"])):
                             out[name].append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["node"], pa.int64()), pa.array(out["line"], pa.binary()).cast(pa.string()), pa.array(out["id"], pa.int64()), pa.array(out["pos"], pa.int32())], names=["node", "line", "id", "pos"]
+                [pa.array(out["node"], pa.int64()), pa.array(out["line"], pa.binary()).cast(pa.string()), pa.array(out["id"], kind), pa.array(out["pos"], pa.int32())], names=["node", "line", "id", "pos"]
             )
 
 
@@ -178,16 +188,41 @@ def _without(batches):
             )
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def numbered(rows: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """(rows, type of ``__id``): ``__id`` tells rows apart and orders them by id, nulls first.
+
+    It is the id itself if ids are distinct and none is null. Else ``rows`` are written once with a row number, and it is (there, id, row).
+    """
+    ids = F.col(id_col).cast("long")
+    if not rows.groupBy(ids.alias("id")).count().where("count > 1 or id is null").limit(1).count():
+        return rows.withColumn("__id", ids), "long"
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn("__id", F.struct(ids.isNotNull().alias("there"), ids.alias("id"), F.col("__row").alias("row"))).drop("__row"), "struct<there: boolean, id: bigint, row: bigint>"
+
+
+def _row(kind: str, column: str = "id"):
+    """The whole number of a ``numbered`` id that rows are joined by."""
+    return F.col(column) if kind == "long" else F.col(column)["row"]
+
+
+def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(id, pos): every line of ``min_chars`` code points or more that an earlier line equals but for one edit at most.
 
-    Earlier is by (id, line number). A line goes if any earlier line of the input is within the bound, whether that one stays or not.
+    Earlier is by (id, row, line number). A line goes if any earlier line of the input is within the bound, whether that one stays or
+    not. Lines of ``exact_chars`` to ``min_chars`` code points that are not blank go as well if an earlier one is equal.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    lines = materialize(base.mapInArrow(_classes(min_chars), "id long, pos int, h1 long, h2 long, c0 long, c1 long, c2 long, c3 long"), "lines")
-    first = F.min(F.struct(F.col("id").isNotNull().alias("there"), "id", "pos"))
+    rows, kind = numbered(docs.select(id_col, text_col), id_col)
+    found = _gone(rows.select(F.col("__id").alias("id"), F.col(text_col).alias("__text")), kind, min_chars, exact_chars)
+    return found if kind == "long" else found.select(F.col("id.id").alias("id"), "pos")
+
+
+def _gone(base: DataFrame, kind: str, min_chars: int, exact_chars: int | None) -> DataFrame:
+    """``duplicate_lines`` of ``numbered`` rows (id, __text)."""
+    fields = f"id {kind}, pos int, h1 long, h2 long, c0 long, c1 long, c2 long, c3 long, near boolean"
+    lines = materialize(base.mapInArrow(_classes(min_chars, exact_chars), fields), "lines")
+    first = F.min(F.struct("id", "pos"))
     keys = ["c0", "c1", "c2", "c3"]
-    classes = lines.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in keys])
+    classes = lines.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("times"), F.first("near").alias("near"), *[F.min(c).alias(c) for c in keys])
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def met(rows: DataFrame) -> DataFrame:
@@ -195,19 +230,16 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         crowded = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
         return rows.join(crowded, "key").select("node").distinct()
 
-    survivors = met(classes.select("node", F.explode(F.array(*keys)).alias("key")))
+    survivors = met(classes.where("near").select("node", F.explode(F.array(*keys)).alias("key")))
     asked = classes.join(survivors, "node").select(F.col("first.id").alias("id"), F.struct(F.col("first.pos").alias("pos"), "node", "h1", "h2").alias("a"))
-    stand_in = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 62)))
-    asked = asked.groupBy(stand_in("id").alias("__key")).agg(F.collect_list("a").alias("asked"))
-    texts = base.withColumn("__key", stand_in("id")).join(asked, "__key").select("id", "__text", "asked").mapInArrow(_texts, "node long, line string, id long, pos int")
-    if base.groupBy(stand_in("id").alias("id")).count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["node"])
+    asked = asked.groupBy(_row(kind).alias("__key")).agg(F.collect_list("a").alias("asked"))
+    texts = base.withColumn("__key", _row(kind)).join(asked, "__key").select("id", "__text", "asked").mapInArrow(_texts, f"node long, line string, id {kind}, pos int")
     texts = materialize(texts, "texts")
     fine = met(texts.mapInArrow(_finer(16), "node long, key long"))
     near = materialize(texts.join(fine, "node"), "near")
 
-    variants = near.select("node", "line", "id", "pos").mapInArrow(_variants, "v1 long, v2 long, place int, node long, id long, pos int")
-    where = F.struct(F.col("id").isNotNull().alias("there"), "id", "pos", "node")
+    variants = near.select("node", "line", "id", "pos").mapInArrow(_variants, f"v1 long, v2 long, place int, node long, id {kind}, pos int")
+    where = F.struct("id", "pos", "node")
     variant = F.when(F.col("place") >= 0, F.col("where"))
     # lines that share a variant at a place differ in one code point, so groups are no larger than the alphabet times the line
     keyed = variants.select("v1", "v2", "place", "node", where.alias("where")).repartition("v1", "v2")
@@ -220,27 +252,30 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("node", "least")
     )
     found = found.where("node <> least.node").groupBy("node").agg(F.min("least").alias("least"))
-    mine = near.select("node", "line", F.struct(F.col("id").isNotNull().alias("there"), "id", "pos").alias("own"))
+    mine = near.select("node", "line", F.struct("id", "pos").alias("own"))
     theirs = near.select(F.col("node").alias("other"), F.col("line").alias("other_line"))
     found = found.where("least is not null").join(mine, "node").withColumn("other", F.col("least.node")).join(theirs, "other")
-    earlier = F.struct(F.col("least.there").alias("there"), F.col("least.id").alias("id"), F.col("least.pos").alias("pos"))
+    earlier = F.struct(F.col("least.id").alias("id"), F.col("least.pos").alias("pos"))
     gone = found.where((earlier < F.col("own")) & F.levenshtein("line", "other_line", 1).between(0, 1)).select("node", F.lit(True).alias("gone"))
 
     # classes of one line that nothing resembles are left out before lines meet them
     marked = classes.join(gone, "node", "left").where("times > 1 or gone").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    own = F.struct(F.col("id").isNotNull().alias("there"), "id", "pos")
+    own = F.struct("id", "pos")
     return lines.join(marked, ["h1", "h2"]).where(F.col("gone") | (own != F.col("first"))).select("id", "pos")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` but the text, with ``kept`` (the lines that stay), ``n_removed`` and ``kept_sha256``.
 
-    Lines part at line feeds; lines shorter than ``min_chars`` code points stay. Null text stays null (its digest is that of the
-    empty text), an empty text stays empty. Null ids sort first. Rows that repeat an id lose the lines of that id's list that
-    they share by number; ids should be distinct. Columns named like the results are replaced.
+    Lines part at line feeds; lines shorter than ``min_chars`` code points stay, or than ``exact_chars`` if that is given: between
+    the two only equal lines count. Null text stays null (its digest is that of the empty text), an empty text stays empty. Null ids sort
+    first; rows that repeat an id, or have none, are documents of their own, in the order of a written row number. Columns named like the
+    results are replaced.
     """
-    gone = duplicate_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars).groupBy(F.coalesce("id", F.lit(-(1 << 62))).alias("__key")).agg(F.collect_list("pos").alias("__gone"))
     keep = [c for c in docs.columns if c not in (text_col, "kept", "n_removed", "kept_sha256")]
-    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("__key"))
+    docs, kind = numbered(docs.select(*dict.fromkeys([*keep, id_col, text_col])), id_col)
+    gone = _gone(docs.select(F.col("__id").alias("id"), F.col(text_col).alias("__text")), kind, min_chars, exact_chars)
+    gone = gone.groupBy(_row(kind).alias("__key")).agg(F.collect_list("pos").alias("__gone"))
+    rows = docs.select(*keep, F.col(text_col).alias("__text"), _row(kind, "__id").alias("__key"))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.join(gone, "__key", "left").select(*keep, "__text", "__gone").mapInArrow(_without, f"{fields}, kept string, n_removed long, kept_sha256 string")

@@ -70,6 +70,16 @@ def test_odd_rows(spark):
     assert dedup_lines(df.where("false")).count() == 0
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    texts = ["shared first line\nonly in the first text", "shared first line\nonly in the second one", "a text by itself\nshared first line\ntwo", "a whole text twice", "a whole text twice"]
+    for ids in ([None] * 5, [4] * 5, [None, 7, 7, None, 7]):
+        rows = list(zip(ids, texts, range(5)))
+        df = spark.createDataFrame(rows, "doc_id long, text string, k int").coalesce(1)
+        order = sorted(range(5), key=lambda i: (ids[i] is not None, ids[i] or 0, i))
+        want = {order[d]: (kept, n) for d, kept, n, _ in brute([(d, texts[i]) for d, i in enumerate(order)], 10)}
+        assert {r.k: (r.kept, r.n_removed) for r in dedup_lines(df).collect()} == want
+
+
 def test_hash_without_a_stretch():
     texts = "héllo wörld\nabc"
     raw = np.frombuffer(texts.encode(), dtype=np.uint8)

@@ -98,3 +98,11 @@ def test_odd_documents(spark, tmp_path):
     assert P.run(spark, f"file://{tmp_path}").count() >= 1
     df.where("false").write.parquet(f"file://{tmp_path}/none/documents.parquet")
     assert P.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_copies_without_an_id_of_their_own(spark, sf):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (None, text), (5, text), (5, text), (6, "something else that nothing here is like at all"), (6, "and a third text of quite other words than these"), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.dedup_documents(spark, df, sf).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([rows[0], rows[4], rows[5], rows[6]], key=str)
