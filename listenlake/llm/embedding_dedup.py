@@ -24,6 +24,8 @@ MOST_PIVOTS = 64
 ALL_PIVOTS = 8192
 #: Vectors that a block holds; a cell is joined by pairs of blocks.
 BLOCK = 2048
+#: Pivots nearer to each other than this are one: from there on distances from the plane between them are right to 1e-9.
+CLOSE = 1e-5
 
 
 def _unit(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +53,19 @@ def _units(batches):
         )
 
 
+def _apart(p: np.ndarray, least: float = CLOSE) -> np.ndarray:
+    """The pivots without those closer than ``least`` to one before them: the plane between two such is lost in rounding."""
+    taken: list[int] = []
+    for i, x in enumerate(p):
+        if all(np.linalg.norm(x - p[j]) >= least for j in taken):
+            taken.append(i)
+    return p[taken]
+
+
 def _cells(pivots: dict[tuple[int, int], np.ndarray], radius: float):
     """Rows (part, cell, home, ...) : each vector at home and in every cell whose points may be within the radius."""
     slack = radius + 1e-9
+    pivots = {key: _apart(p) for key, p in pivots.items()}
 
     def run(batches):
         for b in batches:
@@ -69,7 +81,7 @@ def _cells(pivots: dict[tuple[int, int], np.ndarray], radius: float):
                 x = np.frombuffer(b"".join(b.column(3).take(pa.array(rows)).to_pylist()), dtype=np.float64).reshape(len(rows), -1)
                 d2 = np.maximum(0, 2 - 2 * x @ p.T)
                 home = d2.argmin(axis=1)
-                near = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+                near = np.stack([np.linalg.norm(p - q, axis=1) for q in p])
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gap = (d2 - d2[np.arange(len(rows)), home][:, None]) / (2 * near[home])
                 at, cell = np.nonzero((gap <= slack) | (np.arange(len(p))[None, :] == home[:, None]))

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-from listenlake.llm.embedding_dedup import metric_join
+from listenlake.llm.embedding_dedup import _cells, metric_join
 from listenlake.llm.queries import op5_embedding_dedup
 
 
@@ -48,6 +49,21 @@ def test_cells_and_blocks_against_brute_force(spark):
     assert metric_join(df.where("false")).count() == 0
 
 
+def test_pivots_that_rounding_alone_tells_apart():
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=7)
+    x = np.stack([v / np.linalg.norm(v) for v in [*(hot * s for s in rng.uniform(0.1, 9, size=200)), *(hot + rng.normal(size=7) * 0.05 for _ in range(60))]])
+    n = len(x)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.zeros(n, dtype=np.int64)), pa.array(np.full(n, 7)), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "label", "dim", "vec"])
+    out = pa.Table.from_batches(list(_cells({(0, 7): np.unique(x[:200], axis=0)}, np.sqrt(2 - 2 * 0.93))([batch]))).to_pylist()
+    cells = {r["id"]: set() for r in out}
+    home = {r["id"]: r["cell"] for r in out if r["home"]}
+    for r in out:
+        cells[r["id"]].add(r["cell"])
+    near = x @ x.T >= 0.93
+    assert all(home[i] in cells[j] for i, j in zip(*np.nonzero(near)))
+
+
 def test_query_against_brute_force(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, op5_embedding_dedup(spark, sf).collect())) == brute(rows)
