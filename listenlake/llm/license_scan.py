@@ -1,6 +1,6 @@
 """License scans by patience alignment of texts with license templates.
 
-A region of a text in which words of a template are dense is aligned with it: words that occur once in each are anchors, their longest
+Regions of a text that hold enough words of a template, short ones first, are aligned with it: words that occur once in each are anchors, their longest
 increasing subsequence is kept, and the gaps between anchors are aligned in the same way. Coverage is the share of the template's
 words that are aligned.
 """
@@ -115,31 +115,68 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
 
 
 def scan(words: np.ndarray, template: np.ndarray, cover: float) -> list[tuple[float, int, int]]:
-    """(coverage, first word, end word) of each occurrence of the template in a text, none overlapping, from left to right."""
+    """(coverage, first word, end word) of each occurrence of the template in a text, none overlapping, from left to right.
+
+    First windows of 1.25 template lengths that hold enough of its words are aligned. What they leave free is aligned in windows twice as
+    long each time, begun at every half of their length, up to the whole stretch: foreign words may spread an occurrence as far as they like.
+    """
     t = len(template)
-    sums = np.concatenate([[0], np.cumsum(np.isin(words, template))])
-    span = t + t // 4 + 1
-    ends = np.minimum(np.arange(len(words)) + span, len(words))
-    dense = np.flatnonzero(sums[ends] - sums[:-1] >= cover * t)
-    found, free = [], 0
     goal = template.tolist()
-    k = 0
+    known, times = np.unique(template, return_counts=True)
+    place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    is_known = known[place] == words
+    # how often each word of the template occurs before each word of the text
+    before = np.zeros((len(words) + 1, len(known)), dtype=np.int32)
+    before[np.flatnonzero(is_known) + 1, place[is_known]] = 1
+    before = np.cumsum(before, axis=0, dtype=np.int32)
+
+    def shared(begin, end):
+        """Words that stretches of the text and the template share: no alignment has more pairs."""
+        return np.minimum(before[end] - before[begin], times).sum(axis=-1)
+
+    found: list[tuple[float, int, int]] = []
+
+    def align(low: int, high: int) -> bool:
+        pairs = patience(words[low:high].tolist(), goal)
+        if len(pairs) < cover * t:
+            return False
+        found.append((len(pairs) / t, low + pairs[0][0], low + pairs[-1][0] + 1))
+        return True
+
+    span = t + t // 4 + 1
+    begins = np.arange(len(words))
+    ends = np.minimum(begins + span, len(words))
+    common = shared(begins, ends) if len(words) else np.zeros(0, dtype=np.int64)
+    dense = np.flatnonzero(common >= cover * t)
+    free = k = 0
+    failed = None
     while k < len(dense):
         begin = max(free, int(dense[k]))
         # the densest window among those that begin within a template's length
-        stop = np.searchsorted(dense, begin + t, side="right")
-        near = dense[k:stop]
-        best = int(near[np.argmax(sums[ends[near]] - sums[near])])
-        low, high = max(free, best - t // 4), min(len(words), best + span + t // 4)
-        pairs = patience(words[low:high].tolist(), goal)
-        if len(pairs) >= cover * t:
-            first, last = low + pairs[0][0], low + pairs[-1][0] + 1
-            found.append((len(pairs) / t, first, last))
-            free = last
+        near = dense[k : np.searchsorted(dense, begin + t, side="right")]
+        best = int(near[np.argmax(common[near])])
+        region = max(free, best - t // 4), min(len(words), best + span + t // 4)
+        if region != failed and align(*region):
+            free = found[-1][2]
             k = int(np.searchsorted(dense, free))
         else:
-            k = int(stop)
-    return found
+            failed = region
+            k += 1
+    while True:
+        span *= 2
+        edges = [0, *(x for _, a, z in sorted(found, key=lambda f: f[1]) for x in (a, z)), len(words)]
+        for low, high in zip(edges[::2], edges[1::2]):
+            at = low
+            while at < high:
+                end = min(high, at + span)
+                if shared(at, end) >= cover * t and align(at, end):
+                    at = found[-1][2]
+                elif end == high:
+                    break
+                else:
+                    at += span // 2
+        if span >= len(words):
+            return sorted(found, key=lambda f: f[1])
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, cover: float = 0.8) -> DataFrame:
@@ -153,7 +190,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     for text in templates.values():
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         goals.append(folded_words(raw, np.array([0, len(raw)]))[1])
-    vocabulary = [np.unique(g) for g in goals]
+    vocabulary, times = zip(*(np.unique(g, return_counts=True) for g in goals))
 
     def run(batches):
         for batch in batches:
@@ -163,11 +200,12 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 maybe: dict[int, list[int]] = {}
                 for k, (goal, known) in enumerate(zip(goals, vocabulary)):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    sums = np.concatenate([[0], np.cumsum(known[at] == h)])
-                    span = len(goal) + len(goal) // 4 + 1
-                    ends = np.minimum(np.arange(len(h)) + span, len(h))
-                    dense = np.flatnonzero(sums[ends] - sums[:-1] >= cover * len(goal))
-                    for row in np.unique(np.searchsorted(words.first, dense, side="right") - 1):
+                    # texts that have as many of the template's words as a place needs
+                    there = np.flatnonzero(known[at] == h)
+                    rows = np.searchsorted(words.first, there, side="right") - 1
+                    n_texts = len(words.first) - 1
+                    counts = np.bincount(rows * len(known) + at[there], minlength=n_texts * len(known)).reshape(n_texts, len(known))
+                    for row in np.flatnonzero(np.minimum(counts, times[k]).sum(axis=1) >= cover * len(goal)):
                         maybe.setdefault(int(row), []).append(k)
                 out: dict[str, list] = {"row": [], "license": [], "coverage": [], "start": [], "end": [], "matched": []}
                 for row, which in sorted(maybe.items()):

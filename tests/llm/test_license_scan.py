@@ -54,6 +54,23 @@ def test_exact_edited_and_repeated(spark):
     assert got[0][3] == L.TEMPLATES["MIT text"].rstrip(".") and got[3][3].startswith("Rel") or got[2][3].startswith("RELEASED")
 
 
+def test_places_spread_by_foreign_words():
+    code: dict[str, int] = {}
+    words = lambda t: np.array([code.setdefault(w, len(code)) for w in re.findall("[a-z0-9]+", t.lower())], dtype=np.int64)
+    goal = words(L.TEMPLATES["Apache-2.0"])
+    marked = 'Licensed under the <a href="https://example.org/legal/terms.html" target="_blank" rel="noopener">Apache License</a>, Version 2.0'
+    assert len(L.patience(words(marked).tolist(), goal.tolist())) == len(goal)
+    filler = "here is some of the text under which a version of it stands " * 9
+    for text, n in ((marked, 1), (filler + marked + filler, 1), (filler.join([marked] * 3), 3)):
+        got = L.scan(words(text), goal, 0.8)
+        assert len(got) == n and all(share >= 0.8 for share, _, _ in got)
+    rng = random.Random(6)
+    for name in ("MIT text", "GPL header", "BSD-2-Clause"):
+        goal = words(L.TEMPLATES[name])
+        text = [x for w in goal.tolist() for x in [w] + [10**6 + rng.randrange(10**6)] * rng.randrange(4)]
+        assert [x[0] >= 0.8 for x in L.scan(np.array(text), goal, 0.8)] == [len(L.patience(text, goal.tolist())) >= 0.8 * len(goal)]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.license) for r in L.scan_licenses(df).collect()), key=str) == [(1, "MIT"), (1, "MIT"), (None, "CC-BY-NC-4.0")]
