@@ -80,6 +80,13 @@ def test_rows_without_an_id_of_their_own(spark):
         assert {r.k: (r.kept, r.n_removed) for r in dedup_lines(df).collect()} == want
 
 
+def test_short_lines_join_by_equality(spark):
+    df = spark.createDataFrame([(1, "Share\n \nSharf"), (2, "Share\n \n\nabc"), (3, "abc\nShare")], "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in dedup_lines(df, exact_chars=1).collect()}
+    assert got == {1: "Share\n \nSharf", 2: " \n\nabc", 3: ""}
+    assert all(r.n_removed == 0 for r in dedup_lines(df).collect())
+
+
 def test_hash_without_a_stretch():
     texts = "héllo wörld\nabc"
     raw = np.frombuffer(texts.encode(), dtype=np.uint8)
