@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import signature, signature_hash, split_variants
+from ..store import new_path, remove
 
 #: Names known to be the same; the smallest threshold that joins each group is searched.
 ANCHORS_EXAMPLE = (("hot ring", "hot rings"),)
 
 
 def _cut(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read back."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/listenlake-checkpoints"
-    path = f"{base.rstrip('/')}/labels-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back, and the place."""
+    path = new_path(df.sparkSession, "labels")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def clusters(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(name, cluster): least name reachable over edges (a, b). Equals density clustering with two points a core; names without edges are noise and absent."""
-    edges, _ = _cut(edges.select("a", "b"))  # scored once, not once a round
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels, _ = _cut(both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.min("a")).alias("cluster")))
+    spark = edges.sparkSession
+    edges, at_edges = _cut(edges.select("a", "b"))  # scored once, not once a round
+    both, at_both = _cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    remove(spark, at_edges)
+    labels, at = _cut(both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.min("a")).alias("cluster")))
     for _ in range(most_rounds):
         around = both.join(labels.select(F.col("name").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("name")).agg(F.min("cluster").alias("near"))
         met = labels.join(around, "name").withColumn("low", F.least("cluster", "near"))
         # to the label of the label as well: long chains halve each round
         jump = labels.select(F.col("name").alias("low"), F.col("cluster").alias("far"))
-        new, _ = _cut(met.join(jump, "low", "left").select("name", F.coalesce(F.least("low", "far"), "low").alias("cluster"), (F.coalesce(F.least("low", "far"), "low") != F.col("cluster")).alias("moved")))
-        labels = new.select("name", "cluster")
+        new, at_new = _cut(met.join(jump, "low", "left").select("name", F.coalesce(F.least("low", "far"), "low").alias("cluster"), (F.coalesce(F.least("low", "far"), "low") != F.col("cluster")).alias("moved")))
+        remove(spark, at)
+        labels, at = new.select("name", "cluster"), at_new
         if not new.where("moved").limit(1).count():
+            remove(spark, at_both)
             return labels
     raise RuntimeError(f"clusters did not settle in {most_rounds} rounds")
 
