@@ -1,69 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables of the corpus operators: those of the library."""
 
-from __future__ import annotations
+from ..store import children, clear, exists, mark, materialize, new_path, remove, scope, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-_MADE: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="listenlake-")
-    return _LOCAL[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once as Parquet and read it back: lineage ends here and lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _at(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _at(spark, path)
-    return fs.exists(target)
-
-
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none if it is not there."""
-    fs, target = _at(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
-
-
-def mark(spark: SparkSession, path: str) -> None:
-    """Put an empty file there."""
-    fs, target = _at(spark, path)
-    fs.create(target, True).close()
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete every intermediate table of this process: for the end of a job, when its results are written."""
-    while _MADE:
-        remove(spark, _MADE.pop())
+__all__ = ["children", "clear", "exists", "mark", "materialize", "new_path", "remove", "scope", "shared_dir"]

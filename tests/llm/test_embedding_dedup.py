@@ -67,3 +67,31 @@ def test_pivots_that_rounding_alone_tells_apart():
 def test_query_against_brute_force(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, op5_embedding_dedup(spark, sf).collect())) == brute(rows)
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (None, [2.0, 0.0], 1), (None, [0.0, 1.0], 1), (None, [0.0, 3.0], 1), (5, [1.0, 0.01], 1), (5, [-1.0, 0.0], 1), (None, None, 1), (None, [1.0, 0.0], None)]
+    got = metric_join(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(1, 2, 1, True), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (5, 2, 1, False), (5, 0, 5, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_crowded_cells_are_cut_again_and_compare_less(spark):
+    """Clusters in space: comparisons at default settings, against all pairs, at two sizes."""
+    from listenlake.llm import embedding_dedup as E
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    compared = {}
+    for n in (1500, 7500):
+        centres = rng.normal(size=(n // 50, 6))
+        x = centres[rng.integers(len(centres), size=n)] + rng.normal(size=(n, 6)) * 0.05
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, bytes(v.tobytes())) for i, v in enumerate(x)], "id long, vec binary")
+        points = df.selectExpr("id", "7L AS label", "6 AS dim", "vec", "1L AS weight")
+        cells = E._inner_cells(points, np.sqrt(2 - 2 * 0.93), E.PER_PIVOT, E.MOST_PIVOTS)
+        per = cells.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("own")).collect()
+        assert sum(r.own for r in per) == n and len(per) > 4
+        compared[n] = sum(r.n * r.own for r in per)
+    print(compared)
+    assert compared[1500] < 0.5 * 1500**2 and compared[7500] < 0.25 * 7500**2
