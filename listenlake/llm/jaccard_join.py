@@ -3,9 +3,12 @@
 A document is the set of hashes of its runs of five words. Equal sets form a class, of which the least id goes on. A
 sketch holds the minimum of the set under each of many hash functions. From a node of a run's tree a set goes to the children
 of a few randomly chosen coordinates of its sketch, one for each value: two sets meet there if their minima are the same shared token.
-Buckets with few sets are compared by sketch; larger ones split again; what is still large at the last level is compared in
-blocks. Runs repeat until the recall of a pair at the threshold reaches the target. Sets that a sketch links form groups, and in
-these every pair is verified on the whole sets, block by block: tasks return sums and local components, never pairs.
+Buckets split again until they are small, or until nearly all of a bucket goes the same way: its sets are alike, and to compare
+them is the work that their links ask for. At a leaf sets are compared by sketch, large ones block by block. Runs repeat until the
+recall of a pair at the threshold, loss by the sketch included, reaches the target.
+
+A pair of which one set met few others in the leaf is verified by itself, on the whole sets. Sets that met many form groups, in
+which every pair is verified block by block: tasks return sums and local components, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from .store import materialize
 
 COORDINATES = 64
 FANOUT = 2
-#: Sketches agree in fewer coordinates than the sets' similarity by chance: four standard deviations of slack.
-SLACK = 0.2
+#: Buckets of up to SMALL sets are leaves, and those that hold more than ALIKE of the bucket they were split from.
 SMALL = 256
-DEPTH = 3
+ALIKE = 0.6
+#: Partners in a leaf up to which a set's pairs are verified one by one.
+LIGHT = 16
 #: Sets a block holds in sketch comparison, and tokens in verification; a group is split into pairs of blocks.
 BLOCK_SETS = 2048
 BLOCK_TOKENS = 1_500_000
@@ -52,12 +56,30 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(window_hashes(s, len(s))[0].astype(np.int64)), int(window_hashes(s, len(s), SECOND_BASE)[0].astype(np.int64))
 
 
-def runs_needed(threshold: float, recall: float, fanout: int = FANOUT, depth: int = DEPTH) -> int:
-    """Runs until a pair at the threshold has met at the last level of one with probability ``recall``."""
-    met = 1.0
-    for _ in range(depth):
-        met = 1 - (1 - threshold * met) ** fanout
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+def agreements(threshold: float) -> np.ndarray:
+    """Chances that the sketches of a pair at the threshold agree in 0, 1, ... COORDINATES coordinates."""
+    k = range(COORDINATES + 1)
+    return np.array([math.comb(COORDINATES, x) * threshold**x * (1 - threshold) ** (COORDINATES - x) for x in k])
+
+
+def least_agreement(threshold: float, recall: float) -> int:
+    """Coordinates in which sketches must agree: a pair at the threshold is lost by it with a twentieth of the loss allowed at most."""
+    return max(1, int(np.searchsorted(np.cumsum(agreements(threshold)), (1 - recall) / 20)))
+
+
+def runs_needed(threshold: float, recall: float, fanout: int = FANOUT) -> int:
+    """Runs until a pair at the threshold has met at a leaf of one, however deep, and passed the sketch, with probability ``recall``.
+
+    Both depend on how many coordinates agree, so the chances are taken over that number.
+    """
+    share, met = np.arange(COORDINATES + 1) / COORDINATES, np.ones(COORDINATES + 1)
+    for _ in range(60):
+        met = 1 - (1 - share * met) ** fanout
+    chance, least = agreements(threshold), least_agreement(threshold, recall)
+    runs = 1
+    while chance[:least].sum() + (chance * (1 - met) ** runs)[least:].sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _mix1(x: int) -> int:
@@ -152,10 +174,12 @@ def _split(batches):
     for b in batches:
         paths, ids, sk = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), _sketches(b.column(2))
         rows, below = _children(paths, sk)
-        yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), pa.array(ids[rows])], names=["path", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), pa.array(ids[rows]), b.column(3).take(pa.array(rows))], names=["path", "id", "above"])
 
 
 def _compare_sketches(least: int):
+    """(a, b, heavy): pairs that a set which met few is in, and links of those that met many with the least of their kind."""
+
     def run(batches):
         for g in _groups(batches, 3):
             ids, side, sk = g.column("id").to_numpy(), g.column("block").to_numpy(), _sketches(g.column("sketch"))
@@ -169,10 +193,20 @@ def _compare_sketches(least: int):
                 np.fill_diagonal(linked, False)
             if not linked.any():
                 continue
-            ra, rb = local_roots(linked, ids[a], ids[b])
-            node, root = np.concatenate([ids[a], ids[b]]), np.concatenate([ra, rb])
-            moved = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(root[moved])], names=["a", "b"])
+            many_a, many_b = linked.sum(axis=1) > LIGHT, linked.sum(axis=0) > LIGHT
+            x, y = np.nonzero(linked & ~(many_a[:, None] & many_b[None, :]))
+            first, second = np.minimum(ids[a[x]], ids[b[y]]), np.maximum(ids[a[x]], ids[b[y]])
+            if i == j:
+                first, second = first[x < y], second[x < y]
+            nodes, roots = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            if many_a.any() and many_b.any():
+                ha, hb = ids[a[many_a]], ids[b[many_b]]
+                ra, rb = local_roots(linked[np.ix_(many_a, many_b)], ha, hb)
+                nodes, roots = np.concatenate([ha, hb]), np.concatenate([ra, rb])
+                nodes, roots = nodes[nodes != roots], roots[nodes != roots]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([first, nodes])), pa.array(np.concatenate([second, roots])), pa.array(np.arange(len(first) + len(nodes)) >= len(first))], names=["a", "b", "heavy"]
+            )
 
     return run
 
@@ -246,6 +280,26 @@ def _verify(width: int, threshold: float):
     return run
 
 
+def _verify_pairs(threshold: float):
+    """(a, b, links) both ways for pairs at the threshold; rows are (a, b, weight_a, weight_b, tokens_a, tokens_b)."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, wa, wb = (batch.column(k).to_numpy() for k in range(4))
+            hit = np.zeros(len(a), dtype=bool)
+            for k in range(len(a)):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), dtype="<u8") for c in (4, 5))
+                # of the shorter set each token is looked up in the other, both being sorted
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                hit[k] = both >= threshold * (len(x) + len(y) - both) - 1e-6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([a[hit], b[hit]])), pa.array(np.concatenate([b[hit], a[hit]])), pa.array(np.concatenate([wb[hit], wa[hit]]).astype(np.int64))], names=["a", "b", "links"]
+            )
+
+    return run
+
+
 def _tokens(width: int):
     def run(batches):
         for batch in batches:
@@ -261,13 +315,35 @@ def _tokens(width: int):
     return run
 
 
+def _leaves(sketches: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(path, id, size): sets in the leaves of all runs' trees, without leaves of one set."""
+    leaves = []
+    rows = sketches.mapInArrow(_roots(runs_needed(threshold, recall)), "path long, id long").withColumn("above", F.lit(sketches.count()).cast("long"))
+    depth = 1
+    while True:
+        rows = materialize(rows, f"paths{depth}")
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.first("above").alias("above")).where("size > 1")
+        goes_on = (F.col("size") > SMALL) & (F.col("size") <= ALIKE * F.col("above"))
+        # few: each holds more than SMALL sets
+        crowded = materialize(sizes.where(goes_on).select("path", "size"), "crowded")
+        leaves.append(rows.select("path", "id").join(sizes.where(~goes_on), "path").select("path", "id", "size"))
+        if not crowded.limit(1).count():
+            break
+        more = rows.select("path", "id").join(crowded, "path").join(sketches, "id").select("path", "id", "sketch", "size")
+        rows, depth = more.mapInArrow(_split, "path long, id long, above long"), depth + 1
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """(id_col, class_id, n_links, component_id), one row per row of ``docs``; ids are whole numbers.
 
     ``class_id``: least id with the same shingle set. ``n_links``: other documents at similarity >= ``threshold``, copies
     counted each. ``component_id``: least id reachable by links. A text of fewer than ``width`` words is one shingle of all its words;
     null or empty texts, and rows with null id, link with nothing and are their own class. Rows that repeat an id are
-    documents of their own; of those with equal text each counts as a copy of the other.
+    documents of their own; of those with equal text each counts as a copy of the other. An empty table gives no rows; extra columns are not read.
     """
     spark = docs.sparkSession
     rng = np.random.default_rng(20240229)
@@ -279,36 +355,29 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sketches = classes.select(F.col("node").alias("id"), "sketch")
 
-    # chosen paths
-    leaves = []
-    rows = sketches.mapInArrow(_roots(runs_needed(threshold, recall)), "path long, id long")
-    for depth in range(1, DEPTH + 1):
-        rows = materialize(rows, f"paths{depth}")
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = rows.join(sizes, "path")
-        if depth == DEPTH:
-            leaves.append(rows)
-        else:
-            leaves.append(rows.where(F.col("size") <= SMALL))
-            rows = rows.where(F.col("size") > SMALL).select("path", "id").join(sketches, "id").select("path", "id", "sketch").mapInArrow(_split, "path long, id long")
-    met = leaves[0]
-    for more in leaves[1:]:
-        met = met.unionByName(more)
-    met = _blocked(met, "path", F.ceil(F.col("size") / BLOCK_SETS)).join(sketches, "id").select("path", "bi", "bj", "id", "block", "sketch")
-    least = math.ceil((threshold - SLACK) * COORDINATES)
-    guesses = _dealt(met, "path", "bi", "bj").mapInArrow(_compare_sketches(least), "a long, b long")
-    groups = materialize(components(guesses, "guessed").distinct(), "groups")
+    met = _blocked(_leaves(sketches, threshold, recall), "path", F.ceil(F.col("size") / BLOCK_SETS)).join(sketches, "id").select("path", "bi", "bj", "id", "block", "sketch")
+    guesses = materialize(_dealt(met, "path", "bi", "bj").mapInArrow(_compare_sketches(least_agreement(threshold, recall)), "a long, b long, heavy boolean"), "guesses")
+    groups = materialize(components(guesses.where("heavy").select("a", "b"), "guessed").distinct(), "groups")
+    group_of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"group_{end}"))
+    pairs = guesses.where("not heavy").select("a", "b").distinct().join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
+    pairs = materialize(pairs.where("group_a is null or group_b is null or group_a <> group_b").select("a", "b"), "pairs")
 
     # verification on whole sets; the text of a class is found by its least id and told by its hashes
-    members = groups.join(classes.select("node", "rep", "weight", "n", "k1", "k2"), "node")
-    load = members.groupBy("component").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias("blocks"))
-    members = members.join(load, "component").select(F.col("rep").alias("id"), "node", F.col("component").alias("grp"), "weight", "blocks", "k1", "k2")
-    one = base.join(members, "id").select("node", "__text", "grp", "weight", "blocks", "k1", "k2")
-    sets = one.mapInArrow(_tokens(width), "id long, tokens binary, grp long, weight long, blocks long")
+    partners = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
+    members = partners.join(classes.select("node", "rep", "weight", "n", "k1", "k2"), "node").select(F.col("rep").alias("id"), "node", "weight", F.col("n").cast("long").alias("n"), "k1", "k2")
+    one = base.join(members, "id").select("node", "__text", F.lit(0).cast("long").alias("grp"), "weight", "n", "k1", "k2")
+    sets = one.mapInArrow(_tokens(width), "id long, tokens binary, grp long, weight long, n long").drop("grp")
     if base.groupBy("id").count().where("count > 1 and id is not null").limit(1).count():
         sets = sets.dropDuplicates(["id"])
-    blocked = _blocked(sets, "grp", F.col("blocks")).select("grp", "bi", "bj", "id", "block", "weight", "tokens")
-    found = materialize(_dealt(blocked, "grp", "bi", "bj").mapInArrow(_verify(width, threshold), "a long, b long, links long"), "links")
+    sets = materialize(sets, "sets")
+    side = lambda end: sets.select(F.col("id").alias(end), F.col("weight").alias(f"weight_{end}"), F.col("tokens").alias(f"tokens_{end}"))
+    by_pair = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "weight_a", "weight_b", "tokens_a", "tokens_b")
+    links = "a long, b long, links long"
+    found = by_pair.mapInArrow(_verify_pairs(threshold), links)
+    grouped = sets.join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
+    load = grouped.groupBy("grp").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias("blocks"))
+    blocked = _blocked(grouped.join(load, "grp"), "grp", F.col("blocks")).select("grp", "bi", "bj", "id", "block", "weight", "tokens")
+    found = materialize(found.unionByName(_dealt(blocked, "grp", "bi", "bj").mapInArrow(_verify(width, threshold), links)), "links")
     linked = components(found.select("a", "b"), "linked").distinct().join(classes.select("node", "rep"), "node")
     least_id = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = linked.join(least_id, "component").select("node", "component_id")

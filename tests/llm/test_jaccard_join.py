@@ -82,3 +82,62 @@ def test_query_against_brute_force(spark, sf):
 
 def test_runs_reach_recall():
     assert J.runs_needed(0.8, 0.99) <= J.runs_needed(0.8, 0.9999) <= 8
+
+
+def test_recall_at_the_threshold_is_measured(spark):
+    """2000 pairs of sets at a similarity of exactly 0.8: all but a handful link (the target leaves 0.2 of them on average)."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(2000):
+        shared = [f"{k}s{i}" for i in range(40)]
+        for side in "ab":
+            words = shared + [f"{k}{side}{i}" for i in range(5)]
+            rng.shuffle(words)
+            rows.append((len(rows), " ".join(words)))
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()
+    found = sum(r.n_links for r in got) / len(got)
+    print("recall", found)
+    assert found >= 0.998 and all(r.component_id in (r.doc_id, r.doc_id - 1) for r in got)
+
+
+def test_chains_and_crowds_split_until_small(spark, monkeypatch):
+    """Many sets that share a passage but no more, a chain of sets each like the next, and a crowd all alike, in small buckets."""
+    monkeypatch.setattr(J, "SMALL", 8)
+    monkeypatch.setattr(J, "LIGHT", 3)
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, crowd = fresh(40), fresh(80)
+    texts = [passage + fresh(30) for _ in range(60)]
+    chain = fresh(300)
+    texts += [chain[8 * i : 8 * i + 120] for i in range(23)]
+    for _ in range(40):
+        copy = list(crowd)
+        copy[rng.randrange(80)] = "x"
+        texts.append(copy)
+    check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+
+
+def test_pairs_verified_grow_with_the_links(spark):
+    """Five times the documents: about five times the pairs that are verified."""
+    from listenlake.llm.store import materialize
+
+    counts, plain = {}, materialize
+    for n in (400, 2000):
+        seen = {}
+        keep = lambda df, name, *a: seen.setdefault(name, plain(df, name, *a))  # noqa: E731, B023
+        rng = random.Random(n)
+        rows = []
+        for k in range(n // 4):
+            words = [f"{k}v{rng.randrange(500)}" for _ in range(100)] if k % 2 else ["p"] * 3 + [f"u{rng.randrange(10**6)}" for _ in range(100)]
+            for _ in range(4):
+                copy = list(words)
+                copy[rng.randrange(100)] = "z"
+                rows.append((len(rows), " ".join(copy)))
+        old, J.materialize = J.materialize, keep
+        try:
+            assert J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count() == n
+        finally:
+            J.materialize = old
+        counts[n] = seen["pairs"].count()
+    print("pairs verified", counts)
+    assert counts[2000] <= 7 * counts[400]
