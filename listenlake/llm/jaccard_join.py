@@ -260,7 +260,7 @@ def _verify(width: int, threshold: float):
     def run(batches):
         for g in _groups(batches, 3):
             ids, side, weight = (g.column(c).to_numpy() for c in ("id", "block", "weight"))
-            sets = [np.frombuffer(s, dtype="<u8") for s in g.column("tokens").to_pylist()]
+            sets = [s.values.to_numpy().view(np.uint64) for s in g.column("tokens")]
             i, j = g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
             a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
             if not len(a) or not len(b):
@@ -280,26 +280,6 @@ def _verify(width: int, threshold: float):
     return run
 
 
-def _verify_pairs(threshold: float):
-    """(a, b, links) both ways for pairs at the threshold; rows are (a, b, weight_a, weight_b, tokens_a, tokens_b)."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, wa, wb = (batch.column(k).to_numpy() for k in range(4))
-            hit = np.zeros(len(a), dtype=bool)
-            for k in range(len(a)):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), dtype="<u8") for c in (4, 5))
-                # of the shorter set each token is looked up in the other, both being sorted
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                hit[k] = both >= threshold * (len(x) + len(y) - both) - 1e-6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a[hit], b[hit]])), pa.array(np.concatenate([b[hit], a[hit]])), pa.array(np.concatenate([wb[hit], wa[hit]]).astype(np.int64))], names=["a", "b", "links"]
-            )
-
-    return run
-
-
 def _tokens(width: int):
     def run(batches):
         for batch in batches:
@@ -307,10 +287,10 @@ def _tokens(width: int):
                 sets, rows = [], []
                 for row, (s, k1, k2) in enumerate(zip(shingle_sets(b, 1, width), b.column(5).to_pylist(), b.column(6).to_pylist())):
                     if len(s) and set_key(s) == (k1, k2):
-                        sets.append(s.astype("<u8").tobytes())
+                        sets.append(s.view(np.int64))
                         rows.append(row)
                 own = b.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.binary()), *own.columns[2:5]], names=["id", "tokens", *b.schema.names[2:5]])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.list_(pa.int64())), *own.columns[2:5]], names=["id", "tokens", *b.schema.names[2:5]])
 
     return run
 
@@ -366,14 +346,16 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     partners = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
     members = partners.join(classes.select("node", "rep", "weight", "n", "k1", "k2"), "node").select(F.col("rep").alias("id"), "node", "weight", F.col("n").cast("long").alias("n"), "k1", "k2")
     one = base.join(members, "id").select("node", "__text", F.lit(0).cast("long").alias("grp"), "weight", "n", "k1", "k2")
-    sets = one.mapInArrow(_tokens(width), "id long, tokens binary, grp long, weight long, n long").drop("grp")
+    sets = one.mapInArrow(_tokens(width), "id long, tokens array<long>, grp long, weight long, n long").drop("grp")
     if base.groupBy("id").count().where("count > 1 and id is not null").limit(1).count():
         sets = sets.dropDuplicates(["id"])
     sets = materialize(sets, "sets")
     side = lambda end: sets.select(F.col("id").alias(end), F.col("weight").alias(f"weight_{end}"), F.col("tokens").alias(f"tokens_{end}"))
-    by_pair = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "weight_a", "weight_b", "tokens_a", "tokens_b")
+    by_pair = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    by_pair = by_pair.where((F.col("both") > 0) & (F.col("both") >= threshold * (F.size("tokens_a") + F.size("tokens_b") - F.col("both")) - 1e-6))
+    ways = F.array(F.struct("a", "b", F.col("weight_b").alias("links")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight_a").alias("links")))
+    found = by_pair.select(F.inline(ways))
     links = "a long, b long, links long"
-    found = by_pair.mapInArrow(_verify_pairs(threshold), links)
     grouped = sets.join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
     load = grouped.groupBy("grp").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias("blocks"))
     blocked = _blocked(grouped.join(load, "grp"), "grp", F.col("blocks")).select("grp", "bi", "bj", "id", "block", "weight", "tokens")
