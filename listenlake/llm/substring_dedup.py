@@ -2,7 +2,8 @@
 
 A window is ``width`` consecutive words. Of the runs of half a window's words in it, the one that hashes least is its fingerprint: equal
 windows have equal fingerprints, and a text has about one for each ten words. Fingerprints go, batch by batch, into an index
-of immutable sorted runs: a batch is merge-joined with the runs so far, then becomes a run, and runs are compacted. Only
+of immutable sorted runs: a batch is merge-joined with each run so far, then becomes a run, and runs are compacted. Runs are tables
+bucketed and sorted by fingerprint, so history is never exchanged again. Only
 windows whose fingerprint is met twice are hashed whole (128 bits) and counted, which verifies them. Words that a repeated
 window covers are removed.
 """
@@ -10,6 +11,7 @@ window covers are removed.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +26,32 @@ MOST_RUNS = 4
 
 
 class FingerprintIndex:
-    """Runs of (h, n): fingerprints seen so far and how often, each run sorted by h within its partitions and never changed.
+    """Runs of (h, n): fingerprints seen so far and how often, each run bucketed by h, sorted in its buckets and never changed.
 
     A run's name has the numbers of the first and the last batch in it. With a ``path`` the index outlives the session: it keeps the texts of
-    each call as well, against which later calls count their windows, and a new index on the path goes on with what is there.
+    each call as well, against which later calls count their windows, and a new index on the path goes on with what is there. All runs
+    of an index have the same number of buckets: the shuffle partitions at its making, or ``buckets``.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS):
+    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS, buckets: int | None = None):
         self.spark, self.path, self.most_runs = spark, (path or new_path(spark, "index")).rstrip("/"), most_runs
         self.lasting = path is not None
         self.runs: list[str] = []
         self.texts: list[str] = []
         self.made = 0
+        self.tables: dict[str, str] = {}
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if self.lasting:
             self._reopen()
 
     def _reopen(self) -> None:
         """Whole runs, but for those that a compacted one holds, and the texts of calls that went through."""
         names = children(self.spark, self.path)
+        settings = [n for n in names if n.startswith("_buckets")]
+        if settings:
+            self.buckets = int(settings[0].removeprefix("_buckets"))
+        else:
+            mark(self.spark, f"{self.path}/_buckets{self.buckets}")
         spans = {n: tuple(map(int, n[3:].split("-"))) for n in names if n.startswith("run") and exists(self.spark, f"{self.path}/{n}/_SUCCESS")}
         for n, (first, last) in sorted(spans.items(), key=lambda x: x[1]):
             if any(m != n and x <= first and last <= y for m, (x, y) in spans.items()):
@@ -53,21 +63,33 @@ class FingerprintIndex:
         self.texts = [f"{self.path}/texts{k}" for k in numbers]
 
     def _write(self, counts: DataFrame, first: int, last: int) -> str:
-        path = f"{self.path}/run{first}-{last}"
-        counts.select("h", "n").sortWithinPartitions("h").write.mode("overwrite").parquet(path)
+        path, table = f"{self.path}/run{first}-{last}", f"listenlake_run_{uuid.uuid4().hex}"
+        remove(self.spark, path)  # what a run that failed half-way left there
+        counts.select("h", "n").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(table)
+        self.tables[path] = table
         return path
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h long, n long").parquet(*paths)
+    def _read(self, path: str) -> DataFrame:
+        if path not in self.tables:
+            table = f"listenlake_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {table} (h BIGINT, n BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.tables[path] = table
+        return self.spark.table(self.tables[path])
+
+    def _drop(self, path: str) -> None:
+        if path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(path)}")
+        remove(self.spark, path)
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
         """Add a batch (h: one row an occurrence); returns the h that are in it twice or in it and in an older run."""
         run = self._write(fingerprints.groupBy("h").agg(F.count(F.lit(1)).alias("n")), self.made, self.made)
         self.made += 1
-        new = self._read([run])
+        new = self._read(run)
         hits = new.where("n > 1").select("h")
-        if self.runs:
-            hits = hits.unionByName(new.select("h").hint("merge").join(self._read(self.runs).select("h"), "h"))
+        for old in self.runs:
+            # both sides have the same buckets: a merge join bucket by bucket, with no exchange
+            hits = hits.unionByName(new.select("h").hint("merge").join(self._read(old).select("h"), "h"))
         hits = materialize(hits.distinct(), "hits")
         self.runs.append(run)
         if len(self.runs) > self.most_runs:
@@ -80,9 +102,18 @@ class FingerprintIndex:
             return
         old = self.runs
         first = int(old[0].rsplit("run", 1)[1].split("-")[0])
-        self.runs = [self._write(self._read(old).groupBy("h").agg(F.sum("n").alias("n")), first, self.made - 1)]
+        every = self._read(old[0])
+        for path in old[1:]:
+            every = every.unionByName(self._read(path))
+        self.runs = [self._write(every.groupBy("h").agg(F.sum("n").alias("n")), first, self.made - 1)]
         for path in old:
-            remove(self.spark, path)
+            self._drop(path)
+
+    def close(self) -> None:
+        """Forget the runs' tables; their files stay."""
+        for table in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables = {}
 
     def keep(self, profile: DataFrame) -> DataFrame:
         """Write a call's texts and their fingerprints; they count as history once ``added``."""
@@ -229,6 +260,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         met = index.add(part)
         hits = met if hits is None else hits.unionByName(met)
     hits = hits.distinct()
+    index.close()
 
     long_ones = profile.where(F.col("n") >= width)
     classes = long_ones.groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("least"), F.count(F.lit(1)).alias("weight"))

@@ -94,3 +94,13 @@ def test_calls_with_one_index_count_history(spark, tmp_path):
 def test_query_against_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op6_substring_dedup(spark, sf).collect()), key=str) == sorted((x[:4] for x in brute(rows, 35)), key=str)
+
+
+def test_history_is_joined_without_an_exchange(spark):
+    index = FingerprintIndex(spark, most_runs=9)
+    batch = lambda a, b: spark.range(a, b).withColumnRenamed("id", "h")
+    index.add(batch(0, 5000))
+    index.add(batch(4000, 9000))
+    joined = index._read(index.runs[0]).select("h").hint("merge").join(index._read(index.runs[1]).select("h"), "h")
+    assert joined.count() == 1000
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
