@@ -28,7 +28,7 @@ TEMPLATES: dict[str, str] = {
         "See the License for the specific language governing permissions and limitations under the License."
     ),
     "MIT": "Released under the MIT License.",
-    "MIT text": (
+    "MIT grant": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
@@ -36,6 +36,22 @@ TEMPLATES: dict[str, str] = {
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
         "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     ),
+    "MIT text": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        'and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -50,7 +66,33 @@ TEMPLATES: dict[str, str] = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution."
     ),
+    "BSD-2-Clause text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+        "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+        "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
 }
+#: Bytes that the templates of a table may have in all: they go to every task.
+TEMPLATE_BYTES = 64 << 20
 
 #: A-Z to a-z; ASCII that is neither letter nor digit to a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -119,20 +161,32 @@ def scan(words: np.ndarray, template: np.ndarray, cover: float) -> list[tuple[fl
 
     First windows of 1.25 template lengths that hold enough of its words are aligned. What they leave free is aligned in windows twice as
     long each time, begun at every half of their length, up to the whole stretch: foreign words may spread an occurrence as far as they like.
+    Memory grows with the text alone, not with text times template.
     """
-    t = len(template)
+    t, n = len(template), len(words)
     goal = template.tolist()
     known, times = np.unique(template, return_counts=True)
     place = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    is_known = known[place] == words
-    # how often each word of the template occurs before each word of the text
-    before = np.zeros((len(words) + 1, len(known)), dtype=np.int32)
-    before[np.flatnonzero(is_known) + 1, place[is_known]] = 1
-    before = np.cumsum(before, axis=0, dtype=np.int32)
+    # known words by position; one counts in a stretch unless the template's number of its like lie before it there, that is from ``earlier`` on
+    pos = np.flatnonzero(known[place] == words)
+    kind = place[pos]
+    order = np.argsort(kind, kind="stable")
+    back = np.arange(len(pos)) - times[kind[order]]
+    same = (back >= 0) & (kind[order][np.maximum(back, 0)] == kind[order])
+    earlier = np.full(len(pos), -1)
+    earlier[order[same]] = pos[order[back[same]]]
+
+    def shared(begin: int, end: int) -> int:
+        """Words that a stretch of the text and the template share: no alignment has more pairs."""
+        low, high = np.searchsorted(pos, [begin, end])
+        return int((earlier[low:high] < begin).sum())
 
-    def shared(begin, end):
-        """Words that stretches of the text and the template share: no alignment has more pairs."""
-        return np.minimum(before[end] - before[begin], times).sum(axis=-1)
+    def all_shared(span: int) -> np.ndarray:
+        """``shared`` of every window of ``span`` words, the last ones ending with the text."""
+        change = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(change, np.maximum(earlier + 1, np.maximum(pos - span + 1, 0)), 1)
+        np.add.at(change, pos + 1, -1)
+        return np.cumsum(change[:n])
 
     found: list[tuple[float, int, int]] = []
 
@@ -144,9 +198,7 @@ def scan(words: np.ndarray, template: np.ndarray, cover: float) -> list[tuple[fl
         return True
 
     span = t + t // 4 + 1
-    begins = np.arange(len(words))
-    ends = np.minimum(begins + span, len(words))
-    common = shared(begins, ends) if len(words) else np.zeros(0, dtype=np.int64)
+    common = all_shared(span)
     dense = np.flatnonzero(common >= cover * t)
     free = k = 0
     failed = None
@@ -164,33 +216,50 @@ def scan(words: np.ndarray, template: np.ndarray, cover: float) -> list[tuple[fl
             k += 1
     while True:
         span *= 2
-        edges = [0, *(x for _, a, z in sorted(found, key=lambda f: f[1]) for x in (a, z)), len(words)]
+        common = all_shared(span)
+        edges = [0, *(x for _, a, z in sorted(found, key=lambda f: f[1]) for x in (a, z)), n]
         for low, high in zip(edges[::2], edges[1::2]):
             at = low
             while at < high:
                 end = min(high, at + span)
-                if shared(at, end) >= cover * t and align(at, end):
+                if common[at] >= cover * t and shared(at, end) >= cover * t and align(at, end):
                     at = found[-1][2]
                 elif end == high:
                     break
                 else:
                     at += span // 2
-        if span >= len(words):
+        if span >= n:
             return sorted(found, key=lambda f: f[1])
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, cover: float = 0.8) -> DataFrame:
+def templates_of(table: DataFrame, name_col: str = "name", text_col: str = "text") -> dict[str, str]:
+    """Templates from a table, in order of name; of a repeated name the least text counts, null names or texts and texts without words are none."""
+    rows = table.where(F.col(name_col).isNotNull() & F.col(text_col).rlike("[0-9A-Za-z]|[^\\x00-\\x7f]")).groupBy(F.col(name_col).alias("name")).agg(F.min(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; {TEMPLATE_BYTES} at most")
+    return {r["name"]: r["text"] for r in rows.orderBy("name").collect()}
+
+
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] | DataFrame = TEMPLATES, cover: float = 0.8) -> DataFrame:
     """(id_col, license, coverage, start_byte, end_byte, matched): each place where a template's coverage is ``cover`` or more.
 
-    ``matched`` is the text from the first to the last aligned word, at UTF-8 byte offsets. Where one template's place lies within
-    another's, only the one with more words counts. Null and empty texts have no rows; repeated rows give theirs each. A map, with no exchange.
+    ``templates``: text by name, or a table (name, text). ``matched`` is the text from the first to the last aligned word, at UTF-8 byte
+    offsets. Places of one template do not overlap; where places of several do, the longest template's counts, among equal ones the leftmost.
+    Foreign words inside a place, however many, and left-out ones up to 1 - ``cover`` do not hide it: windows that hold enough of the
+    template's words are aligned, ever wider ones up to the whole text, and only after a failed window does the search move on, by one window at
+    first and by half a window in the wider ones. Whole texts are read, however long. Null and empty texts and an empty table have no rows;
+    repeated rows give theirs each, ids may be null or repeat, extra columns are not read. A map, with no exchange.
     """
+    if isinstance(templates, DataFrame):
+        templates = templates_of(templates)
     names = list(templates)
     goals = []
     for text in templates.values():
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         goals.append(folded_words(raw, np.array([0, len(raw)]))[1])
-    vocabulary, times = zip(*(np.unique(g, return_counts=True) for g in goals))
+    counted = [np.unique(g, return_counts=True) for g in goals]
+    vocabulary, times = [c[0] for c in counted], [c[1] for c in counted]
 
     def run(batches):
         for batch in batches:
@@ -203,10 +272,12 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     # texts that have as many of the template's words as a place needs
                     there = np.flatnonzero(known[at] == h)
                     rows = np.searchsorted(words.first, there, side="right") - 1
-                    n_texts = len(words.first) - 1
-                    counts = np.bincount(rows * len(known) + at[there], minlength=n_texts * len(known)).reshape(n_texts, len(known))
-                    for row in np.flatnonzero(np.minimum(counts, times[k]).sum(axis=1) >= cover * len(goal)):
-                        maybe.setdefault(int(row), []).append(k)
+                    many = np.flatnonzero(np.bincount(rows, minlength=len(words.first) - 1) >= cover * len(goal))
+                    for row in many:
+                        low, high = np.searchsorted(rows, [row, row + 1])
+                        counts = np.bincount(at[there[low:high]], minlength=len(known))
+                        if np.minimum(counts, times[k]).sum() >= cover * len(goal):
+                            maybe.setdefault(int(row), []).append(k)
                 out: dict[str, list] = {"row": [], "license": [], "coverage": [], "start": [], "end": [], "matched": []}
                 for row, which in sorted(maybe.items()):
                     base = int(words.first[row])

@@ -87,3 +87,65 @@ def test_query_finds_every_exact_notice(spark):
     got = {(r.doc_id, r.license) for r in op1_license_scan(spark, sf).collect() if r.coverage == 1.0}
     assert want and want == got
     assert np.isfinite(len(got))
+
+
+def aligned(text, goal):
+    """Longest common subsequence by dynamic programming: no alignment has more pairs."""
+    best = np.zeros(len(goal) + 1, dtype=np.int64)
+    for w in text:
+        take = np.where(goal == w, best[:-1] + 1, 0)
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], take))
+    return int(best[-1])
+
+
+def long_template(rng, n=2500):
+    """A template as long as a whole license, in the words of one: most are repeated, some occur once."""
+    few, many = [f"f{i}" for i in range(60)], [f"m{i}" for i in range(1200)]
+    return [rng.choice(few) if rng.random() < 0.55 else rng.choice(many) for _ in range(n)]
+
+
+def test_whole_long_templates_against_the_longest_alignment():
+    rng = random.Random(17)
+    code: dict[str, int] = {}
+    number = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws], dtype=np.int64)
+    template = long_template(rng)
+    goal = number(template)
+    for lost, foreign in ((0.0, 0.0), (0.05, 0.0), (0.05, 0.1), (0.12, 0.3), (0.4, 0.0)):
+        text = [f"u{rng.randrange(300)}" for _ in range(3000)]
+        for w in template:
+            if rng.random() >= lost:
+                text.append(w)
+            while rng.random() < foreign:
+                text.append(f"u{rng.randrange(300)}")
+        text += [f"u{rng.randrange(300)}" for _ in range(1000)]
+        best = aligned(number(text), goal) / len(goal)
+        got = L.scan(number(text), goal, 0.8)
+        # patience finds what the longest alignment does but for a few words around repeated ones
+        assert [share > best - 0.02 for share, _, _ in got] == ([True] if best >= 0.8 else [])
+
+
+def test_shared_words_of_windows():
+    rng = random.Random(18)
+    for _ in range(20):
+        goal = np.array([rng.randrange(9) for _ in range(12)])
+        words = np.array([rng.randrange(14) for _ in range(70)])
+        want = []
+        for lo in range(70):
+            for span in (16, 32, 64):
+                window = words[lo : lo + span].tolist()
+                want.append(sum(min(window.count(x), goal.tolist().count(x)) for x in set(goal.tolist())))
+        # the bound is what lets windows be skipped: no place may be found where it is too low
+        got = L.scan(words, goal, 0.8)
+        assert bool(got) <= (max(want) >= 0.8 * 12)
+        assert all(share * 12 <= sum(min(words[a:z].tolist().count(x), goal.tolist().count(x)) for x in set(goal.tolist())) for share, a, z in got)
+
+
+def test_templates_from_a_table(spark):
+    rng = random.Random(19)
+    template = long_template(rng, 900)
+    text = " ".join(w for w in template if rng.random() > 0.08)
+    table = spark.createDataFrame([("long", " ".join(template)), ("short", "this is short"), ("short", "zzz"), ("none", None), (None, "x"), ("blank", " - ")], "name string, text string")
+    assert list(L.templates_of(table)) == ["long", "short"]
+    got = scan(spark, "before it " + text + " and THIS is: short", templates=table)
+    assert [(n, round(c, 1)) for _, n, c, _ in got] == [("long", 0.9), ("short", 1.0)]
+    assert scan(spark, text, templates=table.where("false")) == []
