@@ -1,4 +1,8 @@
-"""Document fingerprints: Merkle trees over sections and paragraphs, in DataFrame operations only."""
+"""Document fingerprints: Merkle trees over sections and paragraphs, in DataFrame operations only.
+
+A paragraph's leaves are hashes of short runs of its words. A run ends where the content says, at a word whose own hash is a
+multiple of LEAF_WORDS, so a word put in or left out changes the run that it is in and no other.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .store import materialize
 
+#: Words of a leaf, on average.
 LEAF_WORDS = 4
 
 
@@ -14,26 +19,19 @@ def _digest(parts: Column) -> Column:
     return F.sha2(F.array_join(parts, "").cast("binary"), 256)
 
 
-def _leaves(words: Column) -> Column:
-    """Hashes of runs of LEAF_WORDS words with their place in the paragraph."""
-    last = F.ceil(F.size(words) / F.lit(LEAF_WORDS)).cast("int") - 1
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.shiftright(F.xxhash64(i, F.slice(words, i * LEAF_WORDS + 1, F.lit(LEAF_WORDS))), 32).cast("int"),
-    )
+def _leaves(paragraph: Column) -> Column:
+    """Hashes of the paragraph's runs of words. A paragraph holds no line end, so one can mark where a run ends."""
+    ends = F.transform(F.split(paragraph, " "), lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(LEAF_WORDS)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
+    runs = F.split(F.array_join(ends, " "), "\n")
+    return F.transform(runs, lambda r: F.shiftright(F.xxhash64(r), 32).cast("int"))
 
 
 def tree(text: Column) -> Column:
     """Sections (blank lines part them), each an array of paragraphs (line ends part them) with digest and leaves."""
-    paragraph = lambda p: F.struct(F.sha2(p.cast("binary"), 256).alias("digest"), _split_leaves(p).alias("leaves"))
+    paragraph = lambda p: F.struct(F.sha2(p.cast("binary"), 256).alias("digest"), _leaves(p).alias("leaves"))
     return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), paragraph))
 
 
-def _split_leaves(p: Column) -> Column:
-    # the one-element array makes the words a lambda variable, so that they are split once and not once a leaf
-    return F.flatten(F.transform(F.array(F.split(p, " ")), _leaves))
-
-
 def leaf_set(sections: Column) -> Column:
     """Distinct leaves of a tree: what two fingerprints are compared by."""
     return F.array_distinct(F.flatten(F.transform(F.flatten(sections), lambda p: p["leaves"])))
@@ -53,6 +51,30 @@ def root_of(fingerprint: Column) -> Column:
     return F.substring(fingerprint, 1, 64)
 
 
+def _sections(fingerprint: Column) -> Column:
+    return F.split(F.substring(fingerprint, F.lit(66), F.length(fingerprint) - 66), ";")
+
+
+def differing_branches(a: Column, b: Column) -> Column:
+    """[(section, paragraph)], from 0 and in order: the paragraphs in which two fingerprints differ, or that one of them lacks.
+
+    The descent goes only where digests differ: equal roots are no branch at all, equal sections are not opened. Null for a null fingerprint.
+    """
+
+    def differing(x: Column, y: Column) -> Column:
+        """(place, p, q) where two arrays differ; past the end of one is null."""
+        pairs = F.zip_with(x, y, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        placed = F.transform(pairs, lambda pq, i: F.struct(i.alias("place"), pq["p"].alias("p"), pq["q"].alias("q")))
+        return F.filter(placed, lambda r: ~r["p"].eqNullSafe(r["q"]))
+
+    inside = lambda s: F.when(s.isNull(), F.array().cast("array<string>")).otherwise(F.split(F.substring(s, F.lit(18), F.length(s) - 18), ","))
+    opened = F.transform(
+        differing(_sections(a), _sections(b)),
+        lambda s: F.transform(differing(inside(s["p"]), inside(s["q"])), lambda p: F.struct(s["place"].alias("section"), p["place"].alias("paragraph"))),
+    )
+    return F.when(root_of(a) == root_of(b), F.array().cast("array<struct<section: int, paragraph: int>>")).otherwise(F.flatten(opened))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Dice coefficient of two leaf sets, 0 to 1."""
     return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
@@ -90,14 +112,16 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     The edit replaces the last floor(n_chars / 4) code points by the first as many (or all) of the next document. Null
     text is empty. Rows that repeat an id share the next greater id's document; of several documents with that id, the
-    one whose text hashes least counts. The text crosses one exchange, by id, which both joins use; what a document needs of
-    the next, a quarter text and the leaves, crosses a second.
+    one whose text hashes least counts. ``n_branches`` paragraphs differ between the two trees, the first at ``first_section`` and
+    ``first_paragraph`` (null if none). Texts and their trees, grown once, cross one exchange, by id, which both joins use; what a document
+    needs of the next, a quarter text and the leaves, crosses a second.
     """
     kind = docs.schema[id_col].dataType
     # ids as two columns without nulls: plain equality keeps the partitioning that a null-safe join would redo
     key = lambda c, there, value: {there: F.col(c).isNotNull(), value: F.coalesce(F.col(c), F.lit(0).cast(kind))}
     own, following = ["__a", "__b"], ["__c", "__d"]
-    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumns(key("__id", *own)).select(*own, "__text").repartition(*own)
+    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumns(key("__id", *own))
+    base = base.select(*own, "__text", tree(F.col("__text")).alias("__tree")).repartition(*own)
     asked = next_ids(docs, id_col).withColumns(key("__id", *own) | key("__next", *following)).select(*own, *following)
     need = docs.withColumns(key(id_col, *own)).groupBy(*own).agg(F.max(F.floor(F.length(F.coalesce(F.col(text_col), F.lit(""))) / 4)).cast("int").alias("__k"))
     asked = asked.join(need, own).withColumnsRenamed({"__a": "__asker_a", "__b": "__asker_b", "__c": "__a", "__d": "__b"})
@@ -107,26 +131,29 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.col("__asker_a").alias("__a"),
         F.col("__asker_b").alias("__b"),
         F.substring(F.col("__text"), F.lit(1), F.col("__k")).alias("__head"),
-        leaf_set(tree(F.col("__text"))).alias("__next_leaves"),
+        leaf_set(F.col("__tree")).alias("__next_leaves"),
     )
     n = F.length("__text")
     out = base.join(given, own).select(
         F.when(F.col("__a"), F.col("__b")).alias(id_col),
         n.cast("long").alias("n_chars"),
-        "__text",
+        "__tree",
         F.concat(F.substring("__text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("__head", F.lit(1), F.floor(n / 4).cast("int"))).alias("__edited"),
         "__next_leaves",
     )
-    out = out.select(
-        id_col, "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), tree(F.col("__text")).alias("__tree"), tree(F.col("__edited")).alias("__edited_tree"), "__next_leaves"
-    )
+    out = out.select(id_col, "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "__tree", tree(F.col("__edited")).alias("__edited_tree"), "__next_leaves")
     out = out.withColumn("__leaves", leaf_set(F.col("__tree"))).withColumn("__edited_leaves", leaf_set(F.col("__edited_tree")))
+    out = out.withColumns({"fingerprint": serialized(F.col("__tree")), "edited_fingerprint": serialized(F.col("__edited_tree"))})
+    out = out.withColumn("__branches", differing_branches(F.col("fingerprint"), F.col("edited_fingerprint")))
     return out.select(
         id_col,
         "n_chars",
         "edited_sha256",
-        serialized(F.col("__tree")).alias("fingerprint"),
-        serialized(F.col("__edited_tree")).alias("edited_fingerprint"),
+        "fingerprint",
+        "edited_fingerprint",
         likeness(F.col("__leaves"), F.col("__edited_leaves")).alias("near_edited"),
         likeness(F.col("__leaves"), F.col("__next_leaves")).alias("near_next"),
+        F.size("__branches").alias("n_branches"),
+        F.get("__branches", F.lit(0))["section"].alias("first_section"),
+        F.get("__branches", F.lit(0))["paragraph"].alias("first_paragraph"),
     )
