@@ -26,20 +26,21 @@ from .store import materialize
 _CHUNK = re.compile(r"[\x09-\x0d\x20]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+(?![^.,!?;:\x09-\x0d\x20])|[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+")
 #: Characters that some pre-tokenizer may treat as white space or that begin a special token's string: such texts are encoded whole.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
-#: Words, and chunks of words, that each generation of a cache holds.
+#: Words, and chunks of words, that each generation of a cache holds, and characters of them.
 CACHED_WORDS, CACHED_CHUNKS = 700_000, 100_000
+CACHED_CHARS = 16 << 20
 
 
 class Cache:
     """Ids by string in two generations: entries in use move to the younger, the older goes as a whole."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int, chars: int = CACHED_CHARS):
+        self.size, self.chars, self.young, self.old, self.made = size, chars, {}, {}, 0
 
     def absent(self, needed: set[str]) -> list[str]:
         """Those of ``needed`` that must be made and put into ``young``; the others are there afterwards."""
-        if len(self.young) + len(needed) > self.size:
-            self.old, self.young = self.young, {}
+        if len(self.young) + len(needed) > self.size or self.made > self.chars:
+            self.old, self.young, self.made = self.young, {}, 0
         young, old, out = self.young, self.old, []
         for c in needed.difference(young):
             ids = old.get(c)
@@ -47,6 +48,7 @@ class Cache:
                 out.append(c)
             else:
                 young[c] = ids
+        self.made += sum(map(len, out))
         return out
 
 
@@ -229,11 +231,15 @@ def pack_documents(
     """One row a piece: id_col, piece, start, length, the ``keep`` columns, sequence_id, offset.
 
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut. ``keep`` names columns derived from
-    ``ids`` (binary, little-endian uint32; default the ids themselves). ``most_docs`` and ``most_cost`` bound the pieces of a
-    sequence and the sum of their squared lengths (default: no bound beyond the tokens). Null or empty text is the end id
-    alone. Every row is packed for itself, whether ids repeat or not. Pieces are written once; then only narrow rows move.
+    ``ids`` (binary, little-endian uint32; default the ids themselves); its names must not be those of other result columns. ``most_docs`` and ``most_cost`` bound the pieces of a
+    sequence and the sum of their squared lengths (default: no bound beyond the tokens; a piece of ``capacity`` has the cost ``capacity`` squared, so
+    whole documents allow no lower bound). Null or empty text is the end id alone; long texts are read whole. Every row is packed for itself,
+    whether ids repeat, are null or not; an empty table gives no rows, extra columns are not read. Pieces are written once; then only narrow rows move.
     """
     keep = {"ids": F.col("ids")} if keep is None else dict(keep)
+    clash = {id_col, "piece", "start", "length", "sequence_id", "offset"}.intersection(keep)
+    if clash:
+        raise ValueError(f"columns kept must not be named {sorted(clash)}")
 
     def tokenize(batches):
         encoder, ranks, part = encoder_of(tokenizer_path), defaultdict(int), TaskContext.get().partitionId()

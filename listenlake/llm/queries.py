@@ -45,8 +45,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Capacities and weights of packing: a sequence's documents are masked from each other, by a table of this many entries; tokens
+#: count first, what is left of the other two decides between sequences that fit alike.
+PACKING = {"most_docs": 512, "most_cost": 2048.0**2, "weights": (1.0, 0.05, 0.05)}
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep={"ids_crc32": F.crc32("ids")})
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep={"ids_crc32": F.crc32("ids")}, **PACKING)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

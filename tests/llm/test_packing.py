@@ -87,3 +87,57 @@ def test_odd_rows(spark):
     assert len([r for r in got if r.doc_id is None]) == 1
     empty = packing.pack_documents(df.where(F.lit(False)), tokenizer_path())
     assert empty.count() == 0 and "ids" in empty.columns
+
+
+def sequences_of(places):
+    bins = defaultdict(list)
+    for length, rows in places.items():
+        for a, b, first, _ in rows:
+            for k in range(b - a):
+                bins[first + k].append(length)
+    return sorted(tuple(sorted(x)) for x in bins.values())
+
+
+def test_each_limit_and_weight_changes_the_packing():
+    histogram = {40: 3, 30: 4, 20: 6, 9: 10, 3: 30}
+    free = sequences_of(packing.plan(histogram, 64, 64, 64.0**2))
+    few = sequences_of(packing.plan(histogram, 64, 4, 64.0**2))
+    cheap = sequences_of(packing.plan(histogram, 64, 64, 1700.0))
+    assert max(map(len, free)) > 4 >= max(map(len, few))
+    assert max(sum(x * x for x in s) for s in free) > 1700 >= max(sum(x * x for x in s) for s in cheap)
+    rng = np.random.default_rng(6)
+    histogram = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 50, 300), return_counts=True))}
+    made = [packing.plan(histogram, 64, 8, 3000.0, w, rule) for w, rule in (((1.0, 0.0, 0.0), "norm"), ((0.2, 1.0, 1.0), "norm"), ((1.0, 1.0, 1.0), "dot"))]
+    assert len({tuple(sequences_of(p)) for p in made}) == 3
+
+
+def test_best_fit_against_plain_search():
+    """Item by item, longest first, into the sequence with the least weighted residual."""
+    rng = np.random.default_rng(4)
+    histogram = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 60, 120), return_counts=True))}
+    caps, w = np.array([64.0, 6.0, 3600.0]), np.array([1.0, 0.05, 0.05])
+    open_: list[tuple[np.ndarray, list[int]]] = []
+    for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        item = np.array([length, 1, length**2], dtype=float)
+        fits = [(float((w * ((r - item) / caps) ** 2).sum()), k) for k, (r, _) in enumerate(open_) if (r >= item).all()]
+        if fits:
+            k = min(fits)[1]
+            open_[k] = (open_[k][0] - item, [*open_[k][1], length])
+        else:
+            open_.append((caps - item, [length]))
+    got = packing.plan(histogram, 64, 6, 3600.0, tuple(w))
+    assert sequences_of(got) == sorted(tuple(sorted(x)) for _, x in open_)
+
+
+def test_caches_are_bounded_by_characters(tokenizer):
+    e = packing.ChunkEncoder(tokenizer_path())
+    e.chunks.chars = e.words.chars = 1000
+    texts = ["x" * 700 + str(i) + " " + "y" * 700 + str(i) for i in range(12)]
+    for t in texts:
+        assert np.frombuffer(e.encode([t], packing.plain(*text_buffer(pa.array([t]))))[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(e.words.young) + len(e.words.old) < 6
+
+
+def test_kept_columns_must_not_clash(spark):
+    with pytest.raises(ValueError):
+        packing.pack_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path(), keep={"length": F.col("ids")})
