@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .kernels import BYTE_BASE, SECOND_BASE, mix, powers, slices, text_buffer
 from .store import materialize
 
+#: Lines of fewer code points are not compared: among them one edit is a tenth of the line or more, and it would make unlike lines equal.
 MIN_CHARS = 10
 
 
@@ -155,17 +156,19 @@ def _variants(batches):
     for batch in batches:
         for b in slices(batch, "line", 1 << 18):
             x = _single(b.column(1))
-            row = np.repeat(np.arange(len(x.n)), x.n + 1)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(x.n + 1) - (x.n + 1), x.n + 1) - 1
-            begin, end = x.at[row], (x.at + x.n)[row]
-            a = begin + np.maximum(place, 0)
-            c = np.where(place < 0, a, a + 1)
-            v1, v2 = (x.without(begin, a, c, end, base).view(np.int64) for base in (BYTE_BASE, SECOND_BASE))
-            for i in range(0, len(row), 100_000):
-                s = slice(i, i + 100_000)
-                r = pa.array(row[s])
+            edge = np.concatenate([[0], np.cumsum(x.n + 1)])
+            # a stretch of variants at a time, however long a line is
+            for i in range(0, int(edge[-1]), 100_000):
+                number = np.arange(i, min(i + 100_000, int(edge[-1])))
+                row = np.searchsorted(edge, number, side="right") - 1
+                place = number - edge[row] - 1
+                begin, end = x.at[row], (x.at + x.n)[row]
+                a = begin + np.maximum(place, 0)
+                c = np.where(place < 0, a, a + 1)
+                v1, v2 = (x.without(begin, a, c, end, base).view(np.int64) for base in (BYTE_BASE, SECOND_BASE))
+                r = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v1[s]), pa.array(v2[s]), pa.array(place[s].astype(np.int32)), b.column(0).take(r), b.column(2).take(r), b.column(3).take(r)], names=["v1", "v2", "place", "node", "id", "pos"]
+                    [pa.array(v1), pa.array(v2), pa.array(place.astype(np.int32)), b.column(0).take(r), b.column(2).take(r), b.column(3).take(r)], names=["v1", "v2", "place", "node", "id", "pos"]
                 )
 
 
