@@ -78,7 +78,7 @@ def mix_sources(
 
     Positions come from counts: (source, size) groups, 256 hash blocks in each, and the rank in a block. So no
     task sorts a whole source, the text moves in one exchange at most, and a rerun gives the same copies. Null text is
-    empty (size 0), null source is a source of its own, a null id has a block like any other, repeated rows count
+    empty (size 0), null source is a source of its own, rows without an id or with a repeated one are told apart by their text, repeated rows count
     each for itself. Extra columns are carried; columns named like the results are replaced.
     """
     made = ("size", "source_size", "target", "copies")
@@ -87,8 +87,10 @@ def mix_sources(
         *[F.col(c) for c in keep],
         F.struct(F.col(source_col).alias("source")).alias("__s"),
         n_words(F.col(text_col)).alias("size"),
-        F.left(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(2)).alias("__block"),
+        # rows without an id are dealt and ordered by their text
+        F.left(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")), F.lit(2)).alias("__block"),
         F.col(id_col).alias("__id"),
+        F.xxhash64(F.col(text_col)).alias("__tie"),
     )
     cells = base.groupBy("__s", "size", "__block").agg(F.count(F.lit(1)).alias("n"))
     groups = cells.groupBy("__s", "size").agg(F.sum("n").alias("n"))
@@ -106,7 +108,7 @@ def mix_sources(
         .join(targets, "__s")
         .select("__s", "size", "__block", (F.col("__from") + F.col("__in")).alias("__before"), "source_size", "target", "rate", "__offset")
     )
-    rank = Window.partitionBy("__s", "size", "__block").orderBy(F.col("__id").asc_nulls_first())
+    rank = Window.partitionBy("__s", "size", "__block").orderBy(F.col("__id").asc_nulls_first(), "__tie")
     at = F.col("__before") + F.col("__rank")
     copies = F.floor(at * F.col("rate") + F.col("__offset")) - F.floor((at - 1) * F.col("rate") + F.col("__offset"))
     return (

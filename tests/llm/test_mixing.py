@@ -66,3 +66,15 @@ def test_query_equals_sql(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = sorted(duckdb.sql(SQL["op9_mix_sources"]).fetchall())
     assert sorted(map(tuple, op9_mix_sources(spark, sf).collect())) == want
+
+
+def test_rows_without_an_id_are_taken_alike_in_reruns(spark):
+    rows = [(None if i % 2 else 5, f"w{i} x{i}", "a" if i % 3 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda d: sorted((r.text, r.copies) for r in mix_sources(d).collect())
+    assert taken(df.repartition(5, "text")) == taken(df.repartition(3))
+
+
+def test_native(spark, sf):
+    plan = op9_mix_sources(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
