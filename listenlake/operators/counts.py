@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def value_counts(df: DataFrame, *keys: str, name: str = "plays") -> DataFrame:
     """Rows per non-null key."""
@@ -42,10 +44,21 @@ def present_in_all(counts: DataFrame, key: str, dimension: str) -> DataFrame:
 
 
 def ranked_filter(df: DataFrame, key: str, text: str, limit: int | None = 10) -> DataFrame:
-    """Keys that contain ``text`` with their rank by count among all keys; the window runs over one row a key."""
-    counts = value_counts(df, key).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("plays"), F.asc(key))))
-    hits = counts.where(F.col(key).contains(text)).select("rank", key, "plays")
-    return hits.orderBy("rank").limit(limit) if limit else hits
+    """Keys that contain ``text`` with their rank by count among all keys, the first ``limit`` of them.
+
+    Only what is asked for is ordered: the first keys, then, if ``text`` leaves some out, the keys ahead of each of them are counted.
+    """
+    counts = value_counts(df, key)
+    order = [F.desc("plays"), F.asc(key)]
+    if limit is None:
+        return numbered(counts, order).where(F.col(key).contains(text)).select(F.col("rank").cast("int").alias("rank"), key, "plays")
+    hits = counts.where(F.col(key).contains(text)).orderBy(*order).limit(limit)
+    if not text:
+        return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", key, "plays")  # ``limit`` rows
+    asked = hits.agg(F.collect_list(F.struct("plays", key)).alias("__hits"))  # one row of ``limit`` keys
+    ahead = lambda h: (F.col("plays") > h["plays"]) | ((F.col("plays") == h["plays"]) & (F.col(key) <= h[key]))
+    ranks = counts.join(F.broadcast(asked)).select(F.explode(F.filter("__hits", ahead)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("rank"))
+    return ranks.select("rank", F.col(f"h.{key}").alias(key), "h.plays").orderBy("rank")
 
 
 def top_per_group(counts: DataFrame, group: str, key: str, n: int) -> DataFrame:
@@ -87,12 +100,13 @@ def regex_or_member(df: DataFrame, column: str, members: Sequence[str], pattern:
 
 
 def label_priority(counts: DataFrame, measures: Sequence[str], n: int, key: str) -> DataFrame:
-    """Each key under the first measure in which it is among the n largest."""
-    ranks = {f"__r{i}": F.row_number().over(Window.orderBy(F.desc(m), F.asc(key))) for i, m in enumerate(measures)}
-    label = F.when(F.col("__r0") <= n, measures[0])
-    for i, m in enumerate(measures[1:], 1):
-        label = label.when(F.col(f"__r{i}") <= n, m)
-    return counts.withColumns(ranks).withColumn("label", label).where("label is not null").drop(*ranks)
+    """Each key under the first measure in which it is among the n largest; n rows a measure are all that is ordered."""
+    firsts = [counts.orderBy(F.desc(m), F.asc(key)).limit(n).withColumn("__m", F.lit(i)) for i, m in enumerate(measures)]
+    both = firsts[0]
+    for f in firsts[1:]:
+        both = both.unionByName(f)
+    best = both.groupBy(*counts.columns).agg(F.min("__m").alias("__m"))
+    return best.withColumn("label", F.element_at(F.array(*[F.lit(m) for m in measures]), F.col("__m") + 1)).drop("__m")
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -101,3 +115,25 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     return df.agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(column).alias("max")
     )
+
+
+def ascending(counts: DataFrame, value: str = "plays", *ties: str) -> DataFrame:
+    """Counts from the least to the greatest."""
+    return counts.orderBy(F.asc(value), *[F.asc(t) for t in ties])
+
+
+def between_years(df: DataFrame, low: int, high: int, time: str = "play_time") -> DataFrame:
+    """Rows of the years from ``low`` to ``high``, both included; compared as times, so that a scan can skip files."""
+    t = F.col(time)
+    return df.where((t >= F.lit(f"{low}-01-01").cast("timestamp_ntz")) & (t < F.lit(f"{high + 1}-01-01").cast("timestamp_ntz")))
+
+
+def two_letter(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose code is two characters and no text for a missing one."""
+    return df.where(F.col(column).isNotNull() & (F.col(column) != "None") & (F.length(column) == 2))
+
+
+def page_after(df: DataFrame, key: str, last: object | None, n: int) -> DataFrame:
+    """The next ``n`` rows in order of a unique key, after the key that the page before ended with (None: the first page)."""
+    rest = df if last is None else df.where(F.col(key) > F.lit(last))
+    return rest.orderBy(key).limit(n)

@@ -9,25 +9,34 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import exact_percentiles
+
 
 def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Cramér's V with Yates' correction for two by two tables. Cells without rows count too, through the marginals."""
+    """Cramér's V with Yates' correction for two by two tables.
+
+    Cells without rows count through the marginals: each adds its expected number to chi-square, and all cells' expected numbers add up to the
+    rows. So only cells that exist are looked at, however many categories there are. In a two by two table all gaps are equal.
+    """
     cells = contingency(df, x, y)
     rows = cells.groupBy(x).agg(F.sum("n").alias("__r"))
     cols = cells.groupBy(y).agg(F.sum("n").alias("__c"))
-    shape = cells.agg(F.sum("n").alias("__n"), F.count_distinct(x).alias("__rows"), F.count_distinct(y).alias("__cols"))
-    # the grid of marginals is categories by categories, as small as the table that is asked for
-    grid = rows.crossJoin(cols).crossJoin(F.broadcast(shape)).join(cells, [x, y], "left")
+    shape = cells.agg(F.sum("n").alias("__n")).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__rows"), F.sum(1 / F.col("__r")).alias("__ir"))))
+    shape = shape.join(F.broadcast(cols.agg(F.count(F.lit(1)).alias("__cols"), F.sum(1 / F.col("__c")).alias("__ic"))))  # one row each
+    met = cells.join(rows, x).join(cols, y).join(F.broadcast(shape))
     expected = F.col("__r") * F.col("__c") / F.col("__n")
-    gap = F.abs(F.coalesce("n", F.lit(0)) - expected)
+    gap = F.abs(F.col("n") - expected)
+    one = met.agg(
+        F.sum(gap * gap / expected).alias("__chi"), F.sum(expected).alias("__e"), F.max(gap).alias("__gap"), *[F.first(c).alias(c) for c in ("__n", "__rows", "__cols", "__ir", "__ic")]
+    )
+    less = F.greatest(F.col("__gap") - F.least(F.lit(0.5), F.col("__gap")), F.lit(0.0))
     yates = (F.col("__rows") == 2) & (F.col("__cols") == 2)
-    gap = F.when(yates, F.greatest(gap - F.least(F.lit(0.5), gap), F.lit(0.0))).otherwise(gap)
-    chi = grid.agg(F.sum(gap * gap / expected).alias("chi2"), F.first("__n").alias("n"), F.first("__rows").alias("r"), F.first("__cols").alias("c"))
-    return chi.select("chi2", F.sqrt(F.try_divide(F.col("chi2") / F.col("n"), F.least("r", "c") - 1)).alias("v"))
+    chi2 = F.when(yates, less * less * F.col("__n") * F.col("__ir") * F.col("__ic")).otherwise(F.col("__chi") + F.greatest(F.col("__n") - F.col("__e"), F.lit(0.0)))
+    return one.select(chi2.alias("chi2"), F.sqrt(F.try_divide(chi2 / F.col("__n"), F.least("__rows", "__cols") - 1)).alias("v"))
 
 
 def variances(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
@@ -38,9 +47,9 @@ def variances(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFr
 
 
 def outliers(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Rows strictly outside two percentiles (linear interpolation)."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    return df.join(F.broadcast(q)).where((F.col(column) < F.col("__q")[0]) | (F.col(column) > F.col("__q")[1])).drop("__q")
+    """Rows strictly outside two percentiles (linear interpolation), which are exact: distinct values are ordered in ranges."""
+    q = exact_percentiles(df, column, [low, high])
+    return df.join(F.broadcast(q)).where((F.col(column) < F.col("q")[0]) | (F.col(column) > F.col("q")[1])).drop("q")  # one row
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
