@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -102,9 +104,37 @@ SCORES = {
 }
 
 
+def lcs_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """``lcs_length`` of many pairs at once: a matrix row a pair, one step of numpy for each place of the longest right text."""
+    out = np.zeros(len(left), dtype=np.int64)
+    size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    order = np.lexsort((size[0], size[1]))
+    for part in np.array_split(order, max(1, len(order) // 2048 + 1)):
+        if not len(part) or not size[0][part].max() or not size[1][part].max():
+            continue
+        wide, tall = int(size[0][part].max()), int(size[1][part].max())
+        a = np.zeros((len(part), wide), dtype=np.uint32)
+        b = np.full((len(part), tall), 0xFFFFFFFF, dtype=np.uint32)  # no code point
+        for row, i in enumerate(part):
+            a[row, : size[0][i]] = np.frombuffer(left[i].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            b[row, : size[1][i]] = np.frombuffer(right[i].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            a[row, size[0][i] :] = 0xFFFFFFFE
+        best = np.zeros((len(part), wide + 1), dtype=np.int32)
+        for k in range(tall):
+            best[:, 1:] = np.maximum(best[:, 1:], np.where(a == b[:, k : k + 1], best[:, :-1] + 1, 0))
+            np.maximum.accumulate(best, axis=1, out=best)
+        out[part] = best[:, -1]
+    return out
+
+
 @pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    there = (a.notna() & b.notna()).to_numpy()
+    x, y = a[there].tolist(), b[there].tolist()
+    total = np.array([len(p) + len(q) for p, q in zip(x, y)], dtype=np.int64)
+    out = np.full(len(a), np.nan)
+    out[there] = np.where(total > 0, 2 * lcs_lengths(x, y) / np.maximum(total, 1), 1.0)
+    return pd.Series(out).astype("Float64").mask(~there) if not there.all() else pd.Series(out)
 
 
 @pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in SCORES]))
@@ -117,26 +147,32 @@ def fuzzy_scores(pairs: DataFrame, a: str = "variant_a", b: str = "variant_b") -
     return pairs.withColumn("s", scores_udf(F.col(a), F.col(b))).select(*pairs.columns, "s.*")
 
 
-def _letters(c: Column) -> Column:
-    """Characters told apart by occurrence, so that sets of them intersect as multisets do."""
-    chars = F.split(c, "")
-    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-
-
 def similar_pairs(names: DataFrame, column: str, least: float, *, sort_tokens: bool = False) -> DataFrame:
     """(a, b, sim), a < b, of the distinct names with ratio >= ``least`` > 0.
 
-    Exact pruning before the kernel: lengths of similar names lie within least / (2 - least) of each other, so names meet by
-    equality of a length band; then the overlap of letters bounds the ratio from above.
+    Exact pruning before the kernel. Lengths of similar names lie within least / (2 - least) of each other. Letters, told apart by occurrence, are
+    shared by at least that part of the longer or shorter name, so the rarest few of each name hold one that a similar name has among its own
+    rarest few: names meet by equality of such a letter and a length. Then all shared letters bound the ratio from above.
     """
     key = token_sort(F.col(column)) if sort_tokens else F.col(column)
-    n = names.where(F.col(column).isNotNull()).select(F.col(column).alias("name"), key.alias("k")).distinct().withColumn("n", F.length("k")).withColumn("l", _letters(F.col("k")))
+    n = names.where(F.col(column).isNotNull()).select(F.col(column).alias("name"), key.alias("k")).distinct().withColumn("n", F.length("k"))
+    letters = n.where("n > 0").select("name", F.explode(F.split("k", "")).alias("c")).where("c <> ''").groupBy("name", "c").agg(F.count(F.lit(1)).alias("times"))
+    letters = letters.select("name", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("i"), "c").select("name", F.concat("c", F.col("i").cast("string")).alias("t"))
+    common = letters.groupBy("t").agg(F.count(F.lit(1)).alias("df"))  # one row a letter and occurrence
+    rare = letters.join(common, "t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("l")).select("name", F.col("l.t").alias("l"))
+    n = n.join(rare, "name", "left").withColumn("l", F.coalesce("l", F.array().cast("array<string>")))
     low = least / (2 - least)
-    a = n.select(F.col("name").alias("a"), F.col("k").alias("ka"), F.col("n").alias("na"), F.col("l").alias("la"), F.explode(F.sequence(F.ceil(F.col("n") * low).cast("int"), F.floor(F.col("n") / low).cast("int"))).alias("nb"))
-    b = n.select(F.col("name").alias("b"), F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("l").alias("lb"))
-    met = a.join(b, "nb").where("a < b")
+    # the least number of letters shared with a name as like and as long as may be; two empty names meet by an empty letter
+    first = F.greatest(F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1, F.lit(1)).cast("int")
+    n = n.withColumn("probe", F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(F.slice("l", F.lit(1), first)))
+    band = F.sequence(F.ceil(F.col("n") * low - 1e-9).cast("int"), F.floor(F.col("n") / low + 1e-9).cast("int"))
+    a = n.select(F.col("name").alias("a"), F.explode("probe").alias("t"), "n").withColumn("nb", F.explode(band)).select("a", "t", "nb")
+    b = n.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.explode("probe").alias("t"))
+    met = a.join(b, ["t", "nb"]).where("a < b").select("a", "b").distinct()
+    side = lambda c: n.select(F.col("name").alias(c), F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("l").alias(f"l{c}"))
+    met = met.join(side("a"), "a").join(side("b"), "b")
     bound = 2.0 * F.size(F.array_intersect("la", "lb")) / F.greatest(F.col("na") + F.col("nb"), F.lit(1))
-    met = met.where((bound >= least) | (F.col("na") + F.col("nb") == 0))
+    met = met.where((bound >= least - 1e-9) | (F.col("na") + F.col("nb") == 0))
     return met.select("a", "b", ratio_udf("ka", "kb").alias("sim")).where(F.col("sim") >= least)
 
 
@@ -154,3 +190,14 @@ def best_match(names: DataFrame, choices: Sequence[str], threshold: float) -> Da
     scored = names.select("name").distinct().join(c).withColumn("p", ratio_udf("name", "choice")).where(F.col("p") >= threshold)
     best = scored.groupBy("name").agg(F.max("p").alias("score"), F.min_by("choice", F.struct(-F.col("p"), F.col("choice"))).alias("choice"))
     return names.join(best, "name", "left").select("name", "choice", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def best_match_by_model(names: DataFrame, choices: Sequence[str], model: PipelineModel, threshold: float = 0.5) -> DataFrame:
+    """The choice that a link model gives the highest probability for each name, null and 0 if none reaches the threshold; the first of equals."""
+    from .ml import score_links
+
+    c = F.broadcast(names.sparkSession.createDataFrame([(i, x) for i, x in enumerate(choices)], "place int, choice string"))  # a caller's list
+    pairs = names.select("name").distinct().join(c)
+    scored = score_links(model, fuzzy_scores(pairs, "name", "choice")).where(F.col("probability") >= threshold)
+    best = scored.groupBy("name").agg(F.max("probability").alias("score"), F.min_by("choice", F.struct(-F.col("probability"), "place")).alias("choice"))
+    return names.join(best, "name", "left").select("name", "choice", F.coalesce("score", F.lit(0.0)).alias("score"))
