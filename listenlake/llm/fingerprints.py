@@ -113,15 +113,15 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     The edit replaces the last floor(n_chars / 4) code points by the first as many (or all) of the next document. Null
     text is empty. Rows that repeat an id share the next greater id's document; of several documents with that id, the
     one whose text hashes least counts. ``n_branches`` paragraphs differ between the two trees, the first at ``first_section`` and
-    ``first_paragraph`` (null if none). Texts and their trees, grown once, cross one exchange, by id, which both joins use; what a document
-    needs of the next, a quarter text and the leaves, crosses a second.
+    ``first_paragraph`` (null if none). The text crosses one exchange, by id, which both joins use; what a document needs of the next, a quarter
+    text and the leaves, crosses a second. A text's tree is grown on both sides of it: to send it along would take more than to grow it again.
     """
     kind = docs.schema[id_col].dataType
     # ids as two columns without nulls: plain equality keeps the partitioning that a null-safe join would redo
     key = lambda c, there, value: {there: F.col(c).isNotNull(), value: F.coalesce(F.col(c), F.lit(0).cast(kind))}
     own, following = ["__a", "__b"], ["__c", "__d"]
     base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumns(key("__id", *own))
-    base = base.select(*own, "__text", tree(F.col("__text")).alias("__tree")).repartition(*own)
+    base = base.select(*own, "__text").repartition(*own)
     asked = next_ids(docs, id_col).withColumns(key("__id", *own) | key("__next", *following)).select(*own, *following)
     need = docs.withColumns(key(id_col, *own)).groupBy(*own).agg(F.max(F.floor(F.length(F.coalesce(F.col(text_col), F.lit(""))) / 4)).cast("int").alias("__k"))
     asked = asked.join(need, own).withColumnsRenamed({"__a": "__asker_a", "__b": "__asker_b", "__c": "__a", "__d": "__b"})
@@ -131,17 +131,17 @@ def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.col("__asker_a").alias("__a"),
         F.col("__asker_b").alias("__b"),
         F.substring(F.col("__text"), F.lit(1), F.col("__k")).alias("__head"),
-        leaf_set(F.col("__tree")).alias("__next_leaves"),
+        leaf_set(tree(F.col("__text"))).alias("__next_leaves"),
     )
     n = F.length("__text")
     out = base.join(given, own).select(
         F.when(F.col("__a"), F.col("__b")).alias(id_col),
         n.cast("long").alias("n_chars"),
-        "__tree",
+        "__text",
         F.concat(F.substring("__text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("__head", F.lit(1), F.floor(n / 4).cast("int"))).alias("__edited"),
         "__next_leaves",
     )
-    out = out.select(id_col, "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "__tree", tree(F.col("__edited")).alias("__edited_tree"), "__next_leaves")
+    out = out.select(id_col, "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), tree(F.col("__text")).alias("__tree"), tree(F.col("__edited")).alias("__edited_tree"), "__next_leaves")
     out = out.withColumn("__leaves", leaf_set(F.col("__tree"))).withColumn("__edited_leaves", leaf_set(F.col("__edited_tree")))
     out = out.withColumns({"fingerprint": serialized(F.col("__tree")), "edited_fingerprint": serialized(F.col("__edited_tree"))})
     out = out.withColumn("__branches", differing_branches(F.col("fingerprint"), F.col("edited_fingerprint")))
