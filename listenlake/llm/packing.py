@@ -8,6 +8,7 @@ are kept as intervals of numbers that share a residual vector. Items find their
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections import defaultdict
@@ -105,6 +106,9 @@ class ChunkEncoder:
         get = self.chunks.young.__getitem__
         return [b"".join(map(get, chunks)) for chunks in lists]
 
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        return self.encode([t or "" for t in column.to_pylist()], plain(*text_buffer(column)))
+
     def encode(self, texts: list[str], is_plain: np.ndarray) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         easy = [i for i, t in enumerate(texts) if is_plain[i] and t]
@@ -125,10 +129,64 @@ class ChunkEncoder:
         return out
 
 
+#: How a byte-level BPE cuts texts before it merges, as its pre-tokenizer does by default; fixed value.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+def _bytes_of_signs() -> dict[str, int]:
+    """The byte that each sign in a byte-level vocabulary stands for: printable Latin-1 for itself, others in order from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class RankEncoder:
+    """Ids of whole texts by a byte-level BPE whose vocabulary numbers its tokens in the order of their merges.
+
+    There the token of the lowest id is merged first, which needs the vocabulary alone and no cache. A text that holds a special token's string
+    goes through the tokenizer itself.
+    """
+
+    def __init__(self, path: str, ranks: dict[bytes, int], special: list[str]):
+        import tiktoken
+
+        self.path, self.special, self.tokenizer = path, special, None
+        self.ids = tiktoken.Encoding(os.path.basename(path), pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    @classmethod
+    def of(cls, path: str) -> RankEncoder | None:
+        """The encoder of a tokenizer's file, or None if its model is of another kind or its vocabulary in another order."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut_by, signs = spec["model"], spec.get("pre_tokenizer") or {}, _bytes_of_signs()
+        plain_model = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain_cut = cut_by.get("type") == "ByteLevel" and not cut_by.get("add_prefix_space") and cut_by.get("use_regex", True) and not spec.get("normalizer")
+        if not plain_model or not plain_cut:
+            return None
+        special = [t["content"] for t in spec.get("added_tokens", [])]
+        vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+        merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"]]
+        in_order = all(x is not None for x in merged) and all(x < y for x, y in zip(merged, merged[1:]))
+        if not in_order or len(vocabulary) != 256 + len(merged) or any(c not in signs for t in vocabulary for c in t):
+            return None
+        return cls(path, {bytes(signs[c] for c in t): i for t, i in vocabulary.items()}, special)
+
+    def whole(self, text: str) -> list[int]:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        ids = self.ids
+        return [np.array(self.whole(t) if any(s in t for s in self.special) else ids(t), dtype="<u4").tobytes() if t else b"" for t in column.to_pylist()]
+
+
 @functools.cache
-def encoder_of(path: str) -> ChunkEncoder:
+def encoder_of(path: str) -> RankEncoder | ChunkEncoder:
     """The encoder of this worker process, which serves task after task."""
-    return ChunkEncoder(path)
+    return RankEncoder.of(path) or ChunkEncoder(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -247,7 +305,7 @@ def pack_documents(
         for batch in batches:
             for b in slices(batch, "__text"):
                 cols: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids", "part", "rank")}
-                for row, ids in enumerate(encoder.encode([t or "" for t in b.column(1).to_pylist()], plain(*text_buffer(b.column(1))))):
+                for row, ids in enumerate(encoder.encode_column(b.column(1))):
                     ids += end
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         for name, v in (("row", row), ("piece", piece), ("start", start), ("length", length), ("ids", ids[4 * start : 4 * (start + length)]), ("part", part), ("rank", ranks[length])):

@@ -141,3 +141,25 @@ def test_caches_are_bounded_by_characters(tokenizer):
 def test_kept_columns_must_not_clash(spark):
     with pytest.raises(ValueError):
         packing.pack_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path(), keep={"length": F.col("ids")})
+
+
+def test_ranks_give_the_tokenizer_s_ids(tokenizer):
+    encoder = packing.RankEncoder.of(tokenizer_path())
+    same = lambda texts: [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_column(pa.array(texts))] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert same(["", None, " ", "\n\n", "a  b", "it's we'll  don'T", "tail   ", "<|endoftext|> a", "a<|endoftext|>b", "<|endoftext|", "x" * 5000, "é ü 42 4 2!?", "\x1cq \x85 z", "a\r\n b"])
+    # every code point between, before and after letters, digits, spaces and itself
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0)]
+    for i in range(0, len(points), 4096):
+        assert same(["".join(f"a{c}b {c}1 {c}{c}. {c} x{c}\n{c}  {c}\t 1{c}2 '{c}s" for c in points[i + k : i + k + 64]) for k in range(0, 4096, 64)])
+    # every token's own text
+    assert same([tokenizer.decode([i], skip_special_tokens=False) for i in range(0, tokenizer.get_vocab_size(), 3)])
+
+
+def test_other_tokenizers_keep_the_tokenizer_itself(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][1:] + spec["model"]["merges"][:1]
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert packing.RankEncoder.of(str(tmp_path / "t.json")) is None
+    assert isinstance(packing.encoder_of(str(tmp_path / "t.json")), packing.ChunkEncoder)
