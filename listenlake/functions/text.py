@@ -74,10 +74,26 @@ def token_sort(c: Column) -> Column:
 
 
 def sanitize(c: Column) -> Column:
-    """A name of word characters only."""
+    """A name of word characters only: signs of operators become words, all else between words one underscore, none at the ends."""
     for sign, word in OPERATOR_WORDS:
         c = F.replace(c, F.lit(sign), F.lit(word))
-    return F.regexp_replace(c, r"[^0-9A-Za-z_]", "_")
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)\W+", "_"), "^_+|_+$", "")
+
+
+def json_block(c: Column, schema: str) -> Column:
+    """The first {...} block of a text, read by ``schema``; null if there is none or it does not parse."""
+    return F.from_json(F.nullif(F.regexp_extract(c, r"(?s)\{.*?\}", 0), F.lit("")), schema)
+
+
+def confident_answer(c: Column) -> Column:
+    """(country_iso2, confidence) of an answer that holds a JSON block; a confidence that is no number, or missing, is 0."""
+    r = json_block(c, "country_iso2 string, confidence string")
+    return F.struct(r["country_iso2"].alias("country_iso2"), F.coalesce(r["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"))
+
+
+def strict_date(c: Column) -> Column:
+    """A date; text that is none is an error."""
+    return F.when(c.isNotNull(), F.coalesce(F.try_to_date(c), F.raise_error(F.concat(F.lit("not a date: "), c)).cast("date")))
 
 
 def zipped_differences(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature, signature_hash, split_variants
@@ -52,11 +52,14 @@ def cluster_input(counts: DataFrame, anchors: Sequence[str], least: int = 3) ->
     return names.unionByName(counts.sparkSession.createDataFrame([(a.strip(),) for a in anchors], "name string")).distinct()
 
 
+#: Edges up to which the search for the least threshold runs on the driver, as rows of two names and a number.
+EDGES_AT_HAND = 200_000
+
+
 def minimal_epsilon(edges: Sequence[tuple[str, str, float]], groups: Sequence[Sequence[str]], low: float = 0.05, step: float = 0.01, high: float = 0.99) -> float | None:
     """Least distance of a grid at which every group is in one cluster, or None.
 
-    A group joins at the largest edge on the paths of a minimum spanning tree: Kruskal's order of the edges gives it. The edges are
-    those of a few thousand names at most, already pruned by similarity.
+    A group joins at the largest edge on the paths of a minimum spanning tree: Kruskal's order of the edges gives it.
     """
     top: dict[str, str] = {}
 
@@ -82,6 +85,36 @@ def minimal_epsilon(edges: Sequence[tuple[str, str, float]], groups: Sequence[Se
     return value if value <= high + 1e-9 else None
 
 
+def search_epsilon(edges: DataFrame, groups: Sequence[Sequence[str]], low: float = 0.05, step: float = 0.01, high: float = 0.99, at_hand: int = EDGES_AT_HAND) -> float | None:
+    """``minimal_epsilon`` of edges (a, b, sim) of any number.
+
+    Few edges are searched on the driver. More stay where they are: as a greater distance only joins more, the grid is halved, with one
+    run of ``clusters`` a step.
+    """
+    edges = edges.where(F.col("sim") >= 1 - high - 1e-9).select("a", "b", "sim")
+    few = edges.limit(at_hand + 1).collect()
+    if len(few) <= at_hand:
+        return minimal_epsilon([tuple(r) for r in few], groups, low, step, high)
+    edges, path = _cut(edges)
+    names = sorted({x for g in groups for x in g})
+
+    def joined(k: int) -> bool:
+        labels = clusters(edges.where(1 - F.col("sim") <= low + k * step + 1e-9))
+        own = {r["name"]: r["cluster"] for r in labels.where(F.col("name").isin(names)).collect()}  # the groups' names alone
+        return all(len({own.get(x, (x,)) for x in g}) == 1 for g in groups)
+
+    least, most = 0, int((high - low) / step + 1e-9)
+    found = None
+    while least <= most:
+        k = (least + most) // 2
+        if joined(k):
+            found, most = k, k - 1
+        else:
+            least = k + 1
+    remove(edges.sparkSession, path)
+    return None if found is None else round(low + found * step, 10)
+
+
 def unhandled(members: DataFrame, variants: DataFrame) -> DataFrame:
     """Clusters whose signature has no recorded decision."""
     signed = members.withColumn("artist_variants_hash", signature_hash(signature(F.col("members"))))
@@ -104,16 +137,58 @@ def missing_aliases(variants: DataFrame, dim: DataFrame) -> DataFrame:
     return met.select("canonical_name", F.explode(own).alias("alias"))
 
 
-def rank_forms(pairs: DataFrame, column: str = "name") -> DataFrame:
-    """A score of each spelling by text rules: '&' over spelled-out and, a leading The, special characters kept."""
+#: What a record of a group that is not linked has for a canonical name; fixed value.
+SKIPPED = "__SKIP__"
+
+
+def record_decisions(groups: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, groups to decide again) of decisions (cluster, decision, value, part, comment) on groups (cluster, members).
+
+    ``choose`` and ``custom`` link the group to the name in ``value``; without one, and on ``skip``, a record says that the group is not to be
+    linked. ``split`` with a ``part`` that is some but not all of the members gives the part and the rest as groups to decide; any other
+    part gives the group back as it is. Groups of fewer than two names and those without a decision leave no record.
+    """
+    met = groups.where(F.size("members") > 1).join(decisions, "cluster").withColumn("__name", F.trim(F.coalesce("value", F.lit(""))))
+    link = F.col("decision").isin("choose", "custom") & (F.col("__name") != "")
+    text = signature(F.col("members"))
+    records = met.where("decision <> 'split'").select(
+        signature_hash(text).alias("artist_variants_hash"),
+        text.alias("artist_variants_text"),
+        F.when(link, F.col("__name")).otherwise(SKIPPED).alias("canonical_name"),
+        link.alias("to_link"),
+        F.when(F.trim(F.coalesce("comment", F.lit(""))) != "", F.trim("comment")).when(F.col("decision").isin("choose", "custom") & ~link, F.lit("no name given")).alias("comment"),
+    )
+    part = F.array_sort(F.array_intersect("members", F.coalesce("part", F.array().cast("array<string>"))))
+    rest = F.array_sort(F.array_except("members", part))
+    whole = (F.size(part) == 0) | (F.size(rest) == 0)
+    again = met.where("decision = 'split'").select("cluster", F.explode(F.when(whole, F.array(F.array_sort("members"))).otherwise(F.array(part, rest))).alias("members"))
+    return records, again.select("cluster", F.row_number().over(Window.partitionBy("cluster").orderBy("members")).alias("k"), "members")
+
+
+def rank_forms(pairs: DataFrame, column: str = "name", *, official: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
+    """A score of each spelling by text rules.
+
+    ``official`` (name): a name that a register has comes before all else. 'és' is better than '&', '&' than spelled-out and; a leading The,
+    collaborators as "a, b & c" and special characters count for a form. ``order`` (name, eastern, family, given): the order of a
+    person's names that is usual in the artist's country counts for a form.
+    """
     c = F.col(column)
     score = (
-        F.when(c.contains("&"), 2).otherwise(0)
+        F.when(c.rlike(r"\bés\b"), 3).when(c.contains("&"), 2).otherwise(0)
         - F.when(c.rlike(r"(?i)\b(and|und)\b"), 1).otherwise(0)
         + F.when(c.rlike(r"(?i)^the\s"), 1).otherwise(0)
+        + F.when(c.rlike(r"^[^,&]+(, [^,&]+)+ & [^,&]+$"), 1).otherwise(0)
         + F.when(c.rlike(r"[^\x00-\x7f]"), 1).otherwise(0)
     )
-    return pairs.withColumn("form_score", score)
+    out = pairs
+    if official is not None:
+        out = out.join(official.select(F.col("name").alias(column), F.lit(8).alias("__official")).distinct(), column, "left")
+        score = score + F.coalesce("__official", F.lit(0))
+    if order is not None:
+        usual = F.when(F.col("eastern"), F.concat_ws(" ", "family", "given")).otherwise(F.concat_ws(" ", "given", "family"))
+        out = out.join(order.select(usual.alias(column), F.lit(1).alias("__usual")).distinct(), column, "left")
+        score = score + F.coalesce("__usual", F.lit(0))
+    return out.withColumn("form_score", score).select(*pairs.columns, "form_score")
 
 
 def clustering_metrics(sims: DataFrame, labels: DataFrame) -> DataFrame:
@@ -134,3 +209,23 @@ def clustering_metrics(sims: DataFrame, labels: DataFrame) -> DataFrame:
     per = per.withColumn("out", F.coalesce("out", F.lit(1.0))).select(((F.col("out") - F.col("in")) / F.greatest("in", "out")).alias("s"))
     totals = names.join(labels, "name", "left").agg(F.avg(F.col("cluster").isNull().cast("int")).alias("noise"), F.count_distinct("cluster").alias("clusters"))
     return totals.join(F.broadcast(per.agg(F.avg("s").alias("mean")))).select("noise", "clusters", F.when(F.col("clusters") > 1, F.col("mean")).alias("silhouette"))
+
+
+def center_metrics(points: DataFrame, label: str, vector: str, *, most_numbers: int = 4_000_000) -> DataFrame:
+    """(clusters, weighted_wss, bic) of labelled vectors around their clusters' means; null labels are noise and left out.
+
+    Weighted WSS is the mean squared distance to the own mean. BIC is -2 LL + k d ln n, LL being half the sum of squared distances to the
+    nearest mean, negated. The means, checked to be ``most_numbers`` numbers at most, go to every task.
+    """
+    rows = points.where(F.col(label).isNotNull()).select(F.col(label).alias("l"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+    means = rows.select("l", F.posexplode("v").alias("i", "x")).groupBy("l", "i").agg(F.avg("x").alias("m"))
+    shape = means.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if shape > most_numbers:
+        raise ValueError(f"means of {shape} numbers; {most_numbers} at most")
+    centers = means.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select("l", F.col("c.m").alias("c"))
+    every = centers.agg(F.collect_list("c").alias("all"))
+    squared = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    met = rows.join(centers, "l").join(F.broadcast(every))  # one row, bounded above
+    per = met.select(squared(F.col("v"), F.col("c")).alias("own"), F.array_min(F.transform("all", lambda c: squared(F.col("v"), c))).alias("near"), F.size("v").alias("d"), "l")
+    one = per.agg(F.count(F.lit(1)).alias("n"), F.avg("own").alias("weighted_wss"), F.sum("near").alias("near"), F.max("d").alias("d"), F.count_distinct("l").alias("clusters"))
+    return one.select("clusters", "weighted_wss", (F.col("near") + F.col("clusters") * F.col("d") * F.log(F.col("n").cast("double"))).alias("bic"))

@@ -42,16 +42,20 @@ def upsert(target: DataFrame, rows: DataFrame, key: str, columns: Sequence[str],
 
 
 def upsert_cache(target: DataFrame, rows: DataFrame, columns: Sequence[str] = ("disambiguation_comment", "aliases", "country")) -> DataFrame:
-    """Upsert that meets rows by mbid, then by name; the columns are replaced, new rows come after."""
+    """Upsert that meets rows by mbid, and those whose mbid is unknown by name; the columns are replaced, also by nulls, new rows come after.
+
+    ``rows`` have distinct mbids and names. A target row met by its mbid is not met by its name as well.
+    """
     fields = [F.col(c).alias(f"__{c}") for c in columns]
     by_id = rows.where("mbid is not null").select("mbid", F.lit(True).alias("__i"), *fields)
-    by_name = rows.select("artist_name", F.lit(True).alias("__n"), F.col("mbid").alias("__mbid"), *[F.col(c).alias(f"__n_{c}") for c in columns])
+    known = target.select("mbid").where("mbid is not null").distinct()
+    unknown = rows.join(known, "mbid", "left_anti")
+    by_name = unknown.select("artist_name", F.lit(True).alias("__n"), F.col("mbid").alias("__mbid"), *[F.col(c).alias(f"__n_{c}") for c in columns])
     met = target.join(by_id, "mbid", "left").join(by_name, "artist_name", "left")
     for c in columns:
         met = met.withColumn(c, F.when(F.col("__i"), F.col(f"__{c}")).when(F.col("__n"), F.col(f"__n_{c}")).otherwise(F.col(c)))
-    met = met.withColumn("mbid", F.coalesce("mbid", "__mbid"))
-    known = target.select("mbid").where("mbid is not null")
-    added = rows.join(known, "mbid", "left_anti").join(target.select("artist_name"), "artist_name", "left_anti")
+    met = met.withColumn("mbid", F.when(F.col("__i").isNull() & F.col("__n"), F.coalesce("mbid", "__mbid")).otherwise(F.col("mbid")))
+    added = unknown.join(target.select("artist_name").distinct(), "artist_name", "left_anti")
     return met.select(*target.columns).unionByName(added.select(*target.columns))
 
 
@@ -122,3 +126,16 @@ def sync_dimension(dim: DataFrame, plays: DataFrame, reference: DataFrame) -> Da
 
 def rank_in(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def enrich_unknown(plays: DataFrame, dim: DataFrame, provider, batch: int | None = None) -> DataFrame:
+    """The dimension with a row more for each artist of plays that it lacks, as the provider knows it; ``batch``: that many names, the first by name.
+
+    A name that the provider does not know gets a row with the name alone, so that it is not asked for again.
+    """
+    missing = plays.where("artist_name is not null").select("artist_name").distinct().join(dim.select("artist_name"), "artist_name", "left_anti")
+    if batch:
+        missing = missing.orderBy("artist_name").limit(batch)
+    found = missing.join(provider.lookup(missing).dropDuplicates(["artist_name"]), "artist_name", "left")
+    columns = [F.col(c).cast(dim.schema[c].dataType) if c in found.columns else F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in dim.columns]
+    return insert_ignore(dim, found.select(*[c.alias(n) for c, n in zip(columns, dim.columns)]), ["artist_name"], "artist_name")

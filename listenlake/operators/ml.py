@@ -10,12 +10,15 @@ from pyspark.ml.classification import DecisionTreeClassificationModel, GBTClassi
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import length_stats
+from ..store import materialize
 from .similarity import expand_pairs, fuzzy_scores
 
+#: Rows of one task in training.
+ROWS_A_TASK = 100_000
 LENGTHS = ["sig_len", "n_variants", "avg_len", "max_len", "var_len"]
 
 
@@ -26,8 +29,14 @@ def gold_pairs(groups: DataFrame) -> DataFrame:
 
 
 def train_link_model(pairs: DataFrame, features: Sequence[str], label: str = "label", *, rounds: int = 400, seed: int = 47) -> PipelineModel:
-    """Scaler and boosted trees as one pipeline, so that what is saved scores as it was trained; classes weigh by their inverse."""
-    share = pairs.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"] or 0.5
+    """Scaler and boosted trees as one pipeline, so that what is saved scores as it was trained; classes weigh by their inverse.
+
+    Rows are written once and trained on in as many partitions as they fill: every tree is several passes over them.
+    """
+    pairs = materialize(pairs, "pairs")
+    facts = pairs.agg(F.avg(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
+    share = facts["p"] or 0.5
+    pairs = pairs.coalesce(1 + facts["n"] // ROWS_A_TASK)
     weighted = pairs.withColumn("__w", F.when(F.col(label) == 1, (1 - share) / max(share, 1e-9)).otherwise(1.0)).withColumn(label, F.col(label).cast("double"))
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="__raw"),
@@ -62,3 +71,21 @@ def rules_of(tree: DecisionTreeClassificationModel, features: Sequence[str]) ->
         elif text.startswith("Predict: 1"):
             out.append(" and ".join(path[:level]))
     return out
+
+
+def save_link_model(model: PipelineModel, features: Sequence[str], path: str) -> None:
+    """The model and, beside it, the columns that it scores, in their order."""
+    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame(list(enumerate(features)), "place int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/features")
+
+
+def load_link_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
+    columns = spark.read.parquet(f"{path.rstrip('/')}/features").orderBy("place").collect()
+    return PipelineModel.load(f"{path.rstrip('/')}/model"), [r["feature"] for r in columns]
+
+
+def score_batch(model: PipelineModel, features: Sequence[str], rows: DataFrame) -> DataFrame:
+    """Rows with probability and prediction; features that are absent or null count as 0, other columns are carried."""
+    aligned = rows.select(*[c for c in rows.columns if c not in features], *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in rows.columns else F.lit(0.0).alias(c) for c in features])
+    return score_links(model, aligned)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_uuid, epoch_to_timestamp, parse_timestamp
+from ..functions.text import clean_uuid, epoch_to_timestamp, parse_timestamp, sanitize
 from ..schema import ALIASES, PLAY_COLUMNS, PLAY_KEYS
 
 
@@ -60,3 +60,10 @@ def with_calendar(df: DataFrame, time: str = "play_time") -> DataFrame:
 def align_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """The model's columns in its order; missing ones and nulls are 0."""
     return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in features])
+
+
+def unique_names(df: DataFrame, column: str, *order: Column | str, name: str = "clean") -> DataFrame:
+    """``name``: the sanitised ``column``, no two alike: of rows with the same one all but the first in ``order`` get _1, _2, ..."""
+    s = df.withColumn("__base", sanitize(F.col(column)))
+    k = F.row_number().over(Window.partitionBy("__base").orderBy(*(order or [column]))) - 1
+    return s.withColumn("__k", k).withColumn(name, F.when(F.col("__k") == 0, F.col("__base")).otherwise(F.concat("__base", F.lit("_"), F.col("__k").cast("string")))).drop("__base", "__k")

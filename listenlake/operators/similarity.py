@@ -7,10 +7,10 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from ..functions.text import split_variants, token_sort
 
@@ -183,6 +183,24 @@ def expand_pairs(groups: DataFrame, column: str = "variants") -> DataFrame:
     return one.select(*groups.columns, "variant_a", F.explode(F.slice("__v", F.col("__i") + 2, F.greatest(F.size("__v") - F.col("__i") - 1, F.lit(0)))).alias("variant_b"))
 
 
+@udtf(returnType="variant_a string, variant_b string")
+class ExpandPairs:
+    """``expand_pairs`` as a table function in SQL: ``SELECT * FROM expand_pairs('a{b{c')``; the operator itself stays in built-in functions."""
+
+    def eval(self, variants: str):
+        names = sorted({x.strip() for x in (variants or "").split("{")} - {""})
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                yield a, b
+
+
+def register(spark: SparkSession) -> None:
+    """The table function and the scores under their names in SQL."""
+    spark.udtf.register("expand_pairs", ExpandPairs)
+    spark.udf.register("name_ratio", ratio_udf)
+    spark.udf.register("name_scores", scores_udf)
+
+
 def best_match(names: DataFrame, choices: Sequence[str], threshold: float) -> DataFrame:
     """The choice of the highest score for each name, null and 0 if none reaches the threshold; the first of equals."""
     spark = names.sparkSession

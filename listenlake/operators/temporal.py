@@ -20,14 +20,15 @@ def decompose(series: DataFrame, *, period: int = 12, time: str = "month", value
     """Multiplicative seasonal decomposition: trend, seasonal, resid; the ends of half a period have no trend.
 
     The trend is the centred moving average of a whole period (half weights at both ends); a phase's factor is its mean ratio
-    to the trend, scaled so that factors have mean 1. The series has one row a period, so its window is small.
+    to the trend, scaled so that factors have mean 1. The series has one row a period, so its window is small. A series of fewer than two
+    whole periods has no parts: all three are null.
     """
     half = period // 2
     order = Window.orderBy(time)
     x = F.col(value).cast("double")
     inner = F.sum(x).over(order.rowsBetween(-(half - 1), half - 1))
     s = series.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    whole = (F.col("__rn") > half) & (F.col("__rn") <= F.col("__n") - half)
+    whole = (F.col("__rn") > half) & (F.col("__rn") <= F.col("__n") - half) & (F.col("__n") >= 2 * period)
     s = s.withColumn("trend", F.when(whole, (inner + (F.lag(x, half).over(order) + F.lead(x, half).over(order)) / 2) / period))
     s = s.withColumn("__phase", (F.col("__rn") - 1) % period)
     s = s.withColumn("__factor", F.avg(F.try_divide(x, F.col("trend"))).over(Window.partitionBy("__phase")))
@@ -84,3 +85,9 @@ def high_water_mark(df: DataFrame, time: str = "play_time") -> DataFrame:
 
 def after_mark(df: DataFrame, mark: Column, time: str) -> DataFrame:
     return df.where(F.col(time) > mark)
+
+
+def history_length(df: DataFrame, group: str, *, least: int = 12, whole: int = 24, time: str = "play_time") -> DataFrame:
+    """(group, months, worth_a_try, decomposable): months with plays of each group, and whether they reach the two bounds of a decomposition."""
+    months = df.where(F.col(time).isNotNull()).groupBy(group).agg(F.count_distinct(F.trunc(F.col(time).cast("date"), "month")).alias("months"))
+    return months.select(group, "months", (F.col("months") >= least).alias("worth_a_try"), (F.col("months") >= whole).alias("decomposable"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import canon, counts, integrity, joins, normalize, similarity
-from ..schema import PLAY_KEYS
 from ..sources import sinks
 from ..sources.provider import TableProvider
+from ..store import materialize
 
 
 @dataclass
@@ -29,8 +30,12 @@ def _status(step: str, **counts_: int) -> dict:
 
 
 def fetch_new_data(spark: SparkSession, store: Store, source: DataFrame) -> dict:
-    """Rows later than the newest stored play, inserted once; nothing new is a success as well."""
+    """Rows later than the newest stored play, inserted once; nothing new is a success as well.
+
+    What is later than all that is stored cannot repeat a stored key, so it is appended: the table is not read beyond its newest time.
+    """
     rows = normalize.normalize_plays(source, F.asc("uts")) if "uts" in source.columns else normalize.normalize_plays(source, F.asc("play_time"))
+    sinks.recover(spark, store.plays)
     try:
         old = spark.read.parquet(store.plays)
     except Exception as e:  # the first load has no table yet
@@ -39,11 +44,26 @@ def fetch_new_data(spark: SparkSession, store: Store, source: DataFrame) -> dict
         sinks.dump(rows, store.plays)
         return _status("fetch", new=spark.read.parquet(store.plays).count())
     mark = old.agg(F.max("play_time")).first()[0]
-    fresh = rows if mark is None else normalize.keep_first(rows.where(F.col("play_time") > F.lit(mark)), PLAY_KEYS[0], "artist_name")
-    before = old.count()
-    sinks.swap_in(integrity.insert_ignore(old, fresh, PLAY_KEYS[0], "artist_name"), store.plays)
-    new = spark.read.parquet(store.plays).count() - before
-    return _status("fetch", new=new) if new else {"step": "fetch", "status": "success", "message": "no new plays to process", "new": 0}
+    fresh = materialize(rows if mark is None else rows.where(F.col("play_time") > F.lit(mark)), "fresh")
+    new = fresh.count()
+    if not new:
+        return {"step": "fetch", "status": "success", "message": "no new plays to process", "new": 0}
+    sinks.append(normalize.order_columns(fresh), store.plays)
+    return _status("fetch", new=new)
+
+
+def run_with_retries(step: Callable[[], dict], *, tries: int = 8, first: float = 30.0, most: float = 600.0, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """A step tried again after a failure, the wait doubling from ``first`` to ``most`` seconds; the last failure is raised."""
+    wait = first
+    for attempt in range(tries + 1):
+        try:
+            return step()
+        except Exception:
+            if attempt == tries:
+                raise
+            sleep(wait)
+            wait = min(2 * wait, most)
+    raise RuntimeError("unreachable")
 
 
 def enrich_artist_data(spark: SparkSession, store: Store, reference: DataFrame) -> dict:
@@ -82,8 +102,13 @@ def export_to_parquet(spark: SparkSession, store: Store, path: str) -> dict:
     return _status("export", rows=spark.read.parquet(path).count())
 
 
-def run_full_pipeline(spark: SparkSession, store: Store, source: DataFrame, reference: DataFrame, export: str, progress: Callable[[str, int], None] | None = None) -> list[dict]:
-    """All steps in order; a step that fails ends the run and is told in the list."""
+def run_incremental_pipeline(spark: SparkSession, store: Store, source: DataFrame, reference: DataFrame) -> list[dict]:
+    """Fetch new plays, enrich the artists, clean them; also where nothing new came, as references may have changed."""
+    return [fetch_new_data(spark, store, source), enrich_artist_data(spark, store, reference), clean_artist_data(spark, store)]
+
+
+def run_full_pipeline(spark: SparkSession, store: Store, source: DataFrame, reference: DataFrame, export: str, progress: Callable[[str, int], None] | None = None, retries: int = 0) -> list[dict]:
+    """All steps in order, each tried again ``retries`` times; a step that still fails ends the run and is told in the list."""
     steps = [
         ("fetch", lambda: fetch_new_data(spark, store, source)),
         ("enrich", lambda: enrich_artist_data(spark, store, reference)),
@@ -97,7 +122,7 @@ def run_full_pipeline(spark: SparkSession, store: Store, source: DataFrame, refe
         if progress:
             progress(name, 100 * i // len(steps))
         try:
-            out.append(step())
+            out.append(run_with_retries(step, tries=retries))
         except Exception as e:
             out.append({"step": name, "status": "error", "message": str(e)[:500]})
             break

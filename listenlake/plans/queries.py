@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import canon, counts, integrity, joins, ml, normalize, quality, similarity, stats, temporal
-from ..sources import readers
+from ..sources import provider, readers
 from . import adapters as A
 from .registry import query
 
@@ -398,13 +398,11 @@ def length_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT url AS name FROM pages), s AS (SELECT name, regexp_replace(replace(replace(replace(replace(name, ' - ', '_minus_'), ' + ', '_plus_'), ' * ', '_mul_'), ' / ', '_div_'), '[^0-9A-Za-z_]', '_', 'g') AS base FROM n),
+    """WITH n AS (SELECT DISTINCT url AS name FROM pages), s AS (SELECT name, trim(regexp_replace(replace(replace(replace(replace(name, ' - ', '_minus_'), ' + ', '_plus_'), ' * ', '_mul_'), ' / ', '_div_'), '[^0-9A-Za-z_]+', '_', 'g'), '_') AS base FROM n),
     r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY name) - 1 AS k FROM s) SELECT name, CASE WHEN k = 0 THEN base ELSE base || '_' || k END AS clean FROM r"""
 )
 def sanitize_names(spark: SparkSession, sf: str) -> DataFrame:
-    s = A.table(spark, sf, "pages").select(F.col("url").alias("name")).distinct().withColumn("base", text.sanitize(F.col("name")))
-    k = integrity.rank_in(s, ["base"], F.asc("name")).withColumn("k", F.col("rank") - 1)
-    return k.select("name", F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string"))).alias("clean"))
+    return normalize.unique_names(A.table(spark, sf, "pages").select(F.col("url").alias("name")).distinct(), "name").select("name", "clean")
 
 
 # joins
@@ -498,9 +496,10 @@ def unknown_artists(spark: SparkSession, sf: str) -> DataFrame:
     return A.part_plays(spark, sf).select("artist_name").distinct().join(known, "artist_name", "left_anti")
 
 
-@query("SELECT id, artist_name FROM artist_dim WHERE artist_name NOT IN (SELECT artist_name FROM plays)")
+@query("SELECT id, artist_name FROM artist_dim WHERE artist_name NOT IN (SELECT artist_name FROM plays WHERE play_time < TIMESTAMP '1996-06-01')")
 def orphan_artists(spark: SparkSession, sf: str) -> DataFrame:
-    return A.artist_dim(spark, sf).select("id", "artist_name").join(A.plays(spark, sf), "artist_name", "left_anti").select("id", "artist_name")
+    early = A.plays(spark, sf).where("play_time < timestamp_ntz '1996-06-01'")
+    return A.artist_dim(spark, sf).select("id", "artist_name").join(early, "artist_name", "left_anti").select("id", "artist_name")
 
 
 _SCORE = "(2 * (coalesce(mbid, '') <> '')::INTEGER + (coalesce(country, '') <> '')::INTEGER + (coalesce(disambiguation_comment, '') <> '')::INTEGER + (coalesce(aliases, '') <> '')::INTEGER)::INTEGER"
@@ -638,12 +637,12 @@ def seasonal_decomposition(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT month(play_time)::INTEGER AS month, year(play_time) AS year, count(*) AS plays FROM plays GROUP BY ALL), s AS (SELECT month, count(*) AS n, stddev_samp(plays) AS sd FROM c GROUP BY month HAVING stddev_samp(plays) > 0),
-    g AS (SELECT k::INTEGER AS k, k * (SELECT max(plays) * 1.1::DOUBLE FROM c) / 99 AS x FROM range(0, 100) t(k)), d AS (SELECT s.month, k, x, sum(exp(-0.5 * ((x - plays) / (n ** -0.2 * sd)) ** 2)) AS d FROM s JOIN c USING (month), g GROUP BY ALL)
+    g AS (SELECT k::INTEGER AS k, k * (SELECT max(plays) * 1.1::DOUBLE FROM c) / 499 AS x FROM range(0, 500) t(k)), d AS (SELECT s.month, k, x, sum(exp(-0.5 * ((x - plays) / (n ** -0.2 * sd)) ** 2)) AS d FROM s JOIN c USING (month), g GROUP BY ALL)
     SELECT month, k, x, d / max(d) OVER (PARTITION BY month) AS density FROM d"""
 )
 def monthly_kde(spark: SparkSession, sf: str) -> DataFrame:
     c = counts.counts_by_year(A.plays(spark, sf), "track_title", "play_time", F.month("play_time").alias("month"))
-    return temporal.kernel_density(c, "month", "plays", points=100)
+    return temporal.kernel_density(c, "month", "plays")
 
 
 @query(
@@ -717,10 +716,16 @@ def name_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return canon.cluster_members(canon.clusters(_edges(spark, sf)))
 
 
-@query(None)
+_MUST_MERGE = [("hot rod", "cold rod"), ("blue bolt", "old bolt")]
+
+
+@query(
+    f"""WITH RECURSIVE {_LCS}, e AS (SELECT a, b, sim FROM sims WHERE sim >= 0.009 UNION ALL SELECT b, a, sim FROM sims WHERE sim >= 0.009), g AS (SELECT k, 0.05::DOUBLE + k * 0.01::DOUBLE AS eps FROM range(0, 95) t(k)),
+    reach(k, src, name) AS (SELECT k, src, src FROM g, (VALUES ('hot rod'), ('blue bolt')) v(src) UNION SELECT r.k, src, b FROM reach r JOIN g ON r.k = g.k JOIN e ON a = name AND 1 - sim <= eps + 1e-9)
+    SELECT round(min(eps), 10) AS epsilon FROM g WHERE k IN (SELECT k FROM reach WHERE src = 'hot rod' AND name = 'cold rod') AND k IN (SELECT k FROM reach WHERE src = 'blue bolt' AND name = 'old bolt')"""
+)
 def minimal_epsilon(spark: SparkSession, sf: str) -> DataFrame:
-    edges = [(r["a"], r["b"], r["sim"]) for r in _edges(spark, sf, 0.5).collect()]  # pairs of the distinct names of a vocabulary of 64
-    return spark.createDataFrame([(canon.minimal_epsilon(edges, [("hot rod", "cold rod"), ("blue bolt", "old bolt")]),)], "epsilon double")
+    return spark.createDataFrame([(canon.search_epsilon(_edges(spark, sf, 0.01), _MUST_MERGE),)], "epsilon double")
 
 
 @query(
@@ -732,15 +737,28 @@ def unhandled_groups(spark: SparkSession, sf: str) -> DataFrame:
     return canon.unhandled(canon.cluster_members(canon.clusters(_edges(spark, sf))), A.variants(spark)).select("cluster")
 
 
-_DECIDED = [("hot ring", ["hot ring", "large rod"]), ("red nut", ["red nut", "blue nut"]), ("new", ["new rod", "old rod"])]
+_GROUPS = """g AS (SELECT a.n AS a, b.n AS b, a.n || '{' || b.n AS cluster FROM (SELECT DISTINCT p_name AS n FROM part) a JOIN (SELECT DISTINCT p_name AS n FROM part) b ON a.n < b.n),
+    d AS (SELECT array_to_string(list_sort(string_split(artist_variants_text, '{')), '{') AS text, canonical_name, to_link FROM variants)"""
+
+
+def _pair_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of names of the vocabulary as a group to decide on."""
+    every = A.table(spark, sf, "part").agg(F.array_join(F.array_sort(F.collect_set("p_name")), "{").alias("variants"))
+    pairs = similarity.expand_pairs(every)
+    return pairs.select(F.concat_ws("{", "variant_a", "variant_b").alias("cluster"), F.array("variant_a", "variant_b").alias("members"))
+
+
+def _recorded(spark: SparkSession) -> DataFrame:
+    """The variants with signatures in order of name, as they are recorded."""
+    v = A.variants(spark)
+    return integrity.upsert_variants(v.limit(0), v)
 
 
 @query(
-    """FROM (VALUES ('hot ring', 'link', 'hot ring'), ('red nut', 'undecided', NULL), ('new', 'undecided', NULL)) t(cluster, action, canonical_name)"""
+    f"""WITH {_GROUPS} SELECT cluster, CASE WHEN text IS NULL THEN 'undecided' WHEN to_link THEN 'link' ELSE 'skip' END AS action, CASE WHEN to_link THEN canonical_name END AS canonical_name FROM g LEFT JOIN d ON cluster = text"""
 )
 def apply_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    members = spark.createDataFrame(_DECIDED, "cluster string, members array<string>")
-    return canon.apply_decisions(members, A.variants(spark))
+    return canon.apply_decisions(_pair_groups(spark, sf), _recorded(spark))
 
 
 @query(
@@ -768,21 +786,46 @@ def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.fuzzy_scores(pairs)
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE names AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT unnest(['hot rings', 'small bolts', 'new gizmo']) AS choice),
+    dp(name, choice, i, row) AS (SELECT name, choice, 0, list_transform(range(0, length(choice) + 1), lambda x: 0) FROM names, c UNION ALL
+    SELECT name, choice, i + 1, list_reduce(range(1, length(choice) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(name, i + 1, 1) = substr(choice, j::INTEGER, 1) THEN row[j] + 1 ELSE greatest(acc[j], row[j + 1]) END), [0]) FROM dp WHERE i < length(name)),
+    s AS (SELECT name, choice, 2.0::DOUBLE * row[length(choice) + 1] / (length(name) + length(choice)) AS p FROM dp WHERE i = length(name)),
+    b AS (SELECT name, max(p) AS score, min_by(choice, (-p, choice)) AS choice FROM s WHERE p >= 0.8 GROUP BY name) SELECT name, choice, coalesce(score, 0.0::DOUBLE) AS score FROM names LEFT JOIN b USING (name)"""
+)
 def best_match(spark: SparkSession, sf: str) -> DataFrame:
     names = A.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
     return similarity.best_match(names, ["hot rings", "small bolts", "new gizmo"], 0.8)
 
 
+_FORMS = """n AS (SELECT DISTINCT p_name AS p FROM part), f AS (SELECT p AS name FROM n UNION SELECT replace(p, ' ', ' & ') FROM n UNION SELECT replace(p, ' ', ' and ') FROM n UNION SELECT 'The ' || p FROM n
+    UNION SELECT replace(p, ' ', ' és ') FROM n UNION SELECT replace(p, ' ', ', ') || ' & more' FROM n)"""
+
+
 @query(
-    """SELECT DISTINCT p_name AS name, (CASE WHEN contains(p_name, '&') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(p_name, '(?i)\\b(and|und)\\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(p_name, '(?i)^the\\s') THEN 1 ELSE 0 END
-    + CASE WHEN regexp_matches(p_name, '[^\\x00-\\x7f]') THEN 1 ELSE 0 END)::INTEGER AS form_score FROM part"""
+    f"""WITH {_FORMS}, c AS (SELECT n_name AS name FROM nation UNION SELECT min(name) FROM f)
+    SELECT name, (CASE WHEN regexp_matches(name, ' és ') THEN 3 WHEN contains(name, '&') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(name, '(?i)\\b(and|und)\\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(name, '(?i)^the\\s') THEN 1 ELSE 0 END
+    + CASE WHEN regexp_matches(name, '^[^,&]+(, [^,&]+)+ & [^,&]+$') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(name, '[^\\x00-\\x7f]') THEN 1 ELSE 0 END + CASE WHEN name IN (FROM c) THEN 8 ELSE 0 END + CASE WHEN name = 'rod hot' THEN 1 ELSE 0 END)::INTEGER AS form_score FROM f"""
 )
 def rank_variant_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return canon.rank_forms(A.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct())
+    """Spellings of each name: with '&', 'and', 'és', a leading The, and as a list of collaborators; the first of all is official."""
+    p = A.table(spark, sf, "part").select(F.col("p_name").alias("p")).distinct()
+    forms = F.array("p", F.replace("p", F.lit(" "), F.lit(" & ")), F.replace("p", F.lit(" "), F.lit(" and ")), F.concat(F.lit("The "), "p"), F.replace("p", F.lit(" "), F.lit(" és ")), F.concat(F.replace("p", F.lit(" "), F.lit(", ")), F.lit(" & more")))
+    f = p.select(F.explode(forms).alias("name")).distinct()
+    official = A.table(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(f.agg(F.min("name").alias("name")))
+    order = spark.createDataFrame([(True, "rod", "hot")], "eastern boolean, family string, given string")
+    return canon.rank_forms(f, official=official, order=order)
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {_LCS}, s AS (SELECT a, b, sim FROM sims WHERE sim >= 0.05 UNION ALL SELECT b, a, sim FROM sims WHERE sim >= 0.05), e AS (SELECT a, b FROM s WHERE sim >= 0.77),
+    reach(name, other) AS (SELECT a, a FROM e UNION SELECT name, b FROM reach JOIN e ON other = a), l AS (SELECT name, min(other) AS cluster FROM reach GROUP BY name), z AS (SELECT cluster, count(*) AS size FROM l GROUP BY cluster),
+    m AS (SELECT s.a, x.cluster AS ca, y.cluster AS cb, sum(sim) AS s FROM s JOIN l x ON s.a = x.name JOIN l y ON s.b = y.name GROUP BY ALL),
+    d AS (SELECT a, ca = cb AS own, 1 - s / CASE WHEN ca = cb THEN size - 1 ELSE size END AS mean FROM m JOIN z ON cb = z.cluster),
+    p AS (SELECT a, min(mean) FILTER (own) AS i, coalesce(min(mean) FILTER (NOT own), 1.0::DOUBLE) AS o FROM d GROUP BY a)
+    SELECT (SELECT count(*) FROM (SELECT DISTINCT a FROM s) n WHERE a NOT IN (SELECT name FROM l)) / (SELECT count(DISTINCT a) FROM s)::DOUBLE AS noise, (SELECT count(DISTINCT cluster) FROM l) AS clusters,
+    (SELECT avg((o - i) / greatest(i, o)) FROM p) AS silhouette"""
+)
 def clustering_metrics(spark: SparkSession, sf: str) -> DataFrame:
     sims = similarity.similar_pairs(A.table(spark, sf, "part"), "p_name", 0.05, sort_tokens=True)
     return canon.clustering_metrics(sims, canon.clusters(sims.where("sim >= 0.77")))
@@ -795,20 +838,269 @@ def link_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     pairs = pairs.withColumn("label", same.cast("int"))
     features = ["ratio", "partial_ratio", "token_set_ratio"]
     split = stats.stratified_split(pairs.withColumn("pair", F.concat("variant_a", F.lit("|"), "variant_b")), "label", "pair")
-    model = ml.train_link_model(split.where("not is_test"), features, rounds=10)
+    model = ml.train_link_model(split.where("not is_test"), features)
     return ml.score_links(model, split).select("variant_a", "variant_b", "label", "is_test", F.round("probability", 6).alias("probability"), F.col("prediction").cast("int").alias("prediction"))
 
 
-@query(
-    """SELECT count(*) AS plays FROM events"""
-)
-def page_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    """Events written as pages of the service's layout and read back: nothing is lost."""
+def _event_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as pages of the service's layout; each tenth is playing now and has no date."""
     e = A.table(spark, sf, "events")
+    uts = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
     track = F.struct(
-        F.struct(F.col("event_type").alias("#text"), F.lit("").alias("mbid")).alias("artist"), F.col("event_id").cast("string").alias("name"),
-        F.struct(F.lit("").alias("#text")).alias("album"), F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string").alias("uts")).alias("date"),
+        F.struct(F.col("event_type").alias("#text"), F.lit("m").alias("mbid")).alias("artist"), F.col("event_id").cast("string").alias("name"),
+        F.struct(F.col("user_id").cast("string").alias("#text")).alias("album"), F.when(F.col("event_id") % 10 != 0, F.struct(uts.alias("uts"))).alias("date"),
     )
-    pages = e.groupBy(F.floor(F.col("event_id") / 200).alias("page")).agg(F.collect_list(track).alias("track"))
-    value = pages.select(F.to_json(F.struct(F.struct("track").alias("recenttracks"))).alias("value"))
-    return readers.flatten_pages(value).agg(F.count_distinct("Song").alias("plays"))
+    pages = e.groupBy(F.floor(F.col("event_id") / 200).cast("int").alias("page")).agg(F.collect_list(track).alias("track"))
+    return pages.select("page", F.to_json(F.struct(F.struct("track").alias("recenttracks"))).alias("value"))
+
+
+_FLAT = """SELECT event_type AS "Artist", event_id::VARCHAR AS "Song", user_id::VARCHAR AS "Album", CASE WHEN event_id % 10 <> 0 THEN floor(epoch(ts))::BIGINT END AS uts, 'm' AS artist_mbid FROM events"""
+
+
+@query(f"WITH f AS ({_FLAT}) SELECT * FROM f WHERE uts IS NOT NULL")
+def page_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.flatten_pages(_event_pages(spark, sf))
+
+
+@query(f"""WITH f AS ({_FLAT}) SELECT * FROM f WHERE uts > epoch(TIMESTAMP '2024-01-15 00:00:00')::BIGINT""")
+def pages_since(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.flatten_pages(_event_pages(spark, sf), since=1705276800)
+
+
+@query(f"""WITH f AS ({_FLAT}) SELECT "Artist", "Song", "Album", coalesce(uts, 0) AS uts, artist_mbid FROM f ORDER BY uts DESC, "Artist", "Song", "Album" LIMIT 1000""")
+def recent_plays(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.recent(readers.flatten_pages(_event_pages(spark, sf), undated=True))
+
+
+@query("SELECT event_id FROM events")
+def paginated_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of pages of any method, parsed afterwards."""
+    items = readers.flatten_items(_event_pages(spark, sf), "user.getRecentTracks")
+    return items.select(F.get_json_object("item", "$.name").cast("long").alias("event_id"))
+
+
+@query(
+    """SELECT event_type AS "Artist", user_id::VARCHAR AS "Album", event_id::VARCHAR AS "Song", floor(epoch(ts))::BIGINT AS "Datetime" FROM events
+    WHERE floor(epoch(ts))::BIGINT > 1705276800 AND floor(epoch(ts))::BIGINT < 1706140800 ORDER BY "Datetime" DESC, "Artist", "Song", "Album" LIMIT 500"""
+)
+def listens_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "events")
+    meta = F.struct(F.col("event_type").alias("artist_name"), F.col("event_id").cast("string").alias("track_name"), F.col("user_id").cast("string").alias("release_name"))
+    listen = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("listened_at"), meta.alias("track_metadata"))
+    pages = e.groupBy(F.floor(F.col("event_id") / 100)).agg(F.collect_list(listen).alias("listens")).select(F.to_json(F.struct(F.struct("listens").alias("payload"))).alias("value"))
+    return readers.flatten_listens(pages, min_ts=1705276800, max_ts=1706140800, count=500)
+
+
+# ranges, paging, guards
+
+
+@query("SELECT id, artist_name FROM plays WHERE year(play_time) BETWEEN 1996 AND 1998")
+def year_range(spark: SparkSession, sf: str) -> DataFrame:
+    return counts.between_years(A.plays(spark, sf), 1996, 1998).select("id", "artist_name")
+
+
+@query("WITH c AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN upper(n_name[:2]) WHEN 2 THEN NULL ELSE n_name END AS code FROM nation) SELECT code FROM c WHERE code IS NOT NULL AND code <> 'None' AND length(code) = 2")
+def two_letter_codes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("n_nationkey") % 4
+    code = F.when(k == 0, "None").when(k == 1, F.upper(F.left("n_name", F.lit(2)))).when(k == 3, F.col("n_name"))
+    return counts.two_letter(A.table(spark, sf, "nation").select(code.alias("code")), "code")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey > 40 ORDER BY c_custkey LIMIT 100")
+def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
+    return counts.page_after(A.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 40, 100)
+
+
+@query("SELECT artist_name, count(*) AS plays FROM plays GROUP BY ALL")
+def ascending_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return counts.ascending(counts.value_counts(A.plays(spark, sf), "artist_name"), "plays", "artist_name")
+
+
+@query("SELECT album_title, count(DISTINCT date_trunc('month', play_time)) AS months, count(DISTINCT date_trunc('month', play_time)) >= 12 AS worth_a_try, count(DISTINCT date_trunc('month', play_time)) >= 24 AS decomposable FROM plays WHERE id % 7 = 0 AND (album_title <> 'BUILDING' OR play_time < TIMESTAMP '1996-09-01') GROUP BY ALL")
+def history_length(spark: SparkSession, sf: str) -> DataFrame:
+    p = A.plays(spark, sf).where("id % 7 = 0 and (album_title <> 'BUILDING' or play_time < timestamp_ntz '1996-09-01')")
+    return temporal.history_length(p, "album_title")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL ELSE 'c' || user_id END AS country_iso2, CASE WHEN event_id % 4 IN (0, 2) THEN 0.0::DOUBLE ELSE (event_id % 100) / 100.0::DOUBLE END AS confidence FROM events")
+def json_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers around a JSON block: without one, with a confidence that is a number, no number, or a text of one."""
+    kind = F.col("event_id") % 4
+    number = ((F.col("event_id") % 100) / 100.0).cast("string")
+    block = F.concat(F.lit('{"country_iso2": "c'), F.col("user_id"), F.lit('",\n "confidence": '), F.when(kind == 1, number).when(kind == 2, F.lit('"high"')).otherwise(F.concat(F.lit('"'), number, F.lit('"'))), F.lit("}"))
+    answer = F.when(kind == 0, F.lit("I do not know.")).otherwise(F.concat(F.lit("The answer:\n"), block, F.lit(" or {so}")))
+    return A.table(spark, sf, "events").select("event_id", text.confident_answer(answer).alias("r")).select("event_id", "r.*")
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey, l_linenumber, o_orderdate::DATE AS s, CASE WHEN l_linenumber % 3 > 0 THEN (o_orderdate + to_days((l_linenumber - 3)::INTEGER))::DATE END AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT l_linenumber, count(*) FILTER (e IS NULL OR e > s) AS strict, count(*) FILTER (e IS NULL OR e >= s) AS loose FROM i GROUP BY ALL"""
+)
+def interval_validity(spark: SparkSession, sf: str) -> DataFrame:
+    line, o = A.table(spark, sf, "lineitem"), A.table(spark, sf, "orders")
+    start = text.strict_date(F.col("o_orderdate").cast("date").cast("string"))
+    i = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_linenumber", start.alias("start_date"))
+    i = i.withColumn("end_date", F.when(F.col("l_linenumber") % 3 > 0, F.date_add("start_date", F.col("l_linenumber").cast("int") - 3)))
+    one = lambda strict: integrity.valid_intervals(i, strict=strict).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("strict" if strict else "loose"))
+    return i.select("l_linenumber").distinct().join(one(True), "l_linenumber", "left").join(one(False), "l_linenumber", "left").na.fill(0)
+
+
+@query("SELECT o_orderpriority, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'id' ELSE 'name' END AS kind FROM orders")
+def identifier_kind(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))).otherwise(F.concat(F.lit("g"), F.lpad(F.col("o_orderkey").cast("string"), 35, "0")))
+    o = A.table(spark, sf, "orders")
+    return o.select("o_orderpriority", "o_orderkey", F.when(text.is_identifier(key), "id").otherwise("name").alias("kind"))
+
+
+@query("SELECT value, 0.0::DOUBLE AS absent, user_id::DOUBLE AS user_id FROM events")
+def align_features(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.align_features(A.table(spark, sf, "events"), ["value", "absent", "user_id"])
+
+
+@query("SELECT n_nationkey, md5('api_keyK' || 'method' || n_name || 'page' || n_nationkey || 'secret') AS api_sig FROM nation")
+def request_signature(spark: SparkSession, sf: str) -> DataFrame:
+    params = F.create_map(F.lit("page"), F.col("n_nationkey").cast("string"), F.lit("method"), F.col("n_name"), F.lit("api_key"), F.lit("K"))
+    return A.table(spark, sf, "nation").select("n_nationkey", text.request_signature(params, "secret").alias("api_sig"))
+
+
+@query("WITH c AS (SELECT nation, count(*) * 37 AS n FROM plays GROUP BY ALL) SELECT nation, CASE WHEN n > 10000 THEN 'high' WHEN n > 5000 THEN 'middle' WHEN n > 1000 THEN 'low' ELSE 'none' END AS colour FROM c")
+def colour_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    c = counts.value_counts(A.plays(spark, sf), "nation")
+    return c.select("nation", counts.colour_bucket(F.col("plays") * 37).alias("colour"))
+
+
+@query("SELECT id, year(play_time)::INTEGER AS year, month(play_time)::INTEGER AS month, day(play_time)::INTEGER AS day FROM plays")
+def snapshot_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.with_calendar(A.plays(spark, sf)).select("id", "year", "month", "day")
+
+
+# statistics of several columns
+
+_CORR = ["l_quantity", "l_extendedprice", "l_discount", "gross"]
+_WITH_GROSS = "line AS (SELECT *, l_quantity * 3 + l_tax * 100 AS gross FROM lineitem)"
+_CORR_SQL = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM line" for i, a in enumerate(_CORR) for b in _CORR[i + 1 :])
+
+
+def _line(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "lineitem").withColumn("gross", F.col("l_quantity") * 3 + F.col("l_tax") * 100)
+
+
+@query(f"WITH {_WITH_GROSS} SELECT x, y, round(r, 6) AS r FROM ({_CORR_SQL})")
+def correlation_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    m = stats.correlation(_line(spark, sf), _CORR)
+    return spark.createDataFrame([(a, b, round(m[i][j], 6)) for i, a in enumerate(_CORR) for j, b in enumerate(_CORR) if i < j], "x string, y string, r double")
+
+
+@query(
+    f"""WITH {_WITH_GROSS}, c AS ({_CORR_SQL}), v AS (SELECT unnest({_CORR}) AS n, unnest([{', '.join(f'var_pop({c})' for c in _CORR)}]) AS var FROM line)
+    SELECT DISTINCT CASE WHEN a.var < b.var THEN x ELSE y END AS dropped FROM c JOIN v a ON a.n = x JOIN v b ON b.n = y WHERE abs(r) > 0.5"""
+)
+def correlated_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that go for another that they move with."""
+    line = _line(spark, sf)
+    var = line.agg(*[F.var_pop(c).alias(c) for c in _CORR]).first().asDict()
+    return spark.createDataFrame([(c,) for c in stats.drop_correlated(_CORR, stats.correlation(line, _CORR), 0.5, var)], "dropped string")
+
+
+@query(
+    """WITH p AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL),
+    d AS (SELECT p.label, vec_id, m.label AS other, sum((x - m) ** 2) AS d FROM p JOIN m USING (i) GROUP BY ALL), s AS (SELECT vec_id, label, min(d) FILTER (label = other) AS own, min(d) AS near FROM d GROUP BY ALL)
+    SELECT count(DISTINCT label) AS clusters, avg(own) AS weighted_wss, sum(near) + count(DISTINCT label) * (SELECT max(len(embedding)) FROM embeddings) * ln(count(*)) AS bic FROM s"""
+)
+def center_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return canon.center_metrics(A.table(spark, sf, "embeddings"), "label", "embedding")
+
+
+# more of dimensions and decisions
+
+
+@query(
+    f"""WITH {_GROUPS}, k AS (SELECT cluster, a, b, hash % 5 AS k FROM (SELECT *, (length(cluster) * 7 + ascii(a) + ascii(b)) AS hash FROM g))
+    SELECT sha256(cluster) AS artist_variants_hash, cluster AS artist_variants_text, CASE k WHEN 0 THEN a WHEN 1 THEN 'own ' || b ELSE '__SKIP__' END AS canonical_name, k < 2 AS to_link,
+    CASE k WHEN 0 THEN 'same' WHEN 3 THEN 'no name given' END AS comment FROM k WHERE k < 4"""
+)
+def record_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return canon.record_decisions(_pair_groups(spark, sf), _choices(spark, sf))[0]
+
+
+def _choices(spark: SparkSession, sf: str) -> DataFrame:
+    g = _pair_groups(spark, sf)
+    a, b = F.col("members")[0], F.col("members")[1]
+    k = (F.length("cluster") * 7 + F.ascii(a) + F.ascii(b)) % 5
+    decision = F.when(k == 0, "choose").when((k == 1) | (k == 3), "custom").when(k == 2, "skip").otherwise("split")
+    value = F.when(k == 0, a).when(k == 1, F.concat(F.lit("own "), b)).when(k == 3, F.lit("  "))
+    return g.select("cluster", decision.alias("decision"), value.alias("value"), F.when(k == 4, F.array(b)).alias("part"), F.when(k == 0, F.lit(" same ")).alias("comment"))
+
+
+@query(
+    f"""WITH {_GROUPS}, k AS (SELECT cluster, a, b FROM g WHERE (length(cluster) * 7 + ascii(a) + ascii(b)) % 5 = 4) SELECT cluster, 1 AS k, [a] AS members FROM k UNION ALL SELECT cluster, 2, [b] FROM k"""
+)
+def split_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return canon.record_decisions(_pair_groups(spark, sf), _choices(spark, sf))[1]
+
+
+@query(
+    """WITH t AS (SELECT artist_name, mbid, disambiguation_comment, aliases, country FROM artist_full), r AS (SELECT CASE WHEN id % 2 = 0 THEN 'renamed ' || artist_name ELSE artist_name END AS artist_name,
+    CASE WHEN id % 3 = 0 THEN 'new' || id ELSE mbid END AS mbid, 'c' || id AS disambiguation_comment, CASE WHEN id % 5 > 0 THEN 'x' END AS aliases, 'ZZ' AS country FROM artist_full WHERE id % 4 < 3),
+    u AS (SELECT * FROM r WHERE mbid IS NULL OR mbid NOT IN (SELECT mbid FROM t WHERE mbid IS NOT NULL))
+    SELECT t.artist_name, CASE WHEN i.mbid IS NULL AND u.artist_name IS NOT NULL THEN coalesce(t.mbid, u.mbid) ELSE t.mbid END AS mbid,
+    CASE WHEN i.mbid IS NOT NULL THEN i.disambiguation_comment WHEN u.artist_name IS NOT NULL THEN u.disambiguation_comment ELSE t.disambiguation_comment END AS disambiguation_comment,
+    CASE WHEN i.mbid IS NOT NULL THEN i.aliases WHEN u.artist_name IS NOT NULL THEN u.aliases ELSE t.aliases END AS aliases,
+    CASE WHEN i.mbid IS NOT NULL THEN i.country WHEN u.artist_name IS NOT NULL THEN u.country ELSE t.country END AS country FROM t LEFT JOIN r i ON t.mbid = i.mbid LEFT JOIN u ON t.artist_name = u.artist_name
+    UNION ALL SELECT artist_name, mbid, disambiguation_comment, aliases, country FROM u WHERE artist_name NOT IN (SELECT artist_name FROM t)"""
+)
+def upsert_cache(spark: SparkSession, sf: str) -> DataFrame:
+    full = A.artist_dim(spark, sf).where("id < 1000000000")
+    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("renamed "), "artist_name")).otherwise(F.col("artist_name"))
+    mbid = F.when(F.col("id") % 3 == 0, F.concat(F.lit("new"), F.col("id").cast("string"))).otherwise(F.col("mbid"))
+    rows = full.where("id % 4 < 3").select(
+        name.alias("artist_name"), mbid.alias("mbid"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("disambiguation_comment"), F.when(F.col("id") % 5 > 0, "x").alias("aliases"), F.lit("ZZ").alias("country")
+    )
+    return integrity.upsert_cache(full.select("artist_name", "mbid", "disambiguation_comment", "aliases", "country"), rows)
+
+
+_KNOWN = "SELECT artist_name, mbid, country, aliases FROM artist_full WHERE id % 3 = 0"
+
+
+@query(
+    f"""WITH d AS ({_KNOWN}), m AS (SELECT DISTINCT artist_name FROM plays WHERE artist_name NOT IN (SELECT artist_name FROM d) ORDER BY artist_name LIMIT 100), p AS (SELECT artist_name, mbid, country, aliases FROM artist_full WHERE id % 3 = 1)
+    SELECT * FROM d UNION ALL SELECT artist_name, mbid, country, aliases FROM m LEFT JOIN p USING (artist_name)"""
+)
+def enrich_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    full = A.artist_dim(spark, sf).where("id < 1000000000").select("id", "artist_name", "mbid", "country", "aliases")
+    return integrity.enrich_unknown(A.plays(spark, sf), full.where("id % 3 = 0").drop("id"), provider.TableProvider(full.where("id % 3 = 1").drop("id")), 100)
+
+
+@query(
+    f"""WITH d AS ({_KNOWN}), a AS (SELECT DISTINCT artist_name FROM plays), p AS (SELECT artist_name, mbid, country, aliases FROM artist_full WHERE id % 3 = 1)
+    SELECT artist_name, coalesce(d.mbid, p.mbid) AS mbid, coalesce(d.country, p.country) AS country, coalesce(d.aliases, p.aliases) AS aliases FROM a LEFT JOIN d USING (artist_name) LEFT JOIN p USING (artist_name)"""
+)
+def read_through(spark: SparkSession, sf: str) -> DataFrame:
+    full = A.artist_dim(spark, sf).where("id < 1000000000").select("id", "artist_name", "mbid", "country", "aliases")
+    through = provider.ReadThroughProvider(full.where("id % 3 = 0").drop("id"), provider.TableProvider(full.where("id % 3 = 1").drop("id")))
+    return through.lookup(A.plays(spark, sf))
+
+
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 3 < 2 THEN lpad(c_nationkey::VARCHAR, 2, '0') END AS iso2 FROM customer")
+def user_country(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' countries by name: as it is, in lower case, and unknown."""
+    c = A.table(spark, sf, "customer").join(A.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 3
+    country = F.when(k == 0, F.col("n_name")).when(k == 1, F.lower("n_name")).otherwise("no such country at all")
+    return provider.user_country(c.select(F.col("c_name").alias("name"), country.alias("country")), A.country_code(spark, sf))
+
+
+@query(
+    """WITH c AS (SELECT nation, count(*) AS plays FROM plays WHERE nation % 2 = 0 GROUP BY ALL) SELECT lpad(n_nationkey::VARCHAR, 2, '0') AS code, coalesce(plays, 0) AS plays, (n_nationkey + 1.0)::DOUBLE AS lon, (n_regionkey + 2.0)::DOUBLE AS lat
+    FROM nation LEFT JOIN c ON nation = n_nationkey"""
+)
+def geo_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Squares as polygons and multi-polygons, one a nation: their centres, and counts of plays of every other nation."""
+    n = A.table(spark, sf, "nation")
+    ring = F.format_string("[[%d,%d],[%d,%d],[%d,%d],[%d,%d]]", *[F.col(c) + d for dx, dy in ((0, 1), (2, 1), (2, 3), (0, 3)) for c, d in (("n_nationkey", dx), ("n_regionkey", dy))])
+    many = F.col("n_nationkey") % 3 == 0
+    shape = F.when(many, F.concat(F.lit("[["), ring, F.lit("],[[[9,9]]]]"))).otherwise(F.concat(F.lit("["), ring, F.lit("]")))
+    code = F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
+    features = n.select(code.alias("code"), F.when(many, "MultiPolygon").otherwise("Polygon").alias("kind"), shape.alias("coordinates"))
+    plays = counts.value_counts(A.plays(spark, sf).where("nation % 2 = 0"), "nation").select(F.lpad(F.col("nation").cast("string"), 2, "0").alias("code"), "plays")
+    return readers.feature_counts(features, plays).select("code", "plays").join(readers.centroids(features), "code")

@@ -48,32 +48,72 @@ def strings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("emptyValue", "").csv(path).na.fill("")
 
 
-def flatten_pages(pages: DataFrame, column: str = "value") -> DataFrame:
-    """(Artist, Song, Album, uts, artist_mbid) of JSON pages; plays without a date (now playing) are left out."""
+def flatten_pages(pages: DataFrame, column: str = "value", *, undated: bool = False, since: int | None = None) -> DataFrame:
+    """(Artist, Song, Album, uts, artist_mbid) of JSON pages.
+
+    Plays without a date (now playing) are left out, or have time 0 with ``undated``. ``since``: only plays after that second.
+    """
     many = F.from_json(column, PAGE_MANY)["recenttracks"]["track"]
     one = F.from_json(column, PAGE_ONE)["recenttracks"]["track"]
-    rows = pages.select(F.explode(F.coalesce(many, F.when(one.isNotNull(), F.array(one)))).alias("t")).where(F.col("t.date.uts").isNotNull())
-    return rows.select(
+    rows = pages.select(F.explode(F.coalesce(many, F.when(one.isNotNull(), F.array(one)))).alias("t")).where(F.lit(undated) | F.col("t.date.uts").isNotNull())
+    flat = rows.select(
         F.coalesce("t.artist.#text", "t.artist.name", F.lit("")).alias("Artist"),
         F.coalesce("t.name", F.lit("")).alias("Song"),
         F.coalesce("t.album.#text", F.lit("")).alias("Album"),
-        F.col("t.date.uts").try_cast("long").alias("uts"),
+        F.coalesce(F.col("t.date.uts").try_cast("long"), F.lit(0) if undated else F.lit(None)).cast("long").alias("uts"),
         F.coalesce("t.artist.mbid", F.lit("")).alias("artist_mbid"),
     )
+    return flat if since is None else flat.where(F.col("uts") > since)
+
+
+def recent(flat: DataFrame, n: int | None = 1000) -> DataFrame:
+    """The latest ``n`` plays of flattened pages, or all of them, latest first."""
+    out = flat.orderBy(F.desc("uts"), "Artist", "Song", "Album")
+    return out if n is None else out.limit(n)
+
+
+def flatten_items(pages: DataFrame, method: str, column: str = "value") -> DataFrame:
+    """(page, item): the items of a method's pages as JSON texts, whether they come as a list or one by itself."""
+    path = "$." + ".".join(item_path(method))
+    raw = F.get_json_object(column, path)
+    many = F.from_json(F.when(raw.startswith("["), raw), "array<string>")
+    return pages.select("page", F.explode(F.coalesce(many, F.when(raw.startswith("{"), F.array(raw)))).alias("item"))
 
 
-def flatten_listens(pages: DataFrame, column: str = "value") -> DataFrame:
-    """(Artist, Album, Song, Datetime as epoch seconds) of pages of the other JSON layout."""
+def flatten_listens(pages: DataFrame, column: str = "value", *, min_ts: int | None = None, max_ts: int | None = None, count: int | None = None) -> DataFrame:
+    """(Artist, Album, Song, Datetime as epoch seconds) of pages of the other JSON layout, of the times between two bounds (not included), the latest ``count``."""
+    flat = _listens(pages, column)
+    if min_ts is not None:
+        flat = flat.where(F.col("Datetime") > min_ts)
+    if max_ts is not None:
+        flat = flat.where(F.col("Datetime") < max_ts)
+    return flat if count is None else flat.orderBy(F.desc("Datetime"), "Artist", "Song", "Album").limit(count)
+
+
+def _listens(pages: DataFrame, column: str) -> DataFrame:
     rows = pages.select(F.explode(F.from_json(column, LISTENS)["payload"]["listens"]).alias("l"))
     return rows.select(F.col("l.track_metadata.artist_name").alias("Artist"), F.col("l.track_metadata.release_name").alias("Album"), F.col("l.track_metadata.track_name").alias("Song"), F.col("l.listened_at").alias("Datetime"))
 
 
-def centroids(geo: DataFrame) -> DataFrame:
-    """(code, lon, lat): mean vertex of the first ring of each feature; ``geo`` has features as read from multi-line JSON."""
-    f = geo.select(F.explode("features").alias("f"))
-    ring = F.when(F.col("f.geometry.type") == "Polygon", F.col("f.geometry.coordinates")[0])
-    points = f.select(F.col("f.properties.code").alias("code"), F.explode(ring).alias("p"))
-    return points.groupBy("code").agg(F.avg(F.col("p")[0].cast("double")).alias("lon"), F.avg(F.col("p")[1].cast("double")).alias("lat"))
+def geojson(spark: SparkSession, path: str, code: str = "code") -> DataFrame:
+    """(code, kind, coordinates as JSON text) of the features of a GeoJSON file; polygons and multi-polygons may be mixed."""
+    schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    return f.select(F.try_element_at("f.properties", F.lit(code)).alias("code"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
+def centroids(features: DataFrame) -> DataFrame:
+    """(code, lon, lat): mean vertex of the first ring of each feature (code, kind, coordinates), of a multi-polygon's first polygon."""
+    one = F.from_json(F.when(F.col("kind") == "Polygon", F.col("coordinates")), "array<array<array<double>>>")
+    many = F.from_json(F.when(F.col("kind") == "MultiPolygon", F.col("coordinates")), "array<array<array<array<double>>>>")
+    ring = F.coalesce(F.get(one, F.lit(0)), F.get(F.get(many, F.lit(0)), F.lit(0)))
+    points = features.select("code", F.explode(ring).alias("p"))
+    return points.groupBy("code").agg(F.avg(F.col("p")[0]).alias("lon"), F.avg(F.col("p")[1]).alias("lat"))
+
+
+def feature_counts(features: DataFrame, counts: DataFrame, count: str = "plays") -> DataFrame:
+    """Features with their code's count, 0 where there is none."""
+    return features.join(counts.select("code", count), "code", "left").withColumn(count, F.coalesce(count, F.lit(0)))
 
 
 def get_json(url: str, *, tries: int = 8, wait: float = 2.0, timeout: float = 30.0) -> dict:
@@ -95,6 +135,16 @@ def get_json(url: str, *, tries: int = 8, wait: float = 2.0, timeout: float = 30
     raise RuntimeError("unreachable")
 
 
+#: The place of a page's items and of its attributes, where it does not follow from the method's name; fixed values.
+ITEM_PATHS = {"user.getRecentTracks": ("recenttracks", "track")}
+
+
+def item_path(method: str) -> tuple[str, str]:
+    """(container, key) of a method's items: ``x.getArtists`` has them in ``artists.artist``, ``x.getTopArtists`` in ``topartists.artist``."""
+    one = method.rsplit(".", 1)[-1].removeprefix("get").lower().removesuffix("s")
+    return ITEM_PATHS.get(method, (f"{one}s", one.removeprefix("top").removeprefix("loved")))
+
+
 class _Pages(InputPartition):
     def __init__(self, first: int, end: int):
         self.first, self.end = first, end
@@ -102,20 +152,35 @@ class _Pages(InputPartition):
 
 class _PageReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url, self.total = options["url"], int(options.get("pages", 1))
-        self.each, self.pause = int(options.get("pagesPerTask", 10)), float(options.get("pause", 0.2))
+        self.url, self.pages = options["url"], options.get("pages")
+        self.method = options.get("method", "user.getRecentTracks")
+        self.each, self.pause, self.wait = int(options.get("pagesPerTask", 10)), float(options.get("pause", 0.2)), float(options.get("wait", 2.0))
+        since = options.get("since")
+        if since is not None:  # the service's bound is inclusive
+            self.url += ("&" if "?" in self.url else "?") + f"from={int(since) + 1}"
+
+    def _get(self, page: int) -> dict:
+        return get_json(self.url.format(page=page, method=self.method), wait=self.wait)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Pages(i, min(i + self.each, self.total + 1)) for i in range(1, self.total + 1, self.each)]
+        if self.pages is None:
+            container, _ = item_path(self.method)
+            self.pages = self._get(1).get(container, {}).get("@attr", {}).get("totalPages", 1)
+        total = int(self.pages)
+        return [_Pages(i, min(i + self.each, total + 1)) for i in range(1, total + 1, self.each)]
 
     def read(self, partition: _Pages) -> Iterator[tuple]:
         for page in range(partition.first, partition.end):
-            yield page, json.dumps(get_json(self.url.format(page=page)))
+            yield page, json.dumps(self._get(page))
             time.sleep(self.pause)
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged").options(url="...{page}...", pages=N)``: (page, value), a task a range of pages."""
+    """``spark.read.format("paged").options(url="...{page}...")``: (page, value), a task a range of pages.
+
+    The number of pages comes from the first answer's attributes, or from ``pages``. Other options: ``method`` (also put into the url where it
+    holds ``{method}``), ``since`` (a second; only what is later is asked for), ``pagesPerTask``, ``pause`` between pages and ``wait`` before another try.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import epoch_to_timestamp
 from ..operators.normalize import merge_keep_last, order_columns, rename_aliases
-from ..schema import PLAY_COLUMNS
+from ..schema import PLAY_COLUMNS, PLAY_KEYS
 
 
 def _fs(spark: SparkSession, path: str):
@@ -17,7 +19,11 @@ def _fs(spark: SparkSession, path: str):
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and rename, so that readers see the old table or the new one and a failed write changes nothing."""
+    """Write beside ``path`` and rename: a failed write changes nothing.
+
+    Between the two renames there is a moment without a table; a job that ends just there leaves the old one beside, which ``recover`` puts
+    back. Readers that must never meet that moment read what ``publish`` writes.
+    """
     spark = df.sparkSession
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(beside)
@@ -31,17 +37,93 @@ def swap_in(df: DataFrame, path: str) -> None:
         fs.delete(aside, True)
 
 
-def append_or_create(df: DataFrame, path: str) -> DataFrame:
-    """Merge plays into a snapshot, the last row of a key winning; returns the snapshot."""
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back the table that a ``swap_in`` moved aside and did not replace; whether there was one."""
+    target, fs = _fs(spark, path)
+    if fs.exists(target):
+        return False
+    for found in fs.globStatus(_fs(spark, path.rstrip("/") + ".*.old")[0]) or []:
+        return bool(fs.rename(found.getPath(), target))
+    return False
+
+
+def publish(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Write a version of a table in the folder ``path`` and point to it; readers of ``current`` see the old version or the new one whole.
+
+    The pointer is a small file that replaces the one before in a single rename. The ``keep`` latest versions stay for readers that began earlier.
+    """
+    spark = df.sparkSession
+    folder, fs = _fs(spark, path)
+    numbers = sorted(int(s.getPath().getName()[1:]) for s in (fs.listStatus(folder) if fs.exists(folder) else []) if s.getPath().getName()[1:].isdigit())
+    number = numbers[-1] + 1 if numbers else 0
+    version = f"{path.rstrip('/')}/v{number}"
+    df.write.option("compression", "zstd").parquet(version)
+    fresh, pointer = (_fs(spark, f"{path.rstrip('/')}/{name}")[0] for name in (f"_next-{uuid.uuid4().hex}", "_CURRENT"))
+    out = fs.create(fresh, True)
+    out.writeBytes(str(number))
+    out.close()
+    jvm = spark._jvm
+    rename = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    rename.rename(fresh, pointer, options)
+    for old in numbers[: max(0, len(numbers) - keep + 1)]:
+        fs.delete(_fs(spark, f"{path.rstrip('/')}/v{old}")[0], True)
+    return version
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a published table that the pointer names."""
+    pointer, fs = _fs(spark, f"{path.rstrip('/')}/_CURRENT")
+    stream = fs.open(pointer)
+    number = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    stream.close()
+    return spark.read.parquet(f"{path.rstrip('/')}/v{number}")
+
+
+def append_or_create(df: DataFrame, path: str, *order: Column) -> DataFrame:
+    """Merge plays into a snapshot; returns the snapshot.
+
+    The last row of a key wins: rows of the batch over those of the snapshot, and within the batch by ``order`` (ascending), then by their place
+    in the frame: partitions in order, rows within them as read. Columns that are no play's go.
+    """
     spark = df.sparkSession
     new = rename_aliases(df)
-    new = new.select(*[c for c in PLAY_COLUMNS if c in new.columns])
+    if "play_time" not in new.columns and "uts" in new.columns:
+        new = new.withColumn("play_time", epoch_to_timestamp(F.col("uts")))
+    places = [o.alias(f"__o{i}") for i, o in enumerate(order)] + [F.monotonically_increasing_id().alias("__place")]
+    new = new.select(*[c for c in PLAY_COLUMNS if c in new.columns], *places)
+    last = [F.desc(f"__o{i}") for i in range(len(order))] + [F.desc("__place")]
+    recover(spark, path)
     target, fs = _fs(spark, path)
-    merged = merge_keep_last(spark.read.parquet(path), new) if fs.exists(target) else merge_keep_last(new.limit(0), new)
-    swap_in(order_columns(merged), path)
+    merged = merge_keep_last(spark.read.parquet(path), new, PLAY_KEYS, *last) if fs.exists(target) else merge_keep_last(new.limit(0), new, PLAY_KEYS, *last)
+    swap_in(order_columns(merged.drop("__place", *[f"__o{i}" for i in range(len(order))])), path)
     return spark.read.parquet(path)
 
 
+def append_dimension(df: DataFrame, path: str, key: str = "artist_name") -> DataFrame:
+    """Add rows to a small dimension; of rows of a key the last one stays, those of ``df`` after those there."""
+    spark = df.sparkSession
+    recover(spark, path)
+    target, fs = _fs(spark, path)
+    new = df.withColumn("__place", F.monotonically_increasing_id())
+    merged = merge_keep_last(spark.read.parquet(path) if fs.exists(target) else new.limit(0), new, [[key]], F.desc("__place"))
+    swap_in(merged.drop("__place"), path)
+    return spark.read.parquet(path)
+
+
+def export_listens(listens: DataFrame, path: str) -> None:
+    """Listens as Parquet, times as whole epoch seconds."""
+    swap_in(listens.select("Artist", "Album", "Song", F.col("Datetime").cast("long").alias("Datetime")), path)
+
+
+def reload(df: DataFrame, path: str, columns: Sequence[str]) -> DataFrame:
+    """Replace all rows of a table by those of ``df``, in the table's column order: truncate and load in one swap."""
+    recover(df.sparkSession, path)
+    swap_in(df.select(*columns), path)
+    return df.sparkSession.read.parquet(path)
+
+
 def dump(df: DataFrame, path: str, columns: Sequence[str] = PLAY_COLUMNS) -> None:
     swap_in(order_columns(df, columns), path)
 
