@@ -245,7 +245,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id_col, license, coverage, start_byte, end_byte, matched): each place where a template's coverage is ``cover`` or more.
 
     ``templates``: text by name, or a table (name, text). ``matched`` is the text from the first to the last aligned word, at UTF-8 byte
-    offsets. Places of one template do not overlap; where places of several do, the longest template's counts, among equal ones the leftmost.
+    offsets. Places of one template do not overlap; where places of several do, the one with most aligned words counts, of equal ones that of the
+    greater coverage, then the leftmost: so a license is not taken for a longer one that holds it.
     Foreign words inside a place, however many, and left-out ones up to 1 - ``cover`` do not hide it: windows that hold enough of the
     template's words are aligned, ever wider ones up to the whole text, and only after a failed window does the search move on, by one window at
     first and by half a window in the wider ones. Whole texts are read, however long. Null and empty texts and an empty table have no rows;
@@ -282,9 +283,9 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 for row, which in sorted(maybe.items()):
                     base = int(words.first[row])
                     own = h[base : words.first[row + 1]]
-                    hits = [(len(goals[k]), k, *hit) for k in which for hit in scan(own, goals[k], cover)]
+                    hits = [(round(hit[0] * len(goals[k])), k, *hit) for k in which for hit in scan(own, goals[k], cover)]
                     taken: list[tuple[int, int]] = []
-                    for _, k, share, a, z in sorted(hits, key=lambda x: (-x[0], x[3])):
+                    for _, k, share, a, z in sorted(hits, key=lambda x: (-x[0], -x[2], x[3])):
                         if any(a < y and x < z for x, y in taken):
                             continue
                         taken.append((a, z))

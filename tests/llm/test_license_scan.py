@@ -149,3 +149,9 @@ def test_templates_from_a_table(spark):
     got = scan(spark, "before it " + text + " and THIS is: short", templates=table)
     assert [(n, round(c, 1)) for _, n, c, _ in got] == [("long", 0.9), ("short", 1.0)]
     assert scan(spark, text, templates=table.where("false")) == []
+
+
+def test_a_license_is_not_taken_for_a_longer_one_that_holds_it(spark):
+    names = ["MIT grant", "MIT text", "BSD-2-Clause", "BSD-2-Clause text", "BSD-3-Clause text", "ISC text"]
+    got = scan(spark, *["Copyright (c) 2020 someone. " + L.TEMPLATES[n] for n in names])
+    assert [(d, n) for d, n, c, _ in got if c == 1.0] == list(enumerate(names)) and len(got) == len(names)
