@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rules of at most this many bytes (measured, as keys) go to every task; more are range-partitioned with the urls.
@@ -38,6 +38,15 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, path[:stop]
 
 
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """``split_url`` in built-in expressions: (host, path)."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    host = F.regexp_extract(rest, "^[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), "^[^?#]*", 0)
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+
+
 def key(host: str, path: str) -> str:
     return ".".join(reversed(host.split("."))) + SEPARATOR + path
 
@@ -98,6 +107,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     return _sweep_ranges(pages, rows, id_col, url_col, default)
 
 
+def _parted(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    host, path = url_parts(F.coalesce(F.col(url_col), F.lit("")))
+    return pages.select(F.col(id_col).alias("__id"), host.alias("host"), path.alias("path"))
+
+
 def _schema(pages: DataFrame, id_col: str) -> str:
     return f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, host string, path string, rule string, verdict string"
 
@@ -107,7 +121,7 @@ def _sweep_batches(pages: DataFrame, rows: list[tuple], id_col: str, url_col: st
 
     def run(batches):
         for b in batches:
-            parts = [split_url(u) for u in b.column(1).to_pylist()]
+            parts = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
             probes = sorted((key(s, p), i) for i, (h, p) in enumerate(parts) if h for s in suffixes(h))
             found: list[list] = [[] for _ in parts]
             for (_, i), hit in zip(probes, sweep(ordered, [k for k, _ in probes])):
@@ -115,16 +129,14 @@ def _sweep_batches(pages: DataFrame, rows: list[tuple], id_col: str, url_col: st
             best = [_longest(h, f) for (h, _), f in zip(parts, found)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0),
-                    pa.array([h for h, _ in parts], pa.string()),
-                    pa.array([p for _, p in parts], pa.string()),
+                    *b.columns,
                     pa.array([r for r, _ in best], pa.string()),
                     pa.array([v or default for _, v in best], pa.string()),
                 ],
                 names=[id_col, "host", "path", "rule", "verdict"],
             )
 
-    return pages.select(id_col, url_col).mapInArrow(run, _schema(pages, id_col))
+    return _parted(pages, id_col, url_col).toDF(id_col, "host", "path").mapInArrow(run, _schema(pages, id_col))
 
 
 def _sweep_ranges(pages: DataFrame, rows: DataFrame, id_col: str, url_col: str, default: str, ranges: int = 512) -> DataFrame:
@@ -137,8 +149,7 @@ def _sweep_ranges(pages: DataFrame, rows: DataFrame, id_col: str, url_col: str,
     def probe(batches):
         for b in batches:
             out: dict[str, list] = {"row": [], "host": [], "path": [], "key": [], "range": []}
-            for row, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h, p = split_url(u)
+            for row, h, p in zip(*(b.column(c).to_pylist() for c in range(3))):
                 for s in suffixes(h) if h else ():
                     k = key(s, p)
                     for name, v in (("row", row), ("host", h), ("path", p), ("key", k), ("range", bisect.bisect_right(cuts, k))):
@@ -154,8 +165,8 @@ def _sweep_ranges(pages: DataFrame, rows: DataFrame, id_col: str, url_col: str,
                         at[name].append(x)
             yield pa.RecordBatch.from_pydict(at, schema=pa.schema([("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("verdict", pa.string()), ("range", pa.int32())]))
 
-    rowed = materialize(pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.monotonically_increasing_id().alias("__row")), "urls")
-    probes = rowed.select("__row", "__url").mapInArrow(probe, "row long, host string, path string, key string, range int")
+    rowed = materialize(_parted(pages, id_col, url_col).withColumn("__row", F.monotonically_increasing_id()), "urls")
+    probes = rowed.select("__row", "host", "path").mapInArrow(probe, "row long, host string, path string, key string, range int")
     load = probes.groupBy("range").agg((F.floor(F.count(F.lit(1)) / RANGE_KEYS) + 1).cast("int").alias("salts"))
     load = F.broadcast(load)  # one row a range: at most ``ranges`` + 1
     salted = probes.join(load, "range").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).select("range", "salt", "row", "key")
@@ -174,13 +185,7 @@ def _sweep_ranges(pages: DataFrame, rows: DataFrame, id_col: str, url_col: str,
     n = F.length("rule_host") + F.length("rule_path")
     best = hits.groupBy("row").agg(F.max(F.struct(n.alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("best"))
 
-    def parts(batches):
-        for b in batches:
-            both = [split_url(u) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([h for h, _ in both], pa.string()), pa.array([p for _, p in both], pa.string())], names=["__id", "__row", "host", "path"])
-
-    named = rowed.mapInArrow(parts, f"__id {pages.schema[id_col].dataType.simpleString()}, __row long, host string, path string")
-    return named.join(best, named["__row"] == best["row"], "left").select(
+    return rowed.join(best, rowed["__row"] == best["row"], "left").select(
         F.col("__id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
 
