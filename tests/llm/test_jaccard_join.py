@@ -141,3 +141,11 @@ def test_pairs_verified_grow_with_the_links(spark):
         counts[n] = seen["pairs"].count()
     print("pairs verified", counts)
     assert counts[2000] <= 7 * counts[400]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = [*words[:40], "x", *words[41:]]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    check(spark, [(7, " ".join(words)), (7, " ".join(other)), (3, " ".join(near)), (3, " ".join(other)), (9, "alone by itself here now today"), (7, " ".join(words)), (9, None)])
