@@ -104,3 +104,12 @@ def test_history_is_joined_without_an_exchange(spark):
     joined = index._read(index.runs[0]).select("h").hint("merge").join(index._read(index.runs[1]).select("h"), "h")
     assert joined.count() == 1000
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compaction_merges_counts(spark):
+    index = FingerprintIndex(spark, most_runs=9)
+    for i in range(3):
+        index.add(spark.range(i * 1000, i * 1000 + 1500).withColumnRenamed("id", "h"))
+    index.compact()
+    rows = index._read(index.runs[0]).collect()
+    assert len(rows) == 3500 and sum(r.n for r in rows) == 4500 and {r.n for r in rows if 1000 <= r.h < 1500} == {2}
