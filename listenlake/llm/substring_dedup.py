@@ -3,7 +3,7 @@
 A window is ``width`` consecutive words. Of the runs of half a window's words in it, the one that hashes least is its fingerprint: equal
 windows have equal fingerprints, and a text has about one for each ten words. Fingerprints go, batch by batch, into an index
 of immutable sorted runs: a batch is merge-joined with each run so far, then becomes a run, and runs are compacted. Runs are tables
-bucketed and sorted by fingerprint, so history is never exchanged again. Only
+bucketed and sorted by fingerprint, so a batch's joins exchange no history; only compaction does. Only
 windows whose fingerprint is met twice are hashed whole (128 bits) and counted, which verifies them. Words that a repeated
 window covers are removed.
 """

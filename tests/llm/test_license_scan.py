@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from listenlake.llm import license_scan as L
 from listenlake.llm.queries import op1_license_scan
@@ -155,3 +157,24 @@ def test_a_license_is_not_taken_for_a_longer_one_that_holds_it(spark):
     names = ["MIT grant", "MIT text", "BSD-2-Clause", "BSD-2-Clause text", "BSD-3-Clause text", "ISC text"]
     got = scan(spark, *["Copyright (c) 2020 someone. " + L.TEMPLATES[n] for n in names])
     assert [(d, n) for d, n, c, _ in got if c == 1.0] == list(enumerate(names)) and len(got) == len(names)
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not (COMMON / "Apache-2.0").exists(), reason="no license texts on this system")
+def test_whole_licenses_of_the_system(spark):
+    """Edited copies of whole licenses, thousands of words long, inside other text, by templates from a table."""
+    rng = random.Random(20)
+    names = [n for n in ("Apache-2.0", "GPL-3", "LGPL-3", "MPL-2.0") if (COMMON / n).is_file()]
+    texts = {n: (COMMON / n).read_text(encoding="utf-8", errors="replace") for n in names}
+    table = spark.createDataFrame(list(texts.items()), "name string, text string")
+    filler = "some words of a program that come before or after its license " * 30
+    docs = []
+    for n in names:
+        words = [w for w in texts[n].split() if rng.random() > 0.06]
+        for _ in range(len(words) // 15):
+            words.insert(rng.randrange(len(words)), "inserted")
+        docs.append(filler + " ".join(words) + " " + filler)
+    got = scan(spark, *docs, filler, " ".join(texts[names[0]].split()[:400]), templates=table)
+    assert [(d, n) for d, n, _, _ in got] == list(enumerate(names)) and all(c > 0.85 for _, _, c, _ in got)
