@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text
 from ..operators import canon, counts, integrity, joins, ml, normalize, quality, similarity, stats, temporal
 from ..sources import provider, readers
+from ..streaming import incremental
 from . import adapters as A
 from .registry import query
 
@@ -1104,3 +1106,42 @@ def geo_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
     features = n.select(code.alias("code"), F.when(many, "MultiPolygon").otherwise("Polygon").alias("kind"), shape.alias("coordinates"))
     plays = counts.value_counts(A.plays(spark, sf).where("nation % 2 = 0"), "nation").select(F.lpad(F.col("nation").cast("string"), 2, "0").alias("code"), "plays")
     return readers.feature_counts(features, plays).select("code", "plays").join(readers.centroids(features), "code")
+
+
+# streams
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.file_stream(spark, f"{sf}/events.parquet")
+
+
+@query("SELECT DISTINCT event_type AS artist_name, (user_id % 50)::VARCHAR AS track_title, epoch(date_trunc('hour', ts))::BIGINT AS uts FROM events")
+def stream_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of plays, drained twice: a key is inserted once, however often it comes."""
+    hour = F.unix_timestamp(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    rows = _event_stream(spark, sf).select(F.col("event_type").alias("Artist"), (F.col("user_id") % 50).cast("string").alias("Song"), F.lit("x").alias("Album"), hour.cast("string").alias("uts"), F.lit(None).cast("string").alias("artist_mbid"))
+    target = store.new_path(spark, "stream-plays")
+    for _ in range(2):  # the second drain has a checkpoint of its own, so it sends everything again
+        incremental.load_plays(rows, target, store.new_path(spark, "stream-mark")).awaitTermination()
+    return spark.read.parquet(target).select("artist_name", "track_title", F.unix_timestamp("play_time").alias("uts"))
+
+
+@query("SELECT epoch(date_trunc('day', ts))::BIGINT AS day, count(*) AS plays FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Plays a day by windows of a drained stream."""
+    target = store.new_path(spark, "stream-windows")
+    counted = incremental.plays_per_window(_event_stream(spark, sf), "ts")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(target)
+    counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", store.new_path(spark, "stream-mark")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select(F.unix_timestamp("window.start").alias("day"), "plays")
+
+
+@query("SELECT DISTINCT event_type AS artist_name, (user_id % 50)::VARCHAR AS track_title, epoch(date_trunc('day', ts))::BIGINT AS uts FROM events")
+def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Plays of a stream once each, by state within a watermark."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    plays = _event_stream(spark, sf).select(F.col("event_type").alias("artist_name"), (F.col("user_id") % 50).cast("string").alias("track_title"), day.alias("play_time"))
+    target = store.new_path(spark, "stream-distinct")
+    once = incremental.distinct_plays(plays, late="365 days")
+    once.writeStream.format("parquet").option("path", target).option("checkpointLocation", store.new_path(spark, "stream-mark")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select("artist_name", "track_title", F.unix_timestamp("play_time").alias("uts"))

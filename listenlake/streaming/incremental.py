@@ -16,6 +16,16 @@ def play_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+def file_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the rows of a Parquet table, be it a folder, to which files may be added, or one file."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", name).parquet(folder)
+
+
 def load_plays(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append each batch's new plays: a key that the target or the batch has already is ignored, so a replay changes nothing."""
     spark = stream.sparkSession
