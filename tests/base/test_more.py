@@ -307,3 +307,14 @@ def test_incremental_pipeline(spark, tmp_path):
     assert [s["step"] for s in first] == ["fetch", "enrich", "clean"] and first[0]["new"] == 1
     again = pipeline.run_incremental_pipeline(spark, places, raw(("A", "s", "x", "10", None)), ref)
     assert [s["status"] for s in again] == ["success"] * 3 and again[0]["new"] == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda *_: None)
+    cluster = N(conf=conf, sparkContext=N(getConf=lambda: conf, master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(cluster)
+    shared = N(conf=N(get=lambda *_: "hdfs://x/y/"), sparkContext=cluster.sparkContext)
+    assert store.shared_dir(shared) == "hdfs://x/y"
