@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, jaccard_join, license_scan, line_dedup, mixing, packing, quality, substring_dedup, url_filter
+from . import embedding_dedup, filter_audit, fingerprints, jaccard_join, license_scan, line_dedup, mixing, packing, quality, substring_dedup, url_filter
 
 #: (verdict, host, path); fixed values of the query's contract.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -67,6 +67,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprints": op2_fingerprints,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -125,6 +130,40 @@ SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target, (size * (floor(place * rate + u) - floor((place - 1) * rate + u)))::BIGINT AS taken
         FROM placed JOIN rated ON placed.source IS NOT DISTINCT FROM rated.source
     """,
+    "op13_filter_audit": r"""
+        WITH split AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), flags AS (
+            SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+        ), masks AS (
+            SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+                   + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                   + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+            FROM split
+        ), cells AS (
+            SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+            FROM masks LEFT JOIN flags USING (doc_id) GROUP BY part, mask
+        ), f(c, bit) AS (
+            VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+        ), orders AS (
+            SELECT p.c || q.c || r.c || s.c || t.c AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+            FROM f p JOIN f q ON q.c <> p.c JOIN f r ON r.c NOT IN (p.c, q.c) JOIN f s ON s.c NOT IN (p.c, q.c, r.c) JOIN f t ON t.c NOT IN (p.c, q.c, r.c, s.c)
+        ), steps AS (
+            SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INT AS before FROM orders, range(1, 6) x(step)
+        ), figures AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM figures
+    """,
 }
 
 
