@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, filter_audit, fingerprints, jaccard_join, license_scan, line_dedup, mixing, packing, quality, substring_dedup, url_filter, whitening
+from . import embedding_dedup, filter_audit, fingerprints, jaccard_join, license_scan, line_dedup, mixing, packing, quality, substring_dedup, suffix_dedup, url_filter, whitening
 
 #: (verdict, host, path); fixed values of the query's contract.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -71,6 +71,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 
