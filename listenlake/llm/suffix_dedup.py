@@ -183,7 +183,7 @@ def _contexts(least: int, with_gram: bool):
     def run(batches):
         for b in batches:
             rows = []
-            for rank, key, t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _unpacked(b.column(2), b.column(3)), b.column(4).to_pylist()):
+            for key, t, asked, rank in zip(b.column(0).to_pylist(), _unpacked(b.column(1), b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 for a in asked:
                     p = a["pos"]
                     rows.append((a["h"], rank, key, p, t[max(0, p - reach) : p], t[p : p + gram] if with_gram else None, t[p + gram : p + least]))
@@ -428,7 +428,8 @@ class _Corpus:
 
     def contexts(self, meet: DataFrame) -> DataFrame:
         asked = meet.groupBy("key").agg(F.collect_list(F.struct("h", "pos")).alias("asked"))
-        rows = self.packed.join(asked, "key").select(self.rank.alias("rank"), "key", "n", "packed", "asked")
+        # all columns, those that are not needed as well: else the exchange of texts would be another one
+        rows = self.packed.join(asked, "key").select("key", "n", "packed", "asked", self.rank.alias("rank"), "id")
         return rows.mapInArrow(_contexts(self.least, self.every), CONTEXT)
 
     def by_gram(self, meet: DataFrame) -> DataFrame:
