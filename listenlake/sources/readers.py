@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: One play of a page, and a page of plays; a lone play comes as an object and not as a list.
 _TRACK = "struct<artist:struct<`#text`:string,mbid:string,name:string>,name:string,album:struct<`#text`:string>,date:struct<uts:string>>"
@@ -175,11 +175,71 @@ class _PageReader(DataSourceReader):
             time.sleep(self.pause)
 
 
+class _Range(InputPartition):
+    """Pages of the plays after one second up to another."""
+
+    def __init__(self, since: int, until: int, first: int, end: int):
+        self.since, self.until, self.first, self.end = since, until, first, end
+
+
+class _PageStream(DataSourceStreamReader):
+    """Plays as they appear: an offset is the second up to which all were taken. The checkpoint has it, so the reader itself keeps nothing."""
+
+    def __init__(self, options: dict):
+        self.pages = _PageReader({k: v for k, v in options.items() if k != "since"})
+        self.container, self.item = item_path(self.pages.method)
+        self.first, self.lag, self.span = int(options.get("since", 0)), int(options.get("lag", 0)), int(options.get("span", 0))
+        self.start: int | None = None
+
+    def _page(self, page: int, since: int, until: int | None = None) -> dict:
+        """A page of the service's plays from a second on, up to another, both included."""
+        bounds = f"from={since}" + (f"&to={until}" if until is not None else "")
+        url = self.pages.url + ("&" if "?" in self.pages.url else "?") + bounds
+        return get_json(url.format(page=page, method=self.pages.method), wait=self.pages.wait).get(self.container, {})
+
+    def _plays(self, page: dict) -> list[dict]:
+        found = page.get(self.item) or []
+        return [p for p in (found if isinstance(found, list) else [found]) if (p.get("date") or {}).get("uts")]
+
+    def initialOffset(self) -> dict:
+        return {"second": self.first}
+
+    def latestOffset(self) -> dict:
+        """The newest second, less ``lag``, for plays of which others of the same second may follow; at most ``span`` seconds after the last offset."""
+        since = self.first if self.start is None else self.start
+        newest = max([since, *(int(p["date"]["uts"]) - self.lag for p in self._plays(self._page(1, since + 1)))])
+        self.start = min(newest, since + self.span) if self.span else newest
+        return {"second": self.start}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        since, until = int(start["second"]), int(end["second"])
+        self.start = until  # after a restart the checkpoint tells where to go on
+        if until <= since:
+            return []
+        total = int(self._page(1, since + 1, until).get("@attr", {}).get("totalPages", 1))
+        return [_Range(since, until, i, min(i + self.pages.each, total + 1)) for i in range(1, total + 1, self.pages.each)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        for page in range(partition.first, partition.end):
+            got = self._page(page, partition.since + 1, partition.until)
+            # whatever the service takes its bounds for, and without the play that is on just now, which has no date
+            plays = [p for p in self._plays(got) if partition.since < int(p["date"]["uts"]) <= partition.until]
+            yield page, json.dumps({self.container: {self.item: plays}})
+            time.sleep(self.pages.pause)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to let go: the service keeps its plays."""
+
+
 class PagedSource(DataSource):
     """``spark.read.format("paged").options(url="...{page}...")``: (page, value), a task a range of pages.
 
     The number of pages comes from the first answer's attributes, or from ``pages``. Other options: ``method`` (also put into the url where it
     holds ``{method}``), ``since`` (a second; only what is later is asked for), ``pagesPerTask``, ``pause`` between pages and ``wait`` before another try.
+
+    ``spark.readStream`` takes the same: each batch has the plays after the last one's newest second, ``since`` first; what
+    was taken is in the checkpoint, so that a query that is started again goes on there. ``lag`` holds the last seconds back, ``span``
+    bounds the seconds of a batch. The newest play must be on the first page.
     """
 
     @classmethod
@@ -191,3 +251,6 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _PageReader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _PageStream(self.options)

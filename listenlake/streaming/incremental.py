@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.integrity import new_rows
 from ..operators.normalize import normalize_plays, order_columns
 from ..schema import PLAY_COLUMNS, PLAY_KEYS
+from ..sources.manifest import ManifestTable
+from ..store import exists, materialize, scope
 
 
 def play_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -31,11 +33,29 @@ def load_plays(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuer
     spark = stream.sparkSession
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = normalize_plays(batch, F.asc("uts"))
-        p = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            rows = new_rows(spark.read.parquet(target), rows, PLAY_KEYS[0], F.asc("play_time"))
-        order_columns(rows, PLAY_COLUMNS).write.mode("append").parquet(target)
+        with scope(spark):
+            rows = materialize(normalize_plays(batch, F.asc("uts")), "batch")
+            if exists(spark, target):
+                first, last = rows.agg(F.min("play_time"), F.max("play_time")).first()
+                there = spark.read.parquet(target)
+                if first is not None:  # a key's rows have one time, so no others can be equal
+                    there = there.where(F.col("play_time").between(first, last))
+                rows = new_rows(there, rows, PLAY_KEYS[0], F.asc("play_time"))
+            order_columns(rows, PLAY_COLUMNS).write.mode("append").parquet(target)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def load_into(stream: DataFrame, table: ManifestTable, checkpoint: str, *, keep: str = "old", name: str = "load") -> StreamingQuery:
+    """Merge each batch's plays into a table with a manifest, once each: a batch that is sent again after a failure is known by ``name`` and number.
+
+    ``keep`` as for ``ManifestTable.merge``; only files whose month and ranges meet a batch are read. Plays are API-like rows.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        with scope(spark):
+            table.merge(normalize_plays(batch, F.asc("uts")), keep=keep, job=f"{name}:{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
