@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import text
 from ..operators import canon, counts, integrity, joins, ml, normalize, quality, similarity, stats, temporal
-from ..sources import provider, readers
-from ..streaming import incremental
+from ..sources import manifest, provider, readers
+from ..streaming import incremental, stateful
 from . import adapters as A
 from .registry import query
 
@@ -1145,3 +1145,58 @@ def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
     once = incremental.distinct_plays(plays, late="365 days")
     once.writeStream.format("parquet").option("path", target).option("checkpointLocation", store.new_path(spark, "stream-mark")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).select("artist_name", "track_title", F.unix_timestamp("play_time").alias("uts"))
+
+
+# merges by file, and streams judged by state
+
+_MONTHLY = """SELECT l_suppkey::VARCHAR AS artist_name, (l_partkey % 10)::VARCHAR AS track_title, date_trunc('month', l_shipdate) AS month, concat_ws('-', l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m-%d')) AS album_title,
+    CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS batch FROM lineitem"""
+
+
+def _monthly(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Line items as plays of a supplier a month, in three batches that share keys."""
+    line = A.table(spark, sf, "lineitem")
+    album = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    month = F.date_trunc("month", F.col("l_shipdate").cast("timestamp"))
+    rows = line.select(F.col("l_suppkey").cast("string").alias("artist_name"), album.alias("album_title"), month.alias("play_time"), (F.col("l_partkey") % 10).cast("string").alias("track_title"), "l_returnflag")
+    return [rows.where(F.col("l_returnflag").isin(flag) if flag != "R" else ~F.col("l_returnflag").isin("N", "A")).drop("l_returnflag") for flag in ("N", "A", "R")]
+
+
+def _merged(spark: SparkSession, sf: str, keep: str) -> manifest.ManifestTable:
+    table = manifest.ManifestTable(spark, store.new_path(spark, "manifest"))
+    for batch in _monthly(spark, sf):
+        table.merge(batch, F.col("album_title"), keep=keep)
+    return table
+
+
+@query(f"""WITH p AS ({_MONTHLY}) SELECT artist_name, track_title, epoch(month)::BIGINT AS uts, album_title FROM p QUALIFY row_number() OVER (PARTITION BY artist_name, track_title, month ORDER BY batch DESC, album_title DESC) = 1""")
+def manifest_merge_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    """Three merges into a table of files; the last batch's row of a key stays."""
+    return _merged(spark, sf, "new").read().select("artist_name", "track_title", F.unix_timestamp("play_time").alias("uts"), "album_title")
+
+
+@query(f"""WITH p AS ({_MONTHLY}) SELECT artist_name, track_title, epoch(month)::BIGINT AS uts, album_title FROM p QUALIFY row_number() OVER (PARTITION BY artist_name, track_title, month ORDER BY batch, album_title) = 1""")
+def manifest_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the first batch's row of a key staying: no file is rewritten."""
+    return _merged(spark, sf, "old").read().select("artist_name", "track_title", F.unix_timestamp("play_time").alias("uts"), "album_title")
+
+
+@query(f"""WITH p AS ({_MONTHLY}) SELECT epoch(month)::BIGINT AS month, count(DISTINCT (artist_name, track_title)) AS plays FROM p WHERE month >= TIMESTAMP '1997-03-01' AND month < TIMESTAMP '1997-09-01' GROUP BY ALL""")
+def manifest_time_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Half a year of the table, for which the files of other months are not opened."""
+    rows = _merged(spark, sf, "new").read(since="1997-03-01", until="1997-09-01")
+    return rows.groupBy(F.unix_timestamp("play_time").alias("month")).agg(F.count(F.lit(1)).alias("plays"))
+
+
+@query(
+    """WITH p AS (SELECT event_type, user_id % 50 AS track, date_trunc('day', ts) AS day FROM events)
+    SELECT event_type AS artist_name, count(DISTINCT (track, day)) AS new, count(*) - count(DISTINCT (track, day)) AS repeats FROM p GROUP BY ALL"""
+)
+def stream_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of plays a day, told apart by keyed state: the first of a key is new, all others are repeats."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    plays = _event_stream(spark, sf).select(F.col("event_type").alias("artist_name"), (F.col("user_id") % 50).cast("string").alias("track_title"), day.alias("play_time"))
+    target = store.new_path(spark, "stream-judged")
+    stateful.write_judged(stateful.judged_plays(plays, horizon_days=3650), target, store.new_path(spark, "stream-mark")).awaitTermination()
+    is_ = lambda v: F.sum((F.col("verdict") == v).cast("long"))
+    return spark.read.parquet(target).groupBy("artist_name").agg(is_("new").alias("new"), is_("repeat").alias("repeats"))
