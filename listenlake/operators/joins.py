@@ -63,24 +63,26 @@ def current_interval(timeline: DataFrame, today: Column) -> DataFrame:
     return timeline.where(open_now).orderBy(F.desc("start_date")).limit(1)
 
 
-def interval_overlaps(timeline: DataFrame, *, same_country: bool = True, closed: bool = False, bucket_days: int = 366) -> DataFrame:
-    """Pairs of overlapping intervals (id_a < id_b).
+def interval_overlaps(timeline: DataFrame, *, same_country: bool = True, closed: bool = False, bucket_days: int = 366, by: str | None = None) -> DataFrame:
+    """Pairs of overlapping intervals (id_a < id_b), of equal ``by`` if that is given.
 
     Of two that overlap the later one starts within the earlier one. So each interval is laid out over the buckets of time from its start to its
     end (an open one to the last start of all), and meets those that start in one of them: an equi-join in which a pair meets once.
     """
     end = F.coalesce("end_date", F.lit(OPEN_END).cast("date"))
     bucket = lambda d: F.floor(F.unix_date(d) / bucket_days).cast("int")
-    cut = timeline.select("id", F.col("country_code").alias("c"), F.col("start_date").alias("s"), end.alias("e"))
+    cut = timeline.select("id", F.col("country_code").alias("c"), F.col("start_date").alias("s"), end.alias("e"), (F.col(by) if by else F.lit(0)).alias("u"))
     last = cut.agg(F.max("s").alias("__last"))
     long = cut.join(F.broadcast(last)).withColumn("bucket", F.explode(F.sequence(bucket(F.col("s")), F.greatest(bucket(F.col("s")), bucket(F.least("e", "__last"))))))  # one row
-    a = long.select(F.col("id").alias("ia"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("e").alias("ea"), "bucket")
-    b = cut.select(F.col("id").alias("ib"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("e").alias("eb"), bucket(F.col("s")).alias("b"))
+    a = long.select(F.col("id").alias("ia"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("e").alias("ea"), "bucket", F.col("u").alias("ua"))
+    b = cut.select(F.col("id").alias("ib"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("e").alias("eb"), bucket(F.col("s")).alias("b"), F.col("u").alias("ub"))
     later = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("ia") < F.col("ib")))
     meet = (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea")) if closed else (F.col("sa") < F.col("eb")) & (F.col("sb") < F.col("ea"))
     on = (F.col("bucket") == F.col("b")) & later & meet
     if same_country:
         on = on & (F.col("ca") == F.col("cb"))
+    if by:
+        on = on & (F.col("ua") == F.col("ub"))
     return a.join(b, on).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
 
 

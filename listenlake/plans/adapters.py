@@ -78,6 +78,33 @@ def timeline(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id int, country_code string, start_date string, end_date string").withColumns({"start_date": F.to_date("start_date"), "end_date": F.to_date("end_date")})
 
 
+def brand_names(spark: SparkSession, sf: str) -> DataFrame:
+    """(brand, names): the distinct part names of a brand in order, each with the brand before it."""
+    name = F.concat_ws(" ", "p_brand", "p_name")
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_set(name)).alias("names"))
+
+
+def brand_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands' first three names as recorded groups; a third of them are not linked and a third undecided."""
+    g, n = brand_names(spark, sf), F.regexp_extract("brand", r"(\d+)$", 1).cast("int")
+    text = F.array_join(F.slice("names", 1, 3), "{")
+    link = F.when(n % 3 == 0, F.lit(True)).when(n % 3 == 1, F.lit(False))
+    return g.select("brand", n.alias("n"), "names", text.alias("artist_variants_text"), F.col("names")[0].alias("canonical_name"), link.alias("to_link"), F.sha2(text.cast("binary"), 256).alias("artist_variants_hash"), F.lit(None).cast("string").alias("comment"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"))
+
+
+def priority_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as changes of a customer's priority."""
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("user"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("country_code"), "o_orderkey")
+
+
+def stays(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a customer's stays of up to forty days; some are open."""
+    o = table(spark, sf, "orders")
+    start = F.col("o_orderdate").cast("date")
+    end = F.when(F.col("o_orderkey") % 97 != 0, F.date_add(start, (F.col("o_orderkey") % 40).cast("int")))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user"), F.col("o_orderstatus").alias("country_code"), start.alias("start_date"), end.alias("end_date"))
+
+
 def variants(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame(VARIANTS, "artist_variants_text string, canonical_name string, to_link boolean, timestamp string")
     return df.withColumns({"artist_variants_hash": F.sha2(F.col("artist_variants_text").cast("binary"), 256), "timestamp": F.col("timestamp").cast("timestamp"), "comment": F.lit(None).cast("string")})
@@ -98,6 +125,13 @@ SQL = {
     "country_code": "SELECT lpad(n_nationkey::VARCHAR, 2, '0') AS iso2, n_name AS en_name, n_regionkey AS region FROM nation",
     "timeline": """SELECT id::INTEGER AS id, country_code, start_date::DATE AS start_date, end_date::DATE AS end_date FROM (VALUES (1, 'HU', '1994-01-01', '1997-06-30'), (2, 'DE', '1997-06-30', '1999-01-01'),
         (3, 'FR', '1999-09-01', '2001-02-01'), (4, 'AT', '2001-02-01', NULL)) t(id, country_code, start_date, end_date)""",
+    "brand_names": "SELECT p_brand AS brand, list_sort(list(DISTINCT p_brand || ' ' || p_name)) AS names FROM part GROUP BY ALL",
+    "brand_variants": """SELECT brand, regexp_extract(brand, '(\\d+)$', 1)::INTEGER AS n, names, array_to_string(names[:3], '{') AS artist_variants_text, names[1] AS canonical_name,
+        CASE regexp_extract(brand, '(\\d+)$', 1)::INTEGER % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS to_link, sha256(array_to_string(names[:3], '{')) AS artist_variants_hash FROM brand_names""",
+    "priority_days": "SELECT o_custkey AS user, o_orderdate::DATE AS day, arg_max(o_orderpriority, (o_orderkey, o_orderpriority)) AS country_code FROM orders GROUP BY ALL",
+    "priority_starts": "SELECT * FROM (SELECT *, lag(country_code) OVER (PARTITION BY user ORDER BY day) AS before FROM priority_days) WHERE before IS DISTINCT FROM country_code",
+    "priority_timelines": "SELECT user, country_code, day AS start_date, lead(day) OVER (PARTITION BY user ORDER BY day) AS end_date FROM priority_starts",
+    "stays": """SELECT o_orderkey AS id, o_custkey AS user, o_orderstatus AS country_code, o_orderdate::DATE AS start_date, CASE WHEN o_orderkey % 97 <> 0 THEN o_orderdate::DATE + (o_orderkey % 40)::INTEGER END AS end_date FROM orders""",
     "variants": """SELECT artist_variants_text, canonical_name, to_link, sha256(artist_variants_text) AS artist_variants_hash FROM (VALUES ('hot ring{large rod', 'hot ring', TRUE),
         ('small bolt{tiny bolt', 'small bolt', TRUE), ('hot plate{cold plate', 'hot plate', FALSE), ('red nut{blue nut', 'red nut', NULL)) t(artist_variants_text, canonical_name, to_link)""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import text
-from ..operators import canon, counts, integrity, joins, ml, normalize, quality, similarity, stats, temporal
+from ..operators import canon, counts, integrity, joins, ml, normalize, quality, similarity, stats, temporal, timelines
 from ..sources import manifest, provider, readers
 from ..streaming import incremental, stateful
 from . import adapters as A
@@ -374,11 +374,11 @@ def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "events").select("event_id", "event_type", p["k"].alias("k"), F.coalesce(p["missing"], F.lit("")).alias("missing"))
 
 
-@query(
-    """SELECT artist_variants_text, list_filter(list_transform(string_split(artist_variants_text, '{'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM variants"""
-)
+@query("SELECT brand, names AS parts FROM brand_names")
 def split_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return A.variants(spark).select("artist_variants_text", text.split_variants(F.col("artist_variants_text")).alias("parts"))
+    """Names of a brand written as one text, with blanks and empty places between, and split again."""
+    texts = A.brand_names(spark, sf).select("brand", F.concat(F.lit("{ "), F.array_join("names", " { ")).alias("t"))
+    return texts.select("brand", text.split_variants(F.col("t")).alias("parts"))
 
 
 @query(
@@ -460,21 +460,50 @@ def asof_large(spark: SparkSession, sf: str) -> DataFrame:
     return joins.asof_large(e.where("event_type = 'view'").select("event_id", "user_id", "ts"), buys, "user_id", "ts", "last_purchase")
 
 
-@query("SELECT id, country_code, start_date, end_date FROM timeline WHERE start_date <= DATE '2000-01-01' AND (end_date IS NULL OR end_date > DATE '2000-01-01') ORDER BY start_date DESC LIMIT 1")
+@query("SELECT user, country_code, start_date, end_date FROM priority_timelines WHERE start_date <= DATE '1997-06-01' AND (end_date IS NULL OR end_date > DATE '1997-06-01')")
 def current_interval(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.current_interval(A.timeline(spark), F.lit("2000-01-01").cast("date"))
+    """The priority that each customer had on a day, with its interval."""
+    lines = timelines.intervals_of(A.priority_feed(spark, sf), ["user"], "day", "country_code", "o_orderkey")
+    return timelines.current_intervals(lines, ["user"], F.lit("1997-06-01").cast("date"))
+
+
+@query("SELECT user, country_code, start_date, end_date FROM priority_timelines")
+def priority_timelines(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a feed of changes of each customer, as intervals."""
+    return timelines.intervals_of(A.priority_feed(spark, sf), ["user"], "day", "country_code", "o_orderkey")
+
+
+@query(
+    """WITH buys AS (SELECT event_type, ts, max(value) AS value FROM events WHERE user_id % 2 = 0 GROUP BY ALL) SELECT event_id, e.event_type, b.value AS latest FROM (SELECT event_id, event_type, ts FROM events WHERE user_id % 2 = 1) e ASOF LEFT JOIN buys b USING (event_type, ts)"""
+)
+def asof_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest value of another user's event of the same type: a few keys with very many rows each."""
+    e = A.table(spark, sf, "events")
+    right = e.where("user_id % 2 = 0").select("event_type", "ts", F.col("value").alias("latest"))
+    return timelines.asof_by_month(e.where("user_id % 2 = 1").select("event_id", "event_type", "ts"), right, ["event_type"], "ts", "latest").drop("ts")
 
 
 @query(
-    """WITH t AS (SELECT id, coalesce(end_date, DATE '9999-12-30') AS e, start_date AS s FROM timeline) SELECT a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.id < b.id AND a.s <= b.e AND b.s <= a.e"""
+    """WITH t AS (SELECT id, user, coalesce(end_date, DATE '9999-12-30') AS e, start_date AS s FROM stays) SELECT a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.user = b.user AND a.id < b.id AND a.s <= b.e AND b.s <= a.e"""
 )
 def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.interval_overlaps(A.timeline(spark), same_country=False, closed=True)
+    return joins.interval_overlaps(A.stays(spark, sf), same_country=False, closed=True, by="user")
 
 
-@query("SELECT country_code, start_date, CASE WHEN end_date IS NULL THEN DATE '2003-05-01' ELSE end_date END AS end_date FROM timeline UNION ALL SELECT 'IT', DATE '2003-05-01', NULL")
+@query(
+    """WITH f AS (SELECT user, day, country_code FROM priority_days WHERE day < DATE '1997-01-01'), s AS (SELECT * FROM (SELECT *, lag(country_code) OVER (PARTITION BY user ORDER BY day) AS before FROM f) WHERE before IS DISTINCT FROM country_code),
+    l AS (SELECT user, country_code, day AS start_date, lead(day) OVER (PARTITION BY user ORDER BY day) AS end_date FROM s),
+    n AS (SELECT user, arg_min(country_code, day) AS country_code, min(day) AS day FROM priority_days WHERE day >= DATE '1997-01-01' GROUP BY ALL)
+    SELECT l.user, l.country_code, l.start_date, CASE WHEN l.end_date IS NULL AND n.country_code IS DISTINCT FROM l.country_code THEN n.day ELSE l.end_date END AS end_date FROM l LEFT JOIN n USING (user)
+    UNION ALL SELECT n.user, n.country_code, n.day, NULL FROM n LEFT JOIN (SELECT * FROM l WHERE end_date IS NULL) o USING (user) WHERE o.country_code IS DISTINCT FROM n.country_code"""
+)
 def scd2_roll(spark: SparkSession, sf: str) -> DataFrame:
-    return integrity.roll_timeline(A.timeline(spark), "IT", F.lit("2003-05-01").cast("date"))
+    """Timelines up to a day, rolled on by each customer's first priority from that day on."""
+    feed = A.priority_feed(spark, sf)
+    lines = timelines.intervals_of(feed.where("day < date'1997-01-01'"), ["user"], "day", "country_code", "o_orderkey")
+    later = timelines.intervals_of(feed.where("day >= date'1997-01-01'"), ["user"], "day", "country_code", "o_orderkey")
+    news = later.groupBy("user").agg(F.min_by("country_code", "start_date").alias("country_code"), F.min("start_date").alias("day"))
+    return timelines.roll_timelines(lines, news, ["user"], "country_code")
 
 
 _TYPOS = [("ALGERIA",), ("algeria",), ("BRAZIM",), ("CANAD",), ("XCANADA",), ("nowhere",), ("",)]
@@ -555,13 +584,13 @@ def upsert_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT artist_variants_hash, canonical_name, to_link FROM variants WHERE artist_variants_text NOT IN ('hot plate{cold plate') UNION ALL SELECT sha256('cold plate{hot plate'), 'cold plate', TRUE UNION ALL
-    SELECT artist_variants_hash, canonical_name, to_link FROM variants WHERE artist_variants_text = 'hot plate{cold plate'"""
+    """SELECT artist_variants_hash, canonical_name, to_link FROM brand_variants WHERE n % 4 <> 0 UNION ALL SELECT artist_variants_hash, names[2], TRUE FROM brand_variants WHERE n % 4 = 0"""
 )
 def upsert_variants(spark: SparkSession, sf: str) -> DataFrame:
-    new = spark.createDataFrame([("hot plate{ cold plate", "cold plate", True)], "artist_variants_text string, canonical_name string, to_link boolean")
-    new = new.withColumn("timestamp", F.lit("2025-01-01").cast("timestamp"))
-    return integrity.upsert_variants(A.variants(spark), new).select("artist_variants_hash", "canonical_name", "to_link")
+    """Groups decided anew for a part of the brands, their names in another order and with blanks."""
+    v = A.brand_variants(spark, sf)
+    new = v.where("n % 4 = 0").select(F.array_join(F.reverse(F.slice("names", 1, 3)), "{ ").alias("artist_variants_text"), F.col("names")[1].alias("canonical_name"), F.lit(True).alias("to_link"), F.lit("2025-01-01").cast("timestamp").alias("timestamp"))
+    return integrity.upsert_variants(v.drop("brand", "n", "names"), new).select("artist_variants_hash", "canonical_name", "to_link")
 
 
 @query("SELECT id, artist_name, CASE WHEN artist_mbid <> '' THEN artist_mbid ELSE coalesce(nullif(mbid, ''), artist_mbid) END AS artist_mbid FROM plays LEFT JOIN (SELECT artist_name, mbid FROM artist_full) USING (artist_name)")
@@ -578,14 +607,14 @@ def fill_with_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT artist_variants_text, CASE WHEN artist_variants_text LIKE 'red nut%' THEN TRUE WHEN artist_variants_text LIKE 'hot ring%' THEN FALSE ELSE to_link END AS to_link,
-    CASE WHEN artist_variants_text LIKE 'small bolt%' THEN 'tiny bolt' ELSE canonical_name END AS canonical_name FROM variants WHERE artist_variants_text NOT LIKE 'hot plate%'"""
+    """SELECT artist_variants_text, CASE WHEN n % 5 = 1 THEN NOT coalesce(to_link, FALSE) ELSE to_link END AS to_link, CASE WHEN n % 5 = 2 THEN names[2] ELSE canonical_name END AS canonical_name FROM brand_variants WHERE n % 5 <> 0"""
 )
 def apply_edits(spark: SparkSession, sf: str) -> DataFrame:
-    v = A.variants(spark)
-    rows = [("red nut{blue nut", "toggle", None), ("hot ring{large rod", "toggle", None), ("small bolt{tiny bolt", "canonical", "tiny bolt"), ("hot plate{cold plate", "delete", None)]
-    edits = spark.createDataFrame(rows, "t string, action string, value string").select(text.signature_hash(F.col("t")).alias("artist_variants_hash"), "action", "value")
-    return integrity.apply_edits(v, edits).select("artist_variants_text", "to_link", "canonical_name")
+    """Of the brands' groups some are deleted, some toggled, some get another name."""
+    v = A.brand_variants(spark, sf)
+    kind = F.when(F.col("n") % 5 == 0, "delete").when(F.col("n") % 5 == 1, "toggle").when(F.col("n") % 5 == 2, "canonical")
+    edits = v.select("artist_variants_hash", kind.alias("action"), F.when(F.col("n") % 5 == 2, F.col("names")[1]).alias("value")).where("action is not null")
+    return integrity.apply_edits(v.drop("brand", "n", "names"), edits).select("artist_variants_text", "to_link", "canonical_name")
 
 
 @query(
@@ -682,11 +711,12 @@ def misclassified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT artist_variants_text AS variants, list_sort(list_distinct(string_split(artist_variants_text, '{'))) AS v FROM variants), i AS (SELECT variants, v, unnest(range(1, len(v) + 1)) AS i FROM v),
-    j AS (SELECT variants, v, i, unnest(range(i + 1, len(v) + 1)) AS j FROM i) SELECT variants, v[i] AS variant_a, v[j] AS variant_b FROM j"""
+    """WITH v AS (SELECT brand, names[:12] AS v FROM brand_names), i AS (SELECT brand, v, unnest(range(1, len(v) + 1)) AS i FROM v),
+    j AS (SELECT brand, v, i, unnest(range(i + 1, len(v) + 1)) AS j FROM i) SELECT brand, v[i] AS variant_a, v[j] AS variant_b FROM j"""
 )
 def expand_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.expand_pairs(A.variants(spark).select(F.col("artist_variants_text").alias("variants")))
+    """Pairs of the first dozen names of a brand."""
+    return similarity.expand_pairs(A.brand_names(spark, sf).select("brand", F.array_join(F.slice("names", 1, 12), "{").alias("variants"))).drop("variants")
 
 
 @query("WITH c AS (SELECT artist_name, count(*) AS plays FROM part_plays GROUP BY ALL) SELECT DISTINCT trim(artist_name) AS name FROM c WHERE plays >= 900 OR artist_name IN ('hot ring', 'absent') UNION SELECT unnest(['hot ring', 'absent'])")
@@ -776,10 +806,12 @@ def profile_overview(spark: SparkSession, sf: str) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("artist_name").alias("artists"), F.count_distinct("album_title").alias("albums"), F.min("play_time").alias("first_play"), F.max("play_time").alias("last_play"))
 
 
-@query("SELECT canonical_name, alias FROM (SELECT canonical_name, trim(unnest(string_split(artist_variants_text, '{'))) AS alias FROM variants WHERE to_link) WHERE alias <> canonical_name AND alias <> 'tiny bolt'")
+@query("SELECT canonical_name, unnest(CASE WHEN n % 2 = 0 THEN names[2:3] ELSE names[3:3] END) AS alias FROM brand_variants WHERE to_link")
 def missing_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    dim = spark.createDataFrame([("hot ring", "x, y"), ("small bolt", " tiny bolt,z")], "artist_name string, aliases string")
-    return canon.missing_aliases(A.variants(spark), dim)
+    """Names of linked groups that the artist's aliases lack: half of the brands have their second name there."""
+    v = A.brand_variants(spark, sf)
+    dim = v.select(F.col("canonical_name").alias("artist_name"), F.when(F.col("n") % 2 == 1, F.concat(F.lit("x, "), F.col("names")[1])).alias("aliases"))
+    return canon.missing_aliases(v, dim)
 
 
 @query(None)
