@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import SECOND_BASE, Words, joined, slices, sliding, text_buffer, window_hashes
+from .line_dedup import numbered
 from .store import children, exists, mark, materialize, new_path, remove
 
 #: Runs that the index holds before it compacts them into one.
@@ -180,16 +181,6 @@ def _profile(width: int, with_text: bool = False):
     return run
 
 
-def _own(batches):
-    """Rows whose text is that of their class; columns node, text, k1, k2, ..."""
-    for batch in batches:
-        for b in slices(batch, "__text"):
-            words = Words(*text_buffer(b.column(1)))
-            h = words.hashes()
-            fits = [sequence_key(h[x:y]) == k for x, y, k in zip(words.first[:-1], words.first[1:], zip(b.column(2).to_pylist(), b.column(3).to_pylist()))]
-            yield b.filter(pa.array(fits, pa.bool_()))
-
-
 def _windows(width: int):
     def run(batches):
         for batch in batches:
@@ -241,11 +232,17 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     windows are judged on the input. ``docs`` enters ``index`` in ``batches`` parts (by hash of the words). With an index on a path of
     its own the input of all earlier calls (of the same ``width``) counts as other texts, but gives no rows. Texts with equal words are
     one class: with ``width`` words or more each of them is covered whole, and one stands for all in the search. Null text has no words.
-    Rows that repeat an id, or have none, are documents of their own. Extra columns are not read.
+    Rows that repeat an id, or have none, are documents of their own, told apart by a written row number. An index without a path serves one
+    call. Extra columns are not read.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
     index = index or FingerprintIndex(spark)
+    if index.made and not index.lasting:
+        raise ValueError("an index without a path of its own does not keep texts, so it serves one call")
+    rows, kind = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text")), "id")
+    # texts are found by a key that no other row has
+    unique = kind == "long"
+    base = rows.select((F.col("id") if unique else F.col("__id.row")).alias("id"), "__text")
     fields = "id long, n long, k1 long, k2 long, digest string, prints array<long>"
     if index.lasting:
         history = index.history()
@@ -262,20 +259,13 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     index.close()
 
     long_ones = profile.where(F.col("n") >= width)
-    classes = long_ones.groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("least"), F.count(F.lit(1)).alias("weight"))
-    classes = materialize(classes.select("k1", "k2", "n", F.col("least.id").alias("rep"), "weight", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = long_ones.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    classes = materialize(classes.select("k1", "k2", "n", "rep", "weight", F.monotonically_increasing_id().alias("node")), "classes")
     # fingerprints of one document a class, met with the hits
-    reps = long_ones.join(classes, ["k1", "k2", "n"]).where("id <=> rep").select("node", F.explode(F.array_distinct("prints")).alias("h"))
+    reps = long_ones.join(classes, ["k1", "k2", "n"]).where("id = rep").select("node", F.explode(F.array_distinct("prints")).alias("h"))
     met = reps.join(hits, "h").groupBy("node").agg(F.collect_set("h").alias("hits"))
-    wanted = met.join(classes, "node").select(F.col("rep").alias("id"), "node", "k1", "k2", "weight", "hits")
-    # rows without an id are found by a stand-in, which their hashes tell from an id like it
-    stand_in = lambda c: F.coalesce(c, F.lit(-(1 << 62)))
-    texts = base.select(stand_in(F.col("id")).alias("id"), "__text").join(wanted.withColumn("id", stand_in(F.col("id"))), "id")
-    texts = texts.select("node", "__text", "k1", "k2", "weight", "hits", "id").mapInArrow(_own, "node long, __text string, k1 long, k2 long, weight long, hits array<long>, id long")
-    repeated_ids = base.groupBy(stand_in(F.col("id")).alias("id")).count().where("count > 1").limit(1).count()
-    if repeated_ids:
-        texts = texts.dropDuplicates(["node"])
-    texts = materialize(texts.select("node", "__text", "weight", "hits"), "candidates")
+    wanted = met.join(classes, "node").select(F.col("rep").alias("id"), "node", "weight", "hits")
+    texts = materialize(base.join(wanted, "id").select("node", "__text", "weight", "hits"), "candidates")
     counted = texts
     if history is not None:
         # texts of earlier calls that share a fingerprint; once each, as a window of theirs needs but one of ours to repeat
@@ -298,8 +288,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         plain = base.mapInArrow(_plain, "id long, k1 long, k2 long, whole string").dropDuplicates(["k1", "k2"])
         profile = profile.join(plain.select("k1", "k2", "whole"), ["k1", "k2"], "left")
     copies = F.coalesce(F.col("weight"), F.lit(1)) > 1
+    if not unique:
+        ids = rows.select(F.col("__id.row").alias("id"), F.col("id").alias("__own"))
+        profile = profile.join(ids, "id")
     out = profile.join(named, ["k1", "k2", "n"], "left").select(
-        F.col("id").alias(id_col),
+        F.col("id" if unique else "__own").alias(id_col),
         F.col("n").alias("n_words"),
         F.when(copies, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copies, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),

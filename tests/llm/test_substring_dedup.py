@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
+from listenlake.llm import substring_dedup
 from listenlake.llm.queries import op6_substring_dedup
 from listenlake.llm.substring_dedup import FingerprintIndex, dedup_substrings
 
@@ -113,3 +116,30 @@ def test_compaction_merges_counts(spark):
     index.compact()
     rows = index._read(index.runs[0]).collect()
     assert len(rows) == 3500 and sum(r.n for r in rows) == 4500 and {r.n for r in rows if 1000 <= r.h < 1500} == {2}
+
+
+def test_rows_without_ids_are_as_cheap_as_others(spark):
+    """Texts are fetched by row: of rows that share an id, or have none, no more than one each."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    text = lambda i: f"{passage} " + " ".join(f"w{i}x{k}" for k in range(30))
+    fetched = {}
+    for n in (200, 800):
+        df = spark.createDataFrame([(None if i % 2 else 7, text(i)) for i in range(n)], "doc_id long, text string")
+        seen = []
+        real = substring_dedup.materialize
+        substring_dedup.materialize = lambda d, name, *a: (seen.append((name, out := real(d, name, *a))), out)[1]
+        try:
+            got = dedup_substrings(df).collect()
+        finally:
+            substring_dedup.materialize = real
+        assert len(got) == n and {(r.n_words, r.n_removed) for r in got} == {(70, 40)}
+        fetched[n] = next(d for name, d in seen if name == "candidates").count()
+    assert fetched == {200: 200, 800: 800}
+
+
+def test_an_index_without_a_path_serves_one_call(spark):
+    df = spark.createDataFrame([(1, " ".join(f"p{i}" for i in range(40)))], "doc_id long, text string")
+    index = FingerprintIndex(spark)
+    dedup_substrings(df, index=index).collect()
+    with pytest.raises(ValueError, match="one call"):
+        dedup_substrings(df, index=index)
