@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components, local_roots
 from .kernels import SECOND_BASE, Words, mix, slices, text_buffer, window_hashes
+from .line_dedup import numbered
 from .store import materialize
 
 COORDINATES = 64
@@ -328,10 +329,16 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rng = np.random.default_rng(20240229)
     spans = rng.integers(1, 1 << 63, size=COORDINATES, dtype=np.uint64)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
+    rows, kind = numbered(docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("__text")), "own")
+    # texts are found by a key that no other row has
+    key = F.col("own") if kind == "long" else F.col("__id.row")
+    base = rows.select(key.alias("id"), "__text")
     signed = materialize(base.mapInArrow(_sign(width, spans), "id long, n int, k1 long, k2 long, sketch binary"), "signed")
-    real = signed.where("n > 0 and id is not null")
-    classes = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min_by("sketch", "id").alias("sketch"))
+    signed = signed.withColumn("own", F.col("id")) if kind == "long" else signed.join(rows.select(key.alias("id"), "own"), "id")
+    real = signed.where("n > 0 and own is not null")
+    first = F.struct("own", "id")
+    classes = real.groupBy("k1", "k2", "n").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("weight"), F.min_by("sketch", first).alias("sketch"))
+    classes = classes.select("k1", "k2", "n", F.col("first.id").alias("rep"), F.col("first.own").alias("least"), "weight", "sketch")
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sketches = classes.select(F.col("node").alias("id"), "sketch")
 
@@ -342,13 +349,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pairs = guesses.where("not heavy").select("a", "b").distinct().join(group_of("a"), "a", "left").join(group_of("b"), "b", "left")
     pairs = materialize(pairs.where("group_a is null or group_b is null or group_a <> group_b").select("a", "b"), "pairs")
 
-    # verification on whole sets; the text of a class is found by its least id and told by its hashes
+    # verification on whole sets; the text of a class is that of its first row
     partners = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(groups.select("node")).distinct()
     members = partners.join(classes.select("node", "rep", "weight", "n", "k1", "k2"), "node").select(F.col("rep").alias("id"), "node", "weight", F.col("n").cast("long").alias("n"), "k1", "k2")
     one = base.join(members, "id").select("node", "__text", F.lit(0).cast("long").alias("grp"), "weight", "n", "k1", "k2")
     sets = one.mapInArrow(_tokens(width), "id long, tokens array<long>, grp long, weight long, n long").drop("grp")
-    if base.groupBy("id").count().where("count > 1 and id is not null").limit(1).count():
-        sets = sets.dropDuplicates(["id"])
     sets = materialize(sets, "sets")
     side = lambda end: sets.select(F.col("id").alias(end), F.col("weight").alias(f"weight_{end}"), F.col("tokens").alias(f"tokens_{end}"))
     by_pair = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
@@ -360,13 +365,13 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     load = grouped.groupBy("grp").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).alias("blocks"))
     blocked = _blocked(grouped.join(load, "grp"), "grp", F.col("blocks")).select("grp", "bi", "bj", "id", "block", "weight", "tokens")
     found = materialize(found.unionByName(_dealt(blocked, "grp", "bi", "bj").mapInArrow(_verify(width, threshold), links)), "links")
-    linked = components(found.select("a", "b"), "linked").distinct().join(classes.select("node", "rep"), "node")
-    least_id = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = components(found.select("a", "b"), "linked").distinct().join(classes.select("node", "least"), "node")
+    least_id = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(least_id, "component").select("node", "component_id")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
     named = classes.join(counts, "node", "left").join(linked, "node", "left")
-    named = named.select("k1", "k2", "n", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = real.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).select(F.col("id").alias(id_col), "class_id", "n_links", "component_id")
-    alone = signed.where("n = 0 or id is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    named = named.select("k1", "k2", "n", F.col("least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    out = real.select("own", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).select(F.col("own").alias(id_col), "class_id", "n_links", "component_id")
+    alone = signed.where("n = 0 or own is null").select(F.col("own").alias(id_col), F.col("own").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("own").alias("component_id"))
     return out.unionByName(alone)

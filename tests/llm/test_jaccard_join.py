@@ -149,3 +149,22 @@ def test_repeated_ids_with_different_texts(spark):
     near = [*words[:40], "x", *words[41:]]
     other = [f"v{rng.randrange(10**6)}" for _ in range(60)]
     check(spark, [(7, " ".join(words)), (7, " ".join(other)), (3, " ".join(near)), (3, " ".join(other)), (9, "alone by itself here now today"), (7, " ".join(words)), (9, None)])
+
+
+def test_rows_that_share_an_id_are_as_cheap_as_others(spark):
+    """Each class has one text fetched, by its row."""
+    base = [f"w{k}" for k in range(120)]
+    text = lambda i: " ".join([*base[: 60 + i % 40], f"x{i}", *base[60 + i % 40 :]])
+    fetched = {}
+    for n in (60, 240):
+        df = spark.createDataFrame([(7 if i else 3, text(i)) for i in range(n)], "doc_id long, text string")
+        seen = []
+        real = J.materialize
+        J.materialize = lambda d, name, *a: (seen.append((name, out := real(d, name, *a))), out)[1]
+        try:
+            got = J.jaccard_join(df).collect()
+        finally:
+            J.materialize = real
+        assert len(got) == n and {(r.n_links, r.component_id) for r in got} == {(n - 1, 3)}
+        fetched[n] = next(d for name, d in seen if name == "sets").count()
+    assert fetched == {60: 60, 240: 240}
