@@ -104,43 +104,141 @@ SCORES = {
 }
 
 
+#: Entries of the table of letters that the pairs of one pass may have.
+MASKS = 1 << 21
+
+
 def lcs_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    """``lcs_length`` of many pairs at once: a matrix row a pair, one step of numpy for each place of the longest right text."""
-    out = np.zeros(len(left), dtype=np.int64)
-    size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    order = np.lexsort((size[0], size[1]))
-    for part in np.array_split(order, max(1, len(order) // 2048 + 1)):
-        if not len(part) or not size[0][part].max() or not size[1][part].max():
+    """``lcs_length`` of many pairs at once, in blocks of bits: a pair's left text is a row of 64-bit words, and each place of the right texts one step of numpy for all pairs."""
+    size = np.array([len(x) for x in left], dtype=np.int64), np.array([len(x) for x in right], dtype=np.int64)
+    out = np.zeros(len(size[0]), dtype=np.int64)
+    order = np.lexsort((size[1], size[0]))
+    order = order[(size[0][order] > 0) & (size[1][order] > 0)]
+    at = 0
+    while at < len(order):
+        # pairs of like length share a pass
+        words = int(size[0][order[at]] + 63) // 64
+        end = min(len(order), at + 4096, at + int(np.searchsorted((size[0][order[at:]] + 63) // 64, words, side="right")))
+        part = order[at:end]
+        codes_a, codes_b, letters = _coded([left[i] for i in part], [right[i] for i in part])
+        step = max(1, MASKS // (letters * words))
+        for k in range(0, len(part), step):
+            some = part[k : k + step]
+            out[some] = _lcs_block(codes_a[k : k + step], codes_b[k : k + step], size[0][some], size[1][some], letters, words)
+        at = end
+    return out
+
+
+def _coded(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Texts as rows of small letter numbers; number 0 is a letter that the left texts do not have, or no letter."""
+
+    def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(t) for t in texts])
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        inside = np.arange(max(n.max(initial=0), 1)) < n[:, None]
+        return flat, inside
+
+    (a, in_a), (b, in_b) = points(left), points(right)
+    letters, number = np.unique(a, return_inverse=True)
+    rows_a, rows_b = np.zeros(in_a.shape, dtype=np.int32), np.zeros(in_b.shape, dtype=np.int32)
+    rows_a[in_a] = number + 1
+    place = np.minimum(np.searchsorted(letters, b), len(letters) - 1)
+    rows_b[in_b] = np.where(letters[place] == b, place + 1, 0)
+    return rows_a, rows_b, len(letters) + 1
+
+
+def _lcs_block(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, letters: int, words: int) -> np.ndarray:
+    pair = np.arange(len(a))
+    masks = np.zeros((len(a), letters, words), dtype=np.uint64)
+    for i in range(int(n.max())):
+        masks[pair, a[:, i], i // 64] |= np.uint64(1 << (i % 64))
+    masks[:, 0] = 0
+    row = np.full((len(a), words), ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for j in range(int(m.max())):
+            hit = row & masks[pair, b[:, j]]
+            carry = np.zeros(len(a), dtype=np.uint64)
+            for w in range(words):
+                part = row[:, w] + hit[:, w]
+                whole = part + carry
+                carry = ((part < row[:, w]) | (whole < part)).astype(np.uint64)
+                row[:, w] = whole | (row[:, w] & ~hit[:, w])
+    # a zero within the left text is a letter of the subsequence
+    used = np.clip(n[:, None] - 64 * np.arange(words), 0, 64).astype(np.uint64)
+    inside = np.where(used == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(used, 63)) - np.uint64(1))
+    return np.bitwise_count(~row & inside).sum(axis=1).astype(np.int64)
+
+
+def ratios(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """``ratio`` of many pairs."""
+    total = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=np.int64)
+    return np.where(total > 0, 2 * lcs_lengths(left, right) / np.maximum(total, 1), 1.0)
+
+
+def partial_ratios(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """``partial_ratio`` of many pairs: the windows of all of them go through one kernel, equal ones of a pair once."""
+    short, window, owner = [], [], []
+    out = np.zeros(len(left))
+    for k, (x, y) in enumerate(zip(left, right)):
+        sides = [(x, y)] if len(x) < len(y) else [(y, x)] if len(y) < len(x) else [(x, y), (y, x)]
+        if not sides[0][0]:
+            out[k] = 0.0 if sides[0][1] else 1.0
             continue
-        wide, tall = int(size[0][part].max()), int(size[1][part].max())
-        a = np.zeros((len(part), wide), dtype=np.uint32)
-        b = np.full((len(part), tall), 0xFFFFFFFF, dtype=np.uint32)  # no code point
-        for row, i in enumerate(part):
-            a[row, : size[0][i]] = np.frombuffer(left[i].encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            b[row, : size[1][i]] = np.frombuffer(right[i].encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            a[row, size[0][i] :] = 0xFFFFFFFE
-        best = np.zeros((len(part), wide + 1), dtype=np.int32)
-        for k in range(tall):
-            best[:, 1:] = np.maximum(best[:, 1:], np.where(a == b[:, k : k + 1], best[:, :-1] + 1, 0))
-            np.maximum.accumulate(best, axis=1, out=best)
-        out[part] = best[:, -1]
+        for s, text in sides:
+            n = len(s)
+            found = {text[max(0, i) : i + n] for i in range(1 - n, len(text))}
+            short += [s] * len(found)
+            window += found
+            owner += [k] * len(found)
+    if owner:
+        np.maximum.at(out, np.array(owner), ratios(short, window))
     return out
 
 
+def batch_scores(left: Sequence[str], right: Sequence[str]) -> dict[str, np.ndarray]:
+    """The six ``SCORES`` of many pairs; every ratio in them is computed for all pairs at once."""
+    tokens = {t: (set(t.split()), _sorted_words(t)) for t in {*left, *right}}
+    own = [(tokens[x][0], tokens[y][0]) for x, y in zip(left, right)]
+    shared, rest_a, rest_b = ([" ".join(sorted(f(x, y))) for x, y in own] for f in (set.intersection, set.difference, lambda x, y: y - x))
+    sorted_a, sorted_b = [tokens[t][1] for t in left], [tokens[t][1] for t in right]
+    both, only_a, only_b = (np.array([bool(t) for t in side], dtype=bool) for side in (shared, rest_a, rest_b))
+    words = np.array([bool(x) and bool(y) for x, y in own], dtype=bool)
+    plain, by_sort = ratios(left, right), ratios(sorted_a, sorted_b)
+    with_a, with_b = ([f"{s} {r}".strip() for s, r in zip(shared, rest)] for rest in (rest_a, rest_b))
+    by_set = ratios(with_a, with_b)
+    by_set = np.where(both, np.maximum(by_set, np.maximum(ratios(shared, with_a), ratios(shared, with_b))), by_set)
+    by_set = np.where(~words, 0.0, np.where(both & (~only_a | ~only_b), 1.0, by_set))
+    partial = partial_ratios(left, right)
+    n = np.array([len(x) for x in left], dtype=np.int64), np.array([len(x) for x in right], dtype=np.int64)
+    filled = (n[0] > 0) & (n[1] > 0)
+    apart = np.maximum(*n) / np.maximum(np.minimum(*n), 1)
+    weighted = np.maximum(plain, 0.95 * np.maximum(by_sort, by_set))
+    far = np.flatnonzero(filled & (apart >= 1.5))
+    if len(far):
+        pick = lambda side: [side[k] for k in far]
+        tokenwise = np.where(both[far], 1.0, np.maximum(partial_ratios(pick(sorted_a), pick(sorted_b)), partial_ratios(pick(rest_a), pick(rest_b))))
+        scale = np.where(apart[far] < 8, 0.9, 0.6)
+        weighted[far] = np.maximum(plain[far], scale * np.maximum(partial[far], 0.95 * tokenwise))
+    none = np.where(filled, plain, 0.0)
+    return dict(zip(SCORES, (plain, partial, by_sort, by_set, np.where(filled, weighted, 0.0), none)))
+
+
 @pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     there = (a.notna() & b.notna()).to_numpy()
-    x, y = a[there].tolist(), b[there].tolist()
-    total = np.array([len(p) + len(q) for p, q in zip(x, y)], dtype=np.int64)
     out = np.full(len(a), np.nan)
-    out[there] = np.where(total > 0, 2 * lcs_lengths(x, y) / np.maximum(total, 1), 1.0)
+    out[there] = ratios(a[there].tolist(), b[there].tolist())
     return pd.Series(out).astype("Float64").mask(~there) if not there.all() else pd.Series(out)
 
 
 @pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in SCORES]))
 def scores_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    pairs = list(zip(a, b))
-    return pd.DataFrame({k: [None if x is None or y is None else f(x, y) for x, y in pairs] for k, f in SCORES.items()})
+    there = (a.notna() & b.notna()).to_numpy()
+    found = batch_scores(a[there].tolist(), b[there].tolist())
+    out = pd.DataFrame({k: pd.Series(np.nan, index=range(len(a))).astype("Float64").mask(~there) for k in SCORES})
+    for k, v in found.items():
+        out.loc[there, k] = v
+    return out
 
 
 def fuzzy_scores(pairs: DataFrame, a: str = "variant_a", b: str = "variant_b") -> DataFrame:

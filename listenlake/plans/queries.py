@@ -814,7 +814,29 @@ def missing_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return canon.missing_aliases(v, dim)
 
 
-@query(None)
+_SCORED = f"""{_LCS}, alike AS (SELECT a, b FROM sims WHERE sim >= 0.77), toks AS (SELECT a, b, list_distinct(string_split(a, ' ')) AS ta, list_distinct(string_split(b, ' ')) AS tb FROM alike),
+    sets AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb, array_to_string(list_sort(list_intersect(ta, tb)), ' ') AS shared,
+    array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ' ') AS oa, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta, x))), ' ') AS ob FROM toks),
+    parts AS (SELECT *, trim(shared || ' ' || oa) AS wa, trim(shared || ' ' || ob) AS wb FROM sets),
+    sided AS (SELECT a, b, 'p' AS kind, a AS x, b AS y FROM parts UNION ALL SELECT a, b, 's', sa, sb FROM parts WHERE shared = '' UNION ALL SELECT a, b, 's', oa, ob FROM parts WHERE shared = ''),
+    ways AS (SELECT a, b, kind, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS l FROM sided UNION ALL SELECT a, b, kind, y, x FROM sided WHERE length(x) = length(y)),
+    cuts AS (SELECT a, b, kind, s, l, unnest(range(1 - length(s), length(l)))::INTEGER AS i FROM ways),
+    need AS (SELECT a, b, 'ratio' AS kind, a AS x, b AS y FROM parts UNION ALL SELECT a, b, 'sort', sa, sb FROM parts UNION ALL SELECT a, b, 'set', wa, wb FROM parts UNION ALL SELECT a, b, 'set', shared, wa FROM parts WHERE shared <> ''
+    UNION ALL SELECT a, b, 'set', shared, wb FROM parts WHERE shared <> '' UNION ALL SELECT DISTINCT a, b, kind, s, substr(l, greatest(i, 0) + 1, i + length(s)::INTEGER - greatest(i, 0)) FROM cuts),
+    texts AS (SELECT DISTINCT x, y FROM need),
+    grid(x, y, i, row) AS (SELECT x, y, 0, list_transform(range(0, length(y) + 1), lambda q: 0) FROM texts UNION ALL
+    SELECT x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda acc, j: list_append(acc, CASE WHEN substr(x, i + 1, 1) = substr(y, j::INTEGER, 1) THEN row[j] + 1 ELSE greatest(acc[j], row[j + 1]) END), [0]) FROM grid WHERE i < length(x)),
+    known AS (SELECT x, y, 2.0::DOUBLE * row[length(y) + 1] / greatest(length(x) + length(y), 1) AS v FROM grid WHERE i = length(x)),
+    best AS (SELECT a, b, max(CASE WHEN kind = 'ratio' THEN v END) AS r, max(CASE WHEN kind = 'sort' THEN v END) AS so, max(CASE WHEN kind = 'set' THEN v END) AS se, max(CASE WHEN kind = 'p' THEN v END) AS pa, max(CASE WHEN kind = 's' THEN v END) AS pt
+    FROM need JOIN known USING (x, y) GROUP BY a, b),
+    scores AS (SELECT a, b, r, pa, so, CASE WHEN shared <> '' AND (oa = '' OR ob = '') THEN 1.0::DOUBLE ELSE se END AS st, CASE WHEN shared <> '' THEN 1.0::DOUBLE ELSE pt END AS pt,
+    greatest(length(a), length(b))::DOUBLE / least(length(a), length(b)) AS apart FROM best JOIN parts USING (a, b))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SCORED} SELECT a AS variant_a, b AS variant_b, r AS ratio, pa AS partial_ratio, so AS token_sort_ratio, st AS token_set_ratio,
+    CASE WHEN apart < 1.5 THEN greatest(r, 0.95::DOUBLE * greatest(so, st)) ELSE greatest(r, (CASE WHEN apart < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) * greatest(pa, 0.95::DOUBLE * pt)) END AS weighted_ratio, r AS quick_ratio FROM scores"""
+)
 def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _edges(spark, sf).select(F.col("a").alias("variant_a"), F.col("b").alias("variant_b"))
     return similarity.fuzzy_scores(pairs)
