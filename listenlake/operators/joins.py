@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import empty, split_variants, zipped_differences
+from ..functions.text import alike, fold, empty, split_variants, zipped_differences
 
 OPEN_END = "9999-12-30"
 
@@ -100,9 +100,22 @@ def fuzzy_code(names: DataFrame, codes: DataFrame) -> DataFrame:
 
     Candidates are met by length, so the join is on equal keys; the code table is small, as there are some 250 countries.
     """
-    near = codes.select("iso2", "en_name", F.explode(F.sequence(F.greatest(F.length("en_name") - 1, F.lit(0)), F.length("en_name") + 1)).alias("__n"))
+    n = F.length(fold(F.col("en_name")))
+    near = codes.select("iso2", "en_name", F.explode(F.sequence(F.greatest(n - 1, F.lit(0)), n + 1)).alias("__n"))
     probe = names.select("name").distinct()
-    a, b = F.lower("name"), F.lower("en_name")
-    hits = probe.join(near, F.length("name") == F.col("__n")).where((a == b) | (zipped_differences(a, b) <= 1))
+    a, b = fold(F.col("name")), fold(F.col("en_name"))
+    hits = probe.join(near, F.length(fold(F.col("name"))) == F.col("__n")).where((a == b) | (zipped_differences(a, b) <= 1))
     best = hits.groupBy("name").agg(F.min(F.struct((a != b).alias("miss"), "en_name", "iso2")).alias("b"))
     return names.join(best, "name", "left").select("name", F.col("b.iso2").alias("iso2"))
+
+
+def by_name(left: DataFrame, right: DataFrame, column: str, value: str, *, accents: bool = False) -> DataFrame:
+    """``left`` with the ``value`` that ``right`` has for a name, whatever its case and, unless ``accents`` count, its accents.
+
+    A row of ``right`` with the very name goes before others, then the least name and value. Null names meet none.
+    """
+    names = left.select(F.col(column).alias("__name")).where("__name is not null").distinct()
+    there = right.select(alike(F.col(column), accents).alias("__key"), F.col(column).alias("__other"), F.col(value).alias("__value"))
+    met = names.join(there, alike(F.col("__name"), accents) == F.col("__key"))
+    best = met.groupBy("__name").agg(F.min(F.struct((F.col("__name") != F.col("__other")).alias("miss"), "__other", "__value"))["__value"].alias(value))
+    return left.drop(value).join(best, left[column] == best["__name"], "left").drop("__name")

@@ -37,6 +37,31 @@ def database_table(spark: SparkSession, url: str, name: str, **options: str) ->
     return spark.read.jdbc(url, name, properties=options)
 
 
+def connect(spark: SparkSession, url: str, **options: str):
+    """(connection of the driver's own to a database, the sign it quotes names with)."""
+    jvm = spark._jvm
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    settings = jvm.java.util.Properties()
+    for k, v in options.items():
+        settings.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    return connection, connection.getMetaData().getIdentifierQuoteString().strip()
+
+
+def database_ranges(spark: SparkSession, url: str, name: str, key: str, parts: int, **options: str) -> DataFrame:
+    """A table of a database read by ``parts`` tasks of about equal rows: bounds are quantiles of its numeric ``key``, which is read alone first. Rows without a key are read with the first."""
+    bounds = database_table(spark, url, name, **options).select(key).agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    cuts = sorted(set(bounds or []))
+    if not cuts:
+        return database_table(spark, url, name, **options)
+    connection, quote = connect(spark, url, **options)
+    connection.close()
+    key = f"{quote}{key}{quote}"
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])]
+    return spark.read.jdbc(url, name, predicates=[f"{key} < {cuts[0]} OR {key} IS NULL", *inner, f"{key} >= {cuts[-1]}"], properties=options)
+
+
 def country_codes(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """A pipe-separated file of strings: columns renamed and chosen, nulls empty, in order of English name."""
     df = spark.read.csv(path, sep="|", header=True).withColumnsRenamed(columns)

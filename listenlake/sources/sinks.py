@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import epoch_to_timestamp
 from ..operators.normalize import merge_keep_last, order_columns, rename_aliases
 from ..schema import PLAY_COLUMNS, PLAY_KEYS
+from .readers import connect
 
 
 def _fs(spark: SparkSession, path: str):
@@ -136,6 +137,35 @@ def to_database(df: DataFrame, url: str, name: str, mode: str = "append", **opti
     df.write.jdbc(url, name, mode=mode, properties=options)
 
 
+def merge_into_database(df: DataFrame, url: str, name: str, keys: Sequence[str], *, keep: str = "new", job: str = "load", **options: str) -> int:
+    """Merge rows into a table of a database, whose keys must not be null; returns how many rows it took.
+
+    Tasks write to a table of the ``job``'s own, beside; then one transaction moves them: rows of equal keys there are replaced (``keep`` = new) or stay (old). A
+    job that fails and is tried again begins with its own table anew, so nothing comes twice. Of rows of ``df`` with equal keys one must be left.
+    """
+    beside = f"{name}_{job}_beside"
+    df.write.jdbc(url, beside, mode="overwrite", properties=options)
+    connection, quote = connect(df.sparkSession, url, **options)
+    columns = ", ".join(f"{quote}{c}{quote}" for c in df.columns)
+    same = " AND ".join(f"t.{quote}{k}{quote} = s.{quote}{k}{quote}" for k in keys)
+    try:
+        connection.setAutoCommit(False)
+        run = connection.createStatement()
+        if keep == "new":
+            run.executeUpdate(f"DELETE FROM {name} t WHERE EXISTS (SELECT 1 FROM {beside} s WHERE {same})")
+        rest = f" WHERE NOT EXISTS (SELECT 1 FROM {name} t WHERE {same})"
+        taken = run.executeUpdate(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {beside} s" + (rest if keep == "old" else ""))
+        connection.commit()
+        run.executeUpdate(f"DROP TABLE {beside}")
+        connection.commit()
+        return taken
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Overwrite a table with no rows of the same schema."""
     swap_in(spark.read.parquet(path).limit(0), path)
