@@ -2,7 +2,7 @@
 
 Regions of a text that hold enough words of a template, short ones first, are aligned with it: words that occur once in each are anchors, their longest
 increasing subsequence is kept, and the gaps between anchors are aligned in the same way. Coverage is the share of the template's
-words that are aligned.
+words that are aligned, density the share of the place's words that are.
 """
 
 from __future__ import annotations
@@ -93,6 +93,8 @@ TEMPLATES: dict[str, str] = {
 }
 #: Bytes that the templates of a table may have in all: they go to every task.
 TEMPLATE_BYTES = 64 << 20
+#: Least share of aligned words among the words of a place.
+DENSITY = 1 / 3
 
 #: A-Z to a-z; ASCII that is neither letter nor digit to a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -156,11 +158,25 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan(words: np.ndarray, template: np.ndarray, cover: float) -> list[tuple[float, int, int]]:
+def longest_run(places: Sequence[int], least: float, density: float) -> tuple[int, int] | None:
+    """First and last index of the most of ``places`` in a row, ``least`` or more, that are ``density`` or more of the words they reach over; the densest, then leftmost of equals.
+
+    Words of a template that stray before or after an occurrence are so left out of it.
+    """
+    at = np.asarray(places)
+    for size in range(len(at), max(1, int(np.ceil(least - 1e-9))) - 1, -1):
+        reach = at[size - 1 :] - at[: len(at) - size + 1] + 1
+        i = int(np.argmin(reach))
+        if size >= density * reach[i] - 1e-9:
+            return i, i + size - 1
+    return None
+
+
+def scan(words: np.ndarray, template: np.ndarray, cover: float, density: float = DENSITY) -> list[tuple[float, int, int]]:
     """(coverage, first word, end word) of each occurrence of the template in a text, none overlapping, from left to right.
 
     First windows of 1.25 template lengths that hold enough of its words are aligned. What they leave free is aligned in windows twice as
-    long each time, begun at every half of their length, up to the whole stretch: foreign words may spread an occurrence as far as they like.
+    long each time, begun at every half of their length, until half a window is as long as the words of a place may reach at that density.
     Memory grows with the text alone, not with text times template.
     """
     t, n = len(template), len(words)
@@ -192,9 +208,10 @@ def scan(words: np.ndarray, template: np.ndarray, cover: float) -> list[tuple[fl
 
     def align(low: int, high: int) -> bool:
         pairs = patience(words[low:high].tolist(), goal)
-        if len(pairs) < cover * t:
+        run = longest_run([i for i, _ in pairs], cover * t, density)
+        if run is None:
             return False
-        found.append((len(pairs) / t, low + pairs[0][0], low + pairs[-1][0] + 1))
+        found.append(((run[1] - run[0] + 1) / t, low + pairs[run[0]][0], low + pairs[run[1]][0] + 1))
         return True
 
     span = t + t // 4 + 1
@@ -228,7 +245,7 @@ def scan(words: np.ndarray, template: np.ndarray, cover: float) -> list[tuple[fl
                     break
                 else:
                     at += span // 2
-        if span >= n:
+        if span >= min(n, 2 * t / density):
             return sorted(found, key=lambda f: f[1])
 
 
@@ -241,14 +258,17 @@ def templates_of(table: DataFrame, name_col: str = "name", text_col: str = "text
     return {r["name"]: r["text"] for r in rows.orderBy("name").collect()}
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] | DataFrame = TEMPLATES, cover: float = 0.8) -> DataFrame:
-    """(id_col, license, coverage, start_byte, end_byte, matched): each place where a template's coverage is ``cover`` or more.
+def scan_licenses(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] | DataFrame = TEMPLATES, cover: float = 0.8, density: float = DENSITY
+) -> DataFrame:
+    """(id_col, license, coverage, density, start_byte, end_byte, matched): each place where a template's coverage is ``cover`` or more and ``density`` or more of the place's words are aligned.
 
     ``templates``: text by name, or a table (name, text). ``matched`` is the text from the first to the last aligned word, at UTF-8 byte
     offsets. Places of one template do not overlap; where places of several do, the one with most aligned words counts, of equal ones that of the
     greater coverage, then the leftmost: so a license is not taken for a longer one that holds it.
-    Foreign words inside a place, however many, and left-out ones up to 1 - ``cover`` do not hide it: windows that hold enough of the
-    template's words are aligned, ever wider ones up to the whole text, and only after a failed window does the search move on, by one window at
+    Foreign words inside a place, two for each aligned one, and left-out ones up to 1 - ``cover`` do not hide it; words of a notice that
+    stand farther apart are no place of it. Windows that hold enough of the
+    template's words are aligned, ever wider ones until they hold any place whole, and only after a failed window does the search move on, by one window at
     first and by half a window in the wider ones. Whole texts are read, however long. Null and empty texts and an empty table have no rows;
     repeated rows give theirs each, ids may be null or repeat, extra columns are not read. A map, with no exchange.
     """
@@ -279,30 +299,31 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         counts = np.bincount(at[there[low:high]], minlength=len(known))
                         if np.minimum(counts, times[k]).sum() >= cover * len(goal):
                             maybe.setdefault(int(row), []).append(k)
-                out: dict[str, list] = {"row": [], "license": [], "coverage": [], "start": [], "end": [], "matched": []}
+                out: dict[str, list] = {"row": [], "license": [], "coverage": [], "density": [], "start": [], "end": [], "matched": []}
                 for row, which in sorted(maybe.items()):
                     base = int(words.first[row])
                     own = h[base : words.first[row + 1]]
-                    hits = [(round(hit[0] * len(goals[k])), k, *hit) for k in which for hit in scan(own, goals[k], cover)]
+                    hits = [(round(hit[0] * len(goals[k])), k, *hit) for k in which for hit in scan(own, goals[k], cover, density)]
                     taken: list[tuple[int, int]] = []
-                    for _, k, share, a, z in sorted(hits, key=lambda x: (-x[0], -x[2], x[3])):
+                    for many, k, share, a, z in sorted(hits, key=lambda x: (-x[0], -x[2], x[3])):
                         if any(a < y and x < z for x, y in taken):
                             continue
                         taken.append((a, z))
                         start, end = int(words.starts[base + a]), int(words.ends[base + z - 1])
-                        for name, v in (("row", row), ("license", names[k]), ("coverage", share), ("start", start - offsets[row]), ("end", end - offsets[row]), ("matched", data[start:end].tobytes())):
+                        for name, v in (("row", row), ("license", names[k]), ("coverage", share), ("density", many / (z - a)), ("start", start - offsets[row]), ("end", end - offsets[row]), ("matched", data[start:end].tobytes())):
                             out[name].append(v)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(out["row"], pa.int64())),
                         pa.array(out["license"], pa.string()),
                         pa.array(out["coverage"], pa.float64()),
+                        pa.array(out["density"], pa.float64()),
                         pa.array(out["start"], pa.int64()),
                         pa.array(out["end"], pa.int64()),
                         pa.array(out["matched"], pa.binary()).cast(pa.string()),
                     ],
-                    names=[id_col, "license", "coverage", "start_byte", "end_byte", "matched"],
+                    names=[id_col, "license", "coverage", "density", "start_byte", "end_byte", "matched"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, license string, coverage double, start_byte long, end_byte long, matched string")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, license string, coverage double, density double, start_byte long, end_byte long, matched string")

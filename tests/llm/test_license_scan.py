@@ -73,6 +73,29 @@ def test_places_spread_by_foreign_words():
         assert [x[0] >= 0.8 for x in L.scan(np.array(text), goal, 0.8)] == [len(L.patience(text, goal.tolist())) >= 0.8 * len(goal)]
 
 
+def test_words_of_a_notice_far_apart_are_no_place(spark):
+    filler = [f"w{i}" for i in range(900)]
+    far = " ".join(["Released", *filler, "under", *filler, "the", *filler, "license"])
+    near = "Released w0 w1 under w2 w3 the w4 w5 MIT w6 w7 license"
+    stray = " ".join(["released", *filler[:40], "under the MIT license", *filler[:40], "MIT license"])
+    got = scan(spark, far, " ".join(filler * 3), near, stray, " ".join([far, near, far]))
+    assert [(d, n) for d, n, _, _ in got] == [(2, "MIT"), (3, "MIT"), (4, "MIT")]
+    assert got[0][2:] == (1.0, near) and got[1][2:] == (0.8, "under the MIT license") and got[2][3] in near
+    one = L.scan_licenses(spark.createDataFrame([(1, near)], "doc_id long, text string")).first()
+    assert one.density == pytest.approx(5 / 13)
+    assert L.scan_licenses(spark.createDataFrame([(1, near)], "doc_id long, text string"), density=0.5).count() == 0
+
+
+def test_longest_run_against_every_run():
+    rng = random.Random(21)
+    for _ in range(200):
+        at = sorted(rng.sample(range(40), rng.randrange(1, 14)))
+        least, density = rng.randrange(1, 8), rng.choice((0.2, 1 / 3, 0.6, 1.0))
+        runs = [(j - i + 1, i, j) for i in range(len(at)) for j in range(i, len(at)) if j - i + 1 >= max(least, density * (at[j] - at[i] + 1) - 1e-9)]
+        want = max(runs, key=lambda r: (r[0], at[r[1]] - at[r[2]], -r[1]), default=None)
+        assert L.longest_run(at, least, density) == (want and want[1:])
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.license) for r in L.scan_licenses(df).collect()), key=str) == [(1, "MIT"), (1, "MIT"), (None, "CC-BY-NC-4.0")]
