@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import signature, signature_hash, split_variants
 from ..store import new_path, remove
+from .forest import group_thresholds, spanning_forest
 
 #: Names known to be the same; the smallest threshold that joins each group is searched.
 ANCHORS_EXAMPLE = (("hot ring", "hot rings"),)
@@ -53,7 +54,7 @@ def cluster_input(counts: DataFrame, anchors: Sequence[str], least: int = 3) ->
 
 
 #: Edges up to which the search for the least threshold runs on the driver, as rows of two names and a number.
-EDGES_AT_HAND = 200_000
+EDGES_AT_HAND = 20_000
 
 
 def minimal_epsilon(edges: Sequence[tuple[str, str, float]], groups: Sequence[Sequence[str]], low: float = 0.05, step: float = 0.01, high: float = 0.99) -> float | None:
@@ -76,8 +77,10 @@ def minimal_epsilon(edges: Sequence[tuple[str, str, float]], groups: Sequence[Se
         if all(len({find(x) for x in g}) == 1 for g in groups):
             needed = 1 - sim
             break
-    if needed is None:
-        return None
+    return None if needed is None else _on_grid(needed, low, step, high)
+
+
+def _on_grid(needed: float, low: float, step: float, high: float) -> float | None:
     k = 0
     while low + k * step < needed - 1e-9:
         k += 1
@@ -86,33 +89,14 @@ def minimal_epsilon(edges: Sequence[tuple[str, str, float]], groups: Sequence[Se
 
 
 def search_epsilon(edges: DataFrame, groups: Sequence[Sequence[str]], low: float = 0.05, step: float = 0.01, high: float = 0.99, at_hand: int = EDGES_AT_HAND) -> float | None:
-    """``minimal_epsilon`` of edges (a, b, sim) of any number.
-
-    Few edges are searched on the driver. More stay where they are: as a greater distance only joins more, the grid is halved, with one
-    run of ``clusters`` a step.
-    """
+    """``minimal_epsilon`` of edges (a, b, sim) of any number: few are searched on the driver, more by a spanning forest, of which the groups' thresholds alone come back."""
     edges = edges.where(F.col("sim") >= 1 - high - 1e-9).select("a", "b", "sim")
     few = edges.limit(at_hand + 1).collect()
     if len(few) <= at_hand:
         return minimal_epsilon([tuple(r) for r in few], groups, low, step, high)
-    edges, path = _cut(edges)
-    names = sorted({x for g in groups for x in g})
-
-    def joined(k: int) -> bool:
-        labels = clusters(edges.where(1 - F.col("sim") <= low + k * step + 1e-9))
-        own = {r["name"]: r["cluster"] for r in labels.where(F.col("name").isin(names)).collect()}  # the groups' names alone
-        return all(len({own.get(x, (x,)) for x in g}) == 1 for g in groups)
-
-    least, most = 0, int((high - low) / step + 1e-9)
-    found = None
-    while least <= most:
-        k = (least + most) // 2
-        if joined(k):
-            found, most = k, k - 1
-        else:
-            least = k + 1
-    remove(edges.sparkSession, path)
-    return None if found is None else round(low + found * step, 10)
+    rows = edges.sparkSession.createDataFrame([(k, x) for k, g in enumerate(groups) for x in g], "group int, name string")
+    found = group_thresholds(spanning_forest(edges), rows).agg(F.count("epsilon").alias("n"), F.count(F.lit(1)).alias("all"), F.max("epsilon").alias("needed")).first()
+    return _on_grid(found["needed"] or 0.0, low, step, high) if found["n"] == found["all"] else None
 
 
 def unhandled(members: DataFrame, variants: DataFrame) -> DataFrame:

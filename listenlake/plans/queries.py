@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import text
-from ..operators import canon, counts, integrity, joins, ml, normalize, quality, similarity, stats, temporal, timelines
+from ..operators import canon, counts, forest, integrity, joins, ml, normalize, quality, similarity, stats, temporal, timelines
 from ..sources import manifest, provider, readers
 from ..streaming import incremental, stateful
 from . import adapters as A
@@ -760,6 +760,34 @@ def minimal_epsilon(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(canon.search_epsilon(_edges(spark, sf, 0.01), _MUST_MERGE),)], "epsilon double")
 
 
+# for each two names the least place, in order of the edges, that a path between them needs: paths over ever more names
+_PLACES = f"""{_LCS}, e AS (SELECT a, b, sim, row_number() OVER (ORDER BY sim DESC, a, b) AS place FROM sims WHERE sim >= 0.5), v AS (SELECT name, row_number() OVER (ORDER BY name) AS k FROM (SELECT a AS name FROM e UNION SELECT b FROM e)),
+    fw(k, a, b, place) AS (SELECT 0, x.name, y.name, CASE WHEN x.name = y.name THEN 0 ELSE coalesce(e.place, 1000000) END FROM v x CROSS JOIN v y LEFT JOIN e ON e.a = least(x.name, y.name) AND e.b = greatest(x.name, y.name)
+    UNION ALL SELECT p.k + 1, p.a, p.b, least(p.place, greatest(q.place, r.place)) FROM fw p JOIN v ON v.k = p.k + 1 JOIN fw q ON q.a = p.a AND q.b = v.name JOIN fw r ON r.a = v.name AND r.b = p.b),
+    w AS (SELECT fw.a, fw.b, fw.place, CASE WHEN fw.place = 0 THEN 1.0::DOUBLE ELSE e.sim END AS sim FROM fw LEFT JOIN e USING (place) WHERE k = (SELECT count(*) FROM v))"""
+
+
+@query(f"WITH RECURSIVE {_PLACES} SELECT e.a, e.b, e.sim FROM e JOIN w ON e.a = w.a AND e.b = w.b AND e.place = w.place")
+def spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.spanning_forest(_edges(spark, sf, 0.5)).edges
+
+
+@query(f"WITH RECURSIVE {_PLACES} SELECT name, sim FROM v JOIN w ON w.a = name AND w.b = (SELECT min(name) FROM v)")
+def merge_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """The similarity up to which each name is in one cluster with the first of all names."""
+    f = forest.spanning_forest(_edges(spark, sf, 0.5))
+    first = f.paths.agg(F.min("name").alias("first"))
+    return forest.bottlenecks(f, f.paths.select("name").join(F.broadcast(first)), "first", "name").select("name", "sim")  # one row
+
+
+@query(
+    f"""WITH RECURSIVE {_PLACES}, l AS (SELECT g.epsilon, w.a, min(w.b) AS cluster, count(*) AS size FROM w JOIN (SELECT unnest([0.1, 0.2, 0.25, 0.3, 0.4, 0.5]::DOUBLE[]) AS epsilon) g ON 1 - w.sim <= g.epsilon + 1e-9 GROUP BY ALL)
+    SELECT epsilon, count(DISTINCT cluster) AS clusters, count(*) AS names FROM l WHERE size > 1 GROUP BY epsilon"""
+)
+def threshold_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.threshold_profile(forest.spanning_forest(_edges(spark, sf, 0.5)), [0.1, 0.2, 0.25, 0.3, 0.4, 0.5])
+
+
 @query(
     f"""WITH RECURSIVE {_LCS}, e AS (SELECT a, b FROM sims WHERE sim >= 0.77 UNION SELECT b, a FROM sims WHERE sim >= 0.77), reach(name, other) AS (SELECT a, a FROM e UNION SELECT name, b FROM reach JOIN e ON other = a),
     m AS (SELECT cluster, list_sort(list(name)) AS members FROM (SELECT name, min(other) AS cluster FROM reach GROUP BY name) GROUP BY cluster)
