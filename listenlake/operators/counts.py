@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import numbered
+from .order import exact_percentiles, numbered
 
 
 def value_counts(df: DataFrame, *keys: str, name: str = "plays") -> DataFrame:
@@ -111,10 +111,9 @@ def label_priority(counts: DataFrame, measures: Sequence[str], n: int, key: str)
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles by linear interpolation, maximum."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(column).alias("max")
-    )
+    whole = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = exact_percentiles(df, column, [0.25, 0.5, 0.75])
+    return whole.join(F.broadcast(q)).select("n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max")  # one row each
 
 
 def ascending(counts: DataFrame, value: str = "plays", *ties: str) -> DataFrame:

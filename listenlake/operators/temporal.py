@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import exact_percentiles
+
 
 def monthly_series(df: DataFrame, value: str = "track_title", time: str = "play_time") -> DataFrame:
     """(month, plays), month being its first day; months without plays are missing."""
@@ -62,7 +64,7 @@ def percentile_rank(counts: DataFrame, group: str, value: str) -> DataFrame:
 def steady_by_cv(counts: DataFrame, key: str, percentile: float = 25.0) -> DataFrame:
     """Mean, population deviation and their ratio of each key's yearly counts; ratios up to the given percentile stay."""
     s = counts.groupBy(key).agg(F.avg("plays").alias("mean"), F.stddev_pop("plays").alias("std")).withColumn("cv", F.round(F.try_divide("std", "mean"), 12))  # so that equal spreads are equal
-    limit = s.agg(F.percentile("cv", F.lit(percentile / 100)).alias("__limit"))
+    limit = exact_percentiles(s, "cv", [percentile / 100]).select(F.col("q")[0].alias("__limit"))
     return s.join(F.broadcast(limit), F.col("cv") <= F.col("__limit")).drop("__limit")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..functions import text
-from ..operators import canon, counts, forest, integrity, joins, ml, normalize, quality, similarity, stats, temporal, timelines
+from ..operators import canon, counts, forest, integrity, joins, ml, normalize, quality, similarity, sketches, stats, temporal, timelines
 from ..sources import manifest, provider, readers
 from ..streaming import incremental, stateful
 from . import adapters as A
@@ -284,6 +284,33 @@ def null_stats(spark: SparkSession, sf: str) -> DataFrame:
     return quality.null_stats(A.artist_dim(spark, sf), _COLUMNS)
 
 
+_SKETCHED, _MEASURED = ["l_partkey", "l_returnflag"], ["l_quantity", "l_extendedprice"]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS filled, {f'min({c})::DOUBLE' if c in _MEASURED else 'NULL::DOUBLE'} AS low, {f'max({c})::DOUBLE' if c in _MEASURED else 'NULL::DOUBLE'} AS high, "
+        f"{f'round(avg({c}), 4)' if c in _MEASURED else 'NULL::DOUBLE'} AS mean, true AS distinct_close, {'true' if c in _MEASURED else 'NULL::BOOLEAN'} AS quantiles_close FROM lineitem"
+        for c in [*_SKETCHED, *_MEASURED]
+    )
+)
+def sketched_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns from sketches of months, merged; whether the estimates keep their bounds is judged on all rows."""
+    line = A.table(spark, sf, "lineitem")
+    found = store.materialize(sketches.profile(sketches.month_sketches(line, "l_shipdate", _SKETCHED, _MEASURED)), "profile")
+    judged = sketches.audit(line, found, [*_SKETCHED, *_MEASURED])
+    return found.select("column", "rows", "filled", "low", "high", F.round("mean", 4).alias("mean")).join(judged, "column")
+
+
+@query(
+    "SELECT date_trunc('month', l_shipdate)::DATE AS month, count(*) AS rows, count(l_quantity) AS filled, min(l_quantity)::DOUBLE AS low, max(l_quantity)::DOUBLE AS high, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY 1"
+)
+def sketched_months(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact part of the sketches of one number, month by month."""
+    months = sketches.profile(sketches.month_sketches(A.table(spark, sf, "lineitem"), "l_shipdate", [], ["l_quantity"]), "month")
+    return months.select("month", "rows", "filled", "low", "high", F.round("mean", 4).alias("mean"))
+
+
 @query("SELECT avg((mbid IS NULL)::INTEGER) * 100 AS missing_percent FROM artist_dim")
 def missing_value_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return quality.missing_ratio(A.artist_dim(spark, sf), "mbid")
