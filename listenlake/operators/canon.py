@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature, signature_hash, split_variants
 from ..store import new_path, remove
+from . import similarity
 from .forest import group_thresholds, spanning_forest
 
 #: Names known to be the same; the smallest threshold that joins each group is searched.
@@ -195,6 +197,73 @@ def clustering_metrics(sims: DataFrame, labels: DataFrame) -> DataFrame:
     return totals.join(F.broadcast(per.agg(F.avg("s").alias("mean")))).select("noise", "clusters", F.when(F.col("clusters") > 1, F.col("mean")).alias("silhouette"))
 
 
+def _silhouette_by_levels(n: DataFrame, labels: DataFrame, least: float, levels: Sequence[float]) -> tuple[DataFrame, int]:
+    """((name, in, out), pairs compared): mean distances of each clustered name to its own cluster and to the nearest other one."""
+    spark = n.sparkSession
+    own = n.join(labels.select("name", "cluster"), "name")
+    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    member = own.join(sizes, "cluster").select("name", "k", "n", "l", "cluster", "size")
+    member, _ = _cut(member)
+    left, right = (member.select(F.col("name").alias(c), F.col("k").alias(f"k{c}"), F.col("cluster").alias(f"c{c}"), F.col("size").alias(f"s{c}")) for c in "ab")
+    scored, compared = _scored(left.join(right.withColumnRenamed("cb", "ca"), "ca").where("a < b").select("a", "b", "ka", "kb"), least)
+    ends = scored.select(F.col("a").alias("name"), "sim").unionByName(scored.select(F.col("b").alias("name"), "sim"))
+    inside = member.where("size > 1").join(ends.groupBy("name").agg(F.sum("sim").alias("s")), "name", "left").select("name", (1 - F.coalesce("s", F.lit(0.0)) / (F.col("size") - 1)).alias("in"))
+    open_names, _ = _cut(member.where("size > 1").select("name"))
+    settled = []
+    for level in (*sorted((x for x in levels if x > least), reverse=True), least):
+        asked = member.join(open_names.withColumn("asked", F.lit(True)), "name", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        of = asked.select("name", "cluster", "asked")
+        candidates = similarity.candidate_pairs(asked, level, asked="asked")
+        candidates = candidates.join(of.select(F.col("name").alias("a"), F.col("cluster").alias("ca")), "a").join(of.select(F.col("name").alias("b"), F.col("cluster").alias("cb")), "b").where("ca <> cb")
+        scored, count = _scored(candidates.select("a", "b", "ka", "kb"), level)
+        compared += count
+        found = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).join(open_names.withColumnRenamed("name", "a"), "a").join(right, "b")
+        near = found.groupBy("a", "cb").agg(F.sum("sim").alias("s"), F.count(F.lit(1)).alias("met"), F.first("sb").alias("size"))
+        last = level <= least
+        # those not met are less alike than the level, and at the last one are nothing
+        near = near.select("a", "cb", "size", "s", (F.col("s") / F.col("size")).alias("low"), ((F.col("s") + (F.col("size") - F.col("met")) * (0.0 if last else level)) / F.col("size")).alias("high"))
+        near, _ = _cut(near)
+        best = near.groupBy("a").agg(F.max("low").alias("best"))
+        if not last:
+            # only clusters that may be the nearest, and at least as near as any that was not met
+            open_pairs = near.join(best, "a").where((F.col("high") >= F.col("best") - 1e-9) & (F.col("high") >= level))
+            rest = open_pairs.where("high > low").join(right, "cb").join(found.select("a", "b"), ["a", "b"], "left_anti").join(left.select("a", "ka"), "a").select("a", "b", "cb", "ka", "kb")
+            more, count = _scored(rest, least, "cb")
+            compared += count
+            exact = open_pairs.select("a", "cb", "s", "size").join(more.groupBy("a", "cb").agg(F.sum("sim").alias("more")), ["a", "cb"], "left")
+            best = exact.groupBy("a").agg(F.max((F.col("s") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("best")).where(F.col("best") >= level)
+        done, _ = _cut(best.select(F.col("a").alias("name"), (1 - F.col("best")).alias("out")))
+        settled.append(done)
+        open_names, _ = _cut(open_names.join(done, "name", "left_anti"))
+        if not open_names.limit(1).count():
+            break
+    out = reduce(DataFrame.unionByName, settled)
+    return inside.join(out, "name", "left").select("name", "in", F.coalesce("out", F.lit(1.0)).alias("out")), compared
+
+
+def _scored(pairs: DataFrame, least: float, *more: str) -> tuple[DataFrame, int]:
+    """((a, b, sim) of pairs (a, b, ka, kb) as like as ``least``, number of pairs compared); compared once and written."""
+    rows, _ = _cut(pairs.select("a", "b", *more, similarity.ratio_udf("ka", "kb").alias("sim")))
+    return rows.where(F.col("sim") >= least), rows.count()
+
+
+def name_clustering_metrics(names: DataFrame, column: str, labels: DataFrame, least: float = 0.05, *, sort_tokens: bool = True, levels: Sequence[float] = (0.7, 0.5)) -> DataFrame:
+    """(noise, clusters, silhouette, compared) as ``clustering_metrics`` of the distinct names' ratios of ``least`` or more, without comparing all of them; ``compared``: pairs compared.
+
+    Names of one cluster are compared with each other. For the nearest other cluster the levels go down: what is met at a level gives bounds on a name's mean
+    ratio with each cluster, since members not met are less alike than the level. A cluster whose upper bound is under another's lower one is out; only where the
+    bounds do not decide are the other members compared. A name is settled when its nearest cluster is as near as the level, as one of
+    which no member was met is farther. ``least`` is the last level, where what is not met is nothing. A name alone in its cluster does not count.
+    """
+    n = similarity.prepared_names(names, column, sort_tokens=sort_tokens)
+    far = F.greatest("in", "out")
+    per, compared = _silhouette_by_levels(n, labels, least, levels)
+    per = per.select(F.when(far == 0, 0.0).otherwise((F.col("out") - F.col("in")) / F.when(far > 0, far)).alias("s"))
+    totals = n.select("name").join(labels, "name", "left").agg(F.avg(F.col("cluster").isNull().cast("int")).alias("noise"), F.count_distinct("cluster").alias("clusters"))
+    one = totals.join(F.broadcast(per.agg(F.avg("s").alias("mean"))))  # one row
+    return one.select("noise", "clusters", F.when(F.col("clusters") > 1, F.col("mean")).alias("silhouette"), F.lit(compared).cast("long").alias("compared"))
+
+
 def center_metrics(points: DataFrame, label: str, vector: str, *, most_numbers: int = 4_000_000) -> DataFrame:
     """(clusters, weighted_wss, bic) of labelled vectors around their clusters' means; null labels are noise and left out.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from ..functions.text import split_variants, token_sort
+from ..store import new_path
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -245,13 +248,23 @@ def fuzzy_scores(pairs: DataFrame, a: str = "variant_a", b: str = "variant_b") -
     return pairs.withColumn("s", scores_udf(F.col(a), F.col(b))).select(*pairs.columns, "s.*")
 
 
-def similar_pairs(names: DataFrame, column: str, least: float, *, sort_tokens: bool = False) -> DataFrame:
-    """(a, b, sim), a < b, of the distinct names with ratio >= ``least`` > 0.
+#: Keys that a name may have for one length of its partner before fewer letters make a key.
+KEYS = 32
+#: Most letters of a key.
+LETTERS = 5
 
-    Exact pruning before the kernel. Lengths of similar names lie within least / (2 - least) of each other. Letters, told apart by occurrence, are
-    shared by at least that part of the longer or shorter name, so the rarest few of each name hold one that a similar name has among its own
-    rarest few: names meet by equality of such a letter and a length. Then all shared letters bound the ratio from above.
-    """
+
+def _letters_of_key(misses: int) -> int:
+    """Letters of a key where the longer name may lack as many as ``misses``."""
+    return max((p for p in range(1, LETTERS + 1) if math.comb(misses + p, p) <= KEYS), default=1)
+
+
+#: The most letters that the longer name may lack where keys have two letters or more.
+FEW_MISSES = max(m for m in range(KEYS) if _letters_of_key(m) > 1)
+
+
+def prepared_names(names: DataFrame, column: str, *, sort_tokens: bool = False) -> DataFrame:
+    """(name, k, n, l) of the distinct names: what is compared, its length, and its letters, told apart by occurrence, rarest first. Written once and read back."""
     key = token_sort(F.col(column)) if sort_tokens else F.col(column)
     n = names.where(F.col(column).isNotNull()).select(F.col(column).alias("name"), key.alias("k")).distinct().withColumn("n", F.length("k"))
     letters = n.where("n > 0").select("name", F.explode(F.split("k", "")).alias("c")).where("c <> ''").groupBy("name", "c").agg(F.count(F.lit(1)).alias("times"))
@@ -259,18 +272,61 @@ def similar_pairs(names: DataFrame, column: str, least: float, *, sort_tokens: b
     common = letters.groupBy("t").agg(F.count(F.lit(1)).alias("df"))  # one row a letter and occurrence
     rare = letters.join(common, "t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("l")).select("name", F.col("l.t").alias("l"))
     n = n.join(rare, "name", "left").withColumn("l", F.coalesce("l", F.array().cast("array<string>")))
+    path = new_path(n.sparkSession, "names")
+    n.write.parquet(path)
+    return n.sparkSession.read.schema(n.schema).parquet(path)
+
+
+def _keys(n: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(name, na, nb, key) of the names as the longer and as the shorter of a pair of lengths na >= nb."""
+    spark = n.sparkSession
     low = least / (2 - least)
-    # the least number of letters shared with a name as like and as long as may be; two empty names meet by an empty letter
-    first = F.greatest(F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1, F.lit(1)).cast("int")
-    n = n.withColumn("probe", F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(F.slice("l", F.lit(1), first)))
-    band = F.sequence(F.ceil(F.col("n") * low - 1e-9).cast("int"), F.floor(F.col("n") / low + 1e-9).cast("int"))
-    a = n.select(F.col("name").alias("a"), F.explode("probe").alias("t"), "n").withColumn("nb", F.explode(band)).select("a", "t", "nb")
-    b = n.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.explode("probe").alias("t"))
-    met = a.join(b, ["t", "nb"]).where("a < b").select("a", "b").distinct()
-    side = lambda c: n.select(F.col("name").alias(c), F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("l").alias(f"l{c}"))
-    met = met.join(side("a"), "a").join(side("b"), "b")
+    lengths = F.broadcast(n.agg(F.array_sort(F.collect_set("n")).alias("lengths")))  # one row, of numbers up to the longest name
+    choices = [(m, p, *c, *[None] * (LETTERS - p)) for p in range(LETTERS + 1) for m in range(FEW_MISSES + 1) if m == 0 or p and math.comb(m + p, p) <= KEYS for c in combinations(range(m + p), p)]
+    places = [f"c{i}" for i in range(LETTERS)]
+    choices = F.broadcast(spark.createDataFrame(choices, "miss int, p int, " + ", ".join(f"{c} int" for c in places)))  # some hundred rows, by KEYS
+    all_of = F.coalesce(*[F.when(F.col("far") == m, _letters_of_key(m)) for m in range(FEW_MISSES + 1)])
+
+    def side(own: str, other: str) -> DataFrame:
+        longer = own == "na"
+        near = (lambda x: (x <= F.col("n")) & (x >= F.col("n") * low - 1e-9)) if longer else (lambda x: (x >= F.col("n")) & (x * low <= F.col("n") + 1e-9))
+        r = n.join(lengths).select("name", "l", F.col("n").alias(own), F.explode(F.filter("lengths", near)).alias(other))
+        shared = F.ceil(least * (F.col("na") + F.col("nb")) / 2 - 1e-9).cast("int")
+        r = r.withColumn("shared", F.when(F.col("na") == 0, 0).otherwise(F.greatest(shared, F.lit(1)))).withColumn("far", F.col("na") - F.col("shared")).withColumn("miss", F.col(own) - F.col("shared")).where("miss >= 0")
+        few = r.where(F.col("far") <= FEW_MISSES).withColumn("p", F.least(all_of, "shared")).join(choices, ["miss", "p"])
+        few = few.select("name", "na", "nb", F.xxhash64(*[F.get("l", F.col(c)) for c in places]).alias("key"))
+        many = r.where(F.col("far") > FEW_MISSES).select("name", "na", "nb", F.explode(F.slice("l", F.lit(1), F.col("miss") + 1)).alias("t")).select("name", "na", "nb", F.xxhash64("t").alias("key"))
+        return few.unionByName(many)
+
+    return side("na", "nb"), side("nb", "na")
+
+
+def meetings(n: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b, of ``prepared_names`` that share a key."""
+    longer, shorter = _keys(n, least)
+    met = longer.withColumnRenamed("name", "x").join(shorter.withColumnRenamed("name", "y"), ["na", "nb", "key"]).where("x < y or (na > nb and x <> y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def candidate_pairs(n: DataFrame, least: float, *, asked: str | None = None) -> DataFrame:
+    """(a, b, ka, kb), a < b, of ``prepared_names`` that may have a ratio >= ``least``: all that have it, and others. ``asked``: a boolean column that holds for one of the two at least."""
+    met = meetings(n, least)
+    extra = [F.col(asked)] if asked else [F.lit(True)]
+    side = lambda c: n.select(F.col("name").alias(c), F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("l").alias(f"l{c}"), extra[0].alias(f"q{c}"))
+    met = met.join(side("a"), "a").join(side("b"), "b").where("qa or qb")
     bound = 2.0 * F.size(F.array_intersect("la", "lb")) / F.greatest(F.col("na") + F.col("nb"), F.lit(1))
-    met = met.where((bound >= least - 1e-9) | (F.col("na") + F.col("nb") == 0))
+    return met.where((bound >= least - 1e-9) | (F.col("na") + F.col("nb") == 0)).select("a", "b", "ka", "kb")
+
+
+def similar_pairs(names: DataFrame, column: str, least: float, *, sort_tokens: bool = False) -> DataFrame:
+    """(a, b, sim), a < b, of the distinct names with ratio >= ``least`` > 0.
+
+    Exact pruning before the kernel. For two lengths the ratio tells how many letters, told apart by occurrence, two names share at least, and so
+    how many of its letters each may lack. The first p letters that they share, rarest first, are then among the first p and as many more as it may lack
+    of either: names meet by equality of both lengths and a choice of p letters. p is the more the fewer may lack (five letters where two
+    may, one where seven or more may), so that a name has at most ``KEYS`` keys a length, or one more than it may lack. Then all shared letters bound the ratio.
+    """
+    met = candidate_pairs(prepared_names(names, column, sort_tokens=sort_tokens), least)
     return met.select("a", "b", ratio_udf("ka", "kb").alias("sim")).where(F.col("sim") >= least)
 
 

@@ -938,8 +938,7 @@ def rank_variant_forms(spark: SparkSession, sf: str) -> DataFrame:
     (SELECT avg((o - i) / greatest(i, o)) FROM p) AS silhouette"""
 )
 def clustering_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    sims = similarity.similar_pairs(A.table(spark, sf, "part"), "p_name", 0.05, sort_tokens=True)
-    return canon.clustering_metrics(sims, canon.clusters(sims.where("sim >= 0.77")))
+    return canon.name_clustering_metrics(A.table(spark, sf, "part"), "p_name", canon.clusters(_edges(spark, sf))).drop("compared")
 
 
 @query(None)
