@@ -197,6 +197,11 @@ def clustering_metrics(sims: DataFrame, labels: DataFrame) -> DataFrame:
     return totals.join(F.broadcast(per.agg(F.avg("s").alias("mean")))).select("noise", "clusters", F.when(F.col("clusters") > 1, F.col("mean")).alias("silhouette"))
 
 
+#: Levels of likeness at which nearest clusters are looked for, and the clustered names up to which a level costs more than the comparisons it saves (the result is the same).
+LEVELS = (0.7, 0.5)
+FEW_NAMES = 800
+
+
 def _silhouette_by_levels(n: DataFrame, labels: DataFrame, least: float, levels: Sequence[float]) -> tuple[DataFrame, int]:
     """((name, in, out), pairs compared): mean distances of each clustered name to its own cluster and to the nearest other one."""
     spark = n.sparkSession
@@ -247,14 +252,17 @@ def _scored(pairs: DataFrame, least: float, *more: str) -> tuple[DataFrame, int]
     return rows.where(F.col("sim") >= least), rows.count()
 
 
-def name_clustering_metrics(names: DataFrame, column: str, labels: DataFrame, least: float = 0.05, *, sort_tokens: bool = True, levels: Sequence[float] = (0.7, 0.5)) -> DataFrame:
+def name_clustering_metrics(names: DataFrame, column: str, labels: DataFrame, least: float = 0.05, *, sort_tokens: bool = True, levels: Sequence[float] | None = None) -> DataFrame:
     """(noise, clusters, silhouette, compared) as ``clustering_metrics`` of the distinct names' ratios of ``least`` or more, without comparing all of them; ``compared``: pairs compared.
 
     Names of one cluster are compared with each other. For the nearest other cluster the levels go down: what is met at a level gives bounds on a name's mean
     ratio with each cluster, since members not met are less alike than the level. A cluster whose upper bound is under another's lower one is out; only where the
     bounds do not decide are the other members compared. A name is settled when its nearest cluster is as near as the level, as one of
     which no member was met is farther. ``least`` is the last level, where what is not met is nothing. A name alone in its cluster does not count.
+    By default ``LEVELS`` come before it where there are more than ``FEW_NAMES`` clustered names; fewer are one level's work.
     """
+    if levels is None:
+        levels = LEVELS if labels.limit(FEW_NAMES + 1).count() > FEW_NAMES else ()
     n = similarity.prepared_names(names, column, sort_tokens=sort_tokens)
     far = F.greatest("in", "out")
     per, compared = _silhouette_by_levels(n, labels, least, levels)

@@ -85,3 +85,12 @@ def test_silhouette_equals_all_pairs(spark, levels):
     assert got.clusters == len(set(label.values()))
     assert got.noise == pytest.approx(1 / len(names))
     assert got.silhouette == pytest.approx(plain_silhouette(names, label, 0.05), abs=1e-12)
+
+
+def test_silhouette_compares_few(spark):
+    names = made_up(random.Random(4), 1500)
+    labels = canon.clusters(similarity.similar_pairs(frame(spark, names), "n", 0.85))
+    found = canon.name_clustering_metrics(frame(spark, names), "n", labels, sort_tokens=False).first()
+    pairs = len(names) * (len(names) - 1) // 2
+    print(found.compared, "of", pairs, "pairs compared")
+    assert found.compared < pairs / 5
