@@ -28,9 +28,11 @@ def gold_pairs(groups: DataFrame) -> DataFrame:
     return s.select("*", *[F.col(f"l.{c}").alias(c) for c in LENGTHS]).drop("l")
 
 
-def train_link_model(pairs: DataFrame, features: Sequence[str], label: str = "label", *, rounds: int = 400, seed: int = 47) -> PipelineModel:
+def train_link_model(pairs: DataFrame, features: Sequence[str], label: str = "label", *, rounds: int = 400, depth: int = 4, rows_a_tree: float = 0.9, features_a_split: str = "0.75", bins: int = 32, seed: int = 47) -> PipelineModel:
     """Scaler and boosted trees as one pipeline, so that what is saved scores as it was trained; classes weigh by their inverse.
 
+    Each tree sees a share of the rows, each split a share of the features, of whose values it tries ``bins``.
+
     Rows are written once and trained on in as many partitions as they fill: every tree is several passes over them.
     """
     pairs = materialize(pairs, "pairs")
@@ -41,7 +43,7 @@ def train_link_model(pairs: DataFrame, features: Sequence[str], label: str = "la
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="__raw"),
         RobustScaler(inputCol="__raw", outputCol="features", withCentering=True, withScaling=True),
-        GBTClassifier(labelCol=label, weightCol="__w", maxIter=rounds, stepSize=0.05, maxDepth=4, subsamplingRate=0.9, featureSubsetStrategy="0.75", seed=seed),
+        GBTClassifier(labelCol=label, weightCol="__w", maxIter=rounds, stepSize=0.05, maxDepth=depth, maxBins=bins, subsamplingRate=rows_a_tree, featureSubsetStrategy=features_a_split, seed=seed),
     ]
     return Pipeline(stages=stages).fit(weighted)
 

@@ -95,8 +95,9 @@ def misclassified(df: DataFrame, truth: str, guess: str, probability: str) -> Da
     return df.where(F.col(truth) != F.col(guess)).withColumn(probability, F.round(probability, 3))
 
 
-def stratified_split(df: DataFrame, label: str, id_col: str, *, test: float = 0.25, seed: int = 47) -> DataFrame:
-    """``is_test`` for the given share of each label, by hash order: the same rows in every run."""
+def stratified_split(df: DataFrame, label: str, id_col: str, *, test: float = 0.25, seed: int = 47, portable: bool = False) -> DataFrame:
+    """``is_test`` for the given share of each label, by hash order: the same rows in every run. ``portable``: by a digest that other engines have as well."""
     w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col))
+    order = F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))) if portable else F.xxhash64(F.lit(seed), F.col(id_col))
+    rank = F.row_number().over(w.orderBy(order, id_col))
     return df.withColumn("is_test", rank <= F.round(F.count(F.lit(1)).over(w) * test))

@@ -952,6 +952,33 @@ def link_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     return ml.score_links(model, split).select("variant_a", "variant_b", "label", "is_test", F.round("probability", 6).alias("probability"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def _stump(k: int, weight: float) -> str:
+    """CTEs of one round of boosting by stumps: sums of each cut, the best cut, the rows' new margins. A round's targets are y at first, then the loss's gradient at the margin."""
+    target = "y" if k == 1 else "4 * y / (1 + exp(2 * y * f))"
+    return f"""g{k} AS (SELECT *, {target} AS g FROM f{k - 1} WHERE NOT is_test), k{k} AS (SELECT j, cut, sum(w * g) FILTER (x <= cut) AS sl, sum(w) FILTER (x <= cut) AS wl, sum(w * g) FILTER (x > cut) AS sr, sum(w) FILTER (x > cut) AS wr
+    FROM (SELECT 0 AS j, sim AS x, w, g FROM g{k} UNION ALL SELECT 1, apart, w, g FROM g{k}) JOIN cuts USING (j) GROUP BY j, cut),
+    b{k} AS (SELECT j, cut, sl / wl AS l, sr / wr AS r FROM k{k} ORDER BY round(sl * sl / wl + sr * sr / wr, 9) DESC, j, cut LIMIT 1),
+    f{k} AS (SELECT a, b, sim, apart, label, is_test, y, w, f + {weight}::DOUBLE * CASE WHEN CASE j WHEN 0 THEN sim ELSE apart END <= cut THEN l ELSE r END AS f FROM f{k - 1} CROSS JOIN b{k})"""
+
+
+@query(
+    f"""WITH RECURSIVE {_LCS}, e AS (SELECT a, b, sim, abs(length(a) - length(b))::DOUBLE AS apart, (string_split(a, ' ')[-1] = string_split(b, ' ')[-1])::INTEGER AS label FROM sims WHERE sim >= 0.5),
+    t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('47' || a || '|' || b), a || '|' || b) <= round(count(*) OVER (PARTITION BY label) * 0.25::DOUBLE) AS is_test FROM e),
+    f0 AS (SELECT *, 2.0::DOUBLE * label - 1 AS y, CASE label WHEN 1 THEN (SELECT (1 - avg(label)) / avg(label) FROM t WHERE NOT is_test) ELSE 1.0::DOUBLE END AS w, 0.0::DOUBLE AS f FROM t),
+    cuts AS (SELECT j, (x + lag(x) OVER (PARTITION BY j ORDER BY x)) / 2 AS cut FROM (SELECT DISTINCT 0 AS j, sim AS x FROM f0 WHERE NOT is_test UNION SELECT DISTINCT 1, apart FROM f0 WHERE NOT is_test) QUALIFY cut IS NOT NULL),
+    {_stump(1, 1.0)}, {_stump(2, 0.05)}, {_stump(3, 0.05)}
+    SELECT a AS variant_a, b AS variant_b, label, is_test, round(1 / (1 + exp(-2 * f)), 6) AS probability, (f > 0)::INTEGER AS prediction FROM f3"""
+)
+def link_model_stumps(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds of the link model with one split a tree, on all rows and values: split, weights, scaling, boosting and scoring as SQL can follow them."""
+    pairs = _edges(spark, sf, 0.5).select(F.col("a").alias("variant_a"), F.col("b").alias("variant_b"), "sim", F.abs(F.length("a") - F.length("b")).cast("double").alias("apart"))
+    same = F.substring_index("variant_a", " ", -1) == F.substring_index("variant_b", " ", -1)
+    pairs = pairs.withColumn("label", same.cast("int")).withColumn("pair", F.concat("variant_a", F.lit("|"), "variant_b"))
+    split = store.materialize(stats.stratified_split(pairs, "label", "pair", portable=True), "split")
+    model = ml.train_link_model(split.where("not is_test"), ["sim", "apart"], rounds=3, depth=1, rows_a_tree=1.0, features_a_split="all", bins=256)
+    return ml.score_links(model, split).select("variant_a", "variant_b", "label", "is_test", F.round("probability", 6).alias("probability"), F.col("prediction").cast("int").alias("prediction"))
+
+
 def _event_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Events written as pages of the service's layout; each tenth is playing now and has no date."""
     e = A.table(spark, sf, "events")
