@@ -1300,7 +1300,7 @@ def _monthly(spark: SparkSession, sf: str) -> list[DataFrame]:
 def _merged(spark: SparkSession, sf: str, keep: str) -> manifest.ManifestTable:
     table = manifest.ManifestTable(spark, store.new_path(spark, "manifest"))
     for batch in _monthly(spark, sf):
-        table.merge(batch, F.col("album_title"), keep=keep)
+        table.merge(batch, "album_title", keep=keep)
     return table
 
 

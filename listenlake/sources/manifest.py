@@ -161,37 +161,54 @@ class ManifestTable:
         time = F.col(self.time).cast("timestamp")
         return F.coalesce(F.date_format(time, "yyyy-MM"), F.lit("")), F.coalesce(F.col(self.keys[0]).cast("string"), F.lit("")), F.coalesce(F.unix_micros(time), F.lit(-(1 << 63)))
 
-    def _ranges(self, rows: DataFrame, *by: Column) -> DataFrame:
-        month, key, time = self._keyed()
-        return rows.groupBy(*by, month.alias("month")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
-
-    def touched(self, batch: DataFrame, version: int) -> list[Entry]:
-        """Files that may hold a key of the batch."""
-        month, key, time = self._keyed()
-        # a row for each month and first key, whatever the number of plays
-        keys = batch.groupBy(month.alias("month"), key.alias("key")).agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
+    def first_keys(self, batch: DataFrame, month: Column | None = None) -> DataFrame:
+        """(month, key, rows, t0, t1): a row for each month and first key, whatever the number of plays; ``month`` where the batch has it."""
+        found, key, time = self._keyed()
+        return batch.groupBy((found if month is None else month).alias("month"), key.alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.min(time).alias("t0"), F.max(time).alias("t1"))
+
+    def touched(self, keys: DataFrame, version: int) -> list[Entry]:
+        """Files that may hold a key of the batch whose ``first_keys`` are given."""
+        keys = keys.drop("rows")
         files = self.files(version)
         if files.limit(FILES_AT_HAND + 1).count() <= FILES_AT_HAND:
             files = F.broadcast(files)
         met = keys.join(files, "month").where("key between first_key and last_key and t0 <= last_time and t1 >= first_time")
         return [Entry("remove", **r.asDict()) for r in met.select("file", *_STATS).distinct().collect()]
 
-    def _write(self, rows: DataFrame, expected: int) -> list[Entry]:
-        """Data files of ``rows``, each of one month and of a range of keys."""
-        month = self._keyed()[0]
+    @property
+    def _sort(self) -> list[str]:
+        return ["__month", *[k for k in self.keys if k != self.time], self.time]
+
+    def _deal(self, rows: DataFrame, expected: int, months: int = 1) -> DataFrame:
+        """``rows`` by ranges of month and keys, for as many files as ``expected`` rows need; as files end with a month, cores may have a range each up to the number of months."""
+        tasks = max(1, -(-expected // self.file_rows), min(months, 2 * self.spark.sparkContext.defaultParallelism))
+        dated = rows if "__month" in rows.columns else rows.withColumn("__month", self._keyed()[0])
+        return dated.repartitionByRange(tasks, *self._sort)
+
+    def _write(self, dealt: DataFrame) -> list[Entry]:
+        """Data files of dealt rows, each of one month and of a range of keys."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        sort = ["__month", *[k for k in self.keys if k != self.time], self.time]
-        dealt = rows.withColumn("__month", month).repartitionByRange(max(1, -(-expected // self.file_rows)), *sort).sortWithinPartitions(*sort)
-        dealt.write.partitionBy("__month").option("compression", "zstd").parquet(folder)
-        written = self.spark.read.option("recursiveFileLookup", True).schema(rows.schema).parquet(folder)
-        found = self._ranges(written.withColumn("__file", F.col("_metadata.file_path")), "__file").collect()
-        return [Entry("add", r["__file"].split("/data/")[-1], **{s: r[s] for s in _STATS}) for r in found]
-
-    def merge(self, batch: DataFrame, *order: Column, keep: str = "new", job: str = "") -> dict:
+        dealt.sortWithinPartitions(*self._sort).write.partitionBy("__month").option("compression", "zstd").parquet(folder)
+        written = self.spark.read.option("recursiveFileLookup", True).schema(dealt.drop("__month").schema).parquet(folder)
+        month, key, time = self._keyed()
+        at = written.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), month.alias("month"), key.alias("key"), time.alias("time"))
+        sums = {r.file: r for r in at.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min("time").alias("first_time"), F.max("time").alias("last_time")).collect()}
+        if not sums:
+            return []
+        # a file is in order of its first key: least and greatest are its first and last row's, and no texts are compared
+        ends = self.spark.createDataFrame([(f, r.rows - 1) for f, r in sums.items()], "file string, last long")
+        edge = at.join(F.broadcast(ends) if len(sums) <= FILES_AT_HAND else ends, "file").where("place = 0 or place = last")
+        found: dict[str, dict] = {}
+        for r in edge.select("file", "place", "last", "month", "key").collect():
+            stats = found.setdefault(r.file, {"month": r.month})
+            stats |= {name: r.key for name, here in (("first_key", r.place == 0), ("last_key", r.place == r.last)) if here}
+        return [Entry("add", f.split("/data/")[-1], rows=r.rows, first_time=r.first_time, last_time=r.last_time, **found[f]) for f, r in sums.items()]
+
+    def merge(self, batch: DataFrame, *order: Column | str, keep: str = "new", job: str = "") -> dict:
         """Merge plays; returns the version, the files removed and added, and the rows written.
 
         ``keep`` says whose row of a key stays: the batch's (``new``) or the one that is there (``old``: no file is rewritten). Within the
-        batch the last by ``order`` stays, or with ``old`` the first. A ``job`` that is in the log already changes nothing, so a replay is harmless. Raises
+        batch the last by ``order`` stays, or with ``old`` the first (names of columns cost less than expressions). A ``job`` that is in the log already changes nothing, so a replay is harmless. Raises
         ``Conflict`` if another writer has committed what meets the batch meanwhile; the table is then as that writer left it.
         """
         if keep not in ("new", "old"):
@@ -200,28 +217,36 @@ class ManifestTable:
         if job and self.log(base).where((F.col("op") == "job") & (F.col("job") == job)).limit(1).count():
             return {"version": base, "removed": [], "added": [], "rows": 0}
         place = F.monotonically_increasing_id().alias("__place")
-        ranked = batch.select("*", *[o.alias(f"__o{i}") for i, o in enumerate(order)], place)
-        by = [f"__o{i}" for i in range(len(order))] + ["__place"]
-        once = keep_first(ranked, self.keys, *[F.desc(c) if keep == "new" else F.asc(c) for c in by]).drop(*by)
-        once = materialize(order_columns(once), "batch")
-        ranges = [Entry("add", "", **r.asDict()) for r in self._ranges(once).collect()]
+        made = {f"__o{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
+        ranked = batch.select("*", *[o.alias(n) for n, o in made.items()], place, self._keyed()[0].alias("__month"))
+        by = [o if isinstance(o, str) else f"__o{i}" for i, o in enumerate(order)] + ["__place"]
+        first = [F.desc(c) if keep == "new" else F.asc(c) for c in by]
+        given = materialize(order_columns(ranked), "batch")
+        keys = materialize(self.first_keys(given, F.col("__month")), "batch-keys")
+        months = keys.groupBy("month").agg(F.sum("rows").alias("rows"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("t0").alias("first_time"), F.max("t1").alias("last_time"), F.max("rows").alias("most")).collect()
+        ranges = [Entry("add", **{s: r[s] for s in _STATS}) for r in months]
         if not ranges:
             return {"version": base, "removed": [], "added": [], "rows": 0}
-        new = sum(e.rows for e in ranges)
-        old = self.touched(once, base) if base >= 0 else []
-        rows = once
+        new = given.agg(F.approx_count_distinct(F.xxhash64(*self.keys))).first()[0]
+        if sum(e.rows for e in ranges) > 2 * new or max(r.most for r in months) > self.file_rows:
+            # keys that repeat much, or one that may fill a task, become one row each before anything is dealt out
+            given = materialize(keep_first(given, self.keys, *first), "batch-once")
+        old = self.touched(keys, base) if base >= 0 else []
+        rows = given.withColumn("__old", F.lit(False))
         if old:
             there = self._open([e.file for e in old], base)
-            same = [there[k].eqNullSafe(once[k]) for k in self.keys]
-            match = same[0]
-            for s in same[1:]:
-                match = match & s
             if keep == "new":
-                rows = there.join(once, match, "left_anti").unionByName(once, allowMissingColumns=True)
+                rows = rows.unionByName(there.withColumns({"__old": F.lit(True), "__month": self._keyed()[0]}), allowMissingColumns=True)
             else:
-                rows = once.join(there.select(self.keys), match, "left_anti")
+                match = F.lit(True)
+                for k in self.keys:
+                    match = match & there[k].eqNullSafe(given[k])
+                # written, as ranges are made of what is read twice
+                rows = materialize(rows.join(there.select(self.keys), match, "left_anti"), "batch-new")
         removed = old if keep == "new" else []
-        added = self._write(rows, new + sum(e.rows for e in removed))
+        dealt = self._deal(rows, new + sum(e.rows for e in removed), len(ranges))
+        # one exchange and one order serve the batch's repeats, the rows it replaces and the files
+        added = self._write(keep_first(dealt, self._sort, F.asc("__old"), *first).drop("__old", "__place", *made))
         if not added and not removed:
             return {"version": base, "removed": [], "added": [], "rows": 0}
         entries = [*removed, *added, *([Entry("job")] if job else [])]
@@ -236,7 +261,7 @@ class ManifestTable:
         small = [e for e in small if months.count(e.month) > 1]
         if not small:
             return {"version": base, "removed": [], "added": [], "rows": 0}
-        added = self._write(self._open([e.file for e in small], base), sum(e.rows for e in small))
+        added = self._write(self._deal(self._open([e.file for e in small], base), sum(e.rows for e in small)))
         version = self._commit(base, [*small, *added], [])
         return {"version": version, "removed": sorted(e.file for e in small), "added": sorted(e.file for e in added), "rows": sum(e.rows for e in added)}
 

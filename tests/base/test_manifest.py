@@ -126,3 +126,28 @@ def test_empty_batches_and_tables(spark, table):
         table.read()
     with pytest.raises(ValueError):
         ManifestTable(spark, "x", keys=["artist_name"])
+
+
+def test_few_rows_of_many_months_are_dealt_to_many_tasks_and_their_ranges_are_those_of_the_rows(spark, tmp_path):
+    table = ManifestTable(spark, f"file://{tmp_path}/plays")
+    rows = [(name, s, f"20{y:02d}-{m:02d}-{5 + k:02d}", f"{k}{s}") for y in (3, 24) for m in range(1, 13) for k, name in enumerate(["b", None, "ü", "", "a"]) for s in "st"]
+    first = table.merge(plays(spark, rows + [("a", "s", "2003-01-09", "0"), ("a", "s", "2003-01-09", "9")]), "album_title")
+    assert len({f.rpartition("/")[2][:10] for f in first["added"]}) > 4  # part-00000 and so on
+    assert sum(e.rows for e in table.files().collect()) == len(rows) == table.read().count()
+    assert [r.album_title for r in table.read().where("artist_name = 'a' and track_title = 's' and play_time = '2003-01-09'").collect()] == ["9"]
+    for e in table.files().collect():
+        here = spark.read.parquet(f"{table.path}/data/{e.file}").collect()
+        names = sorted((r.artist_name or "").encode() for r in here)
+        times = sorted(int((r.play_time - datetime(1970, 1, 1)).total_seconds()) * 1000000 for r in here)
+        assert {r.play_time.strftime("%Y-%m") for r in here} == {e.month}
+        assert (e.rows, e.first_key.encode(), e.last_key.encode(), e.first_time, e.last_time) == (len(here), names[0], names[-1], times[0], times[-1])
+
+
+def test_a_key_that_fills_a_task_is_one_row_before_rows_are_dealt(spark, table):
+    table.merge(plays(spark, JANUARY))
+    hot = [("a1", "s", "2024-01-02", f"{i:02d}") for i in range(30)] + [("a2", "s", "2024-01-03", f"{i:02d}") for i in (3, 7, 5)]
+    done = table.merge(plays(spark, hot), "album_title")
+    assert {r[0]: r[3] for r in content(table.read()) if r[3] != "x"} == {"a1": "29", "a2": "07"} and table.read().count() == 10
+    assert len(done["added"]) <= 3  # for the rows that stay, not for those that came
+    ignored = table.merge(plays(spark, [("b", "s", "2024-01-02", f"{i:02d}") for i in range(9)] + hot), "album_title", keep="old")
+    assert ignored["rows"] == 1 and not ignored["removed"] and [r[3] for r in content(table.read()) if r[0] == "b"] == ["00"]
